@@ -142,7 +142,8 @@ def outbox(history: DataFrame, channels: DataFrame, traps: DataFrame, title: str
         history.join(channels.where("is_active").select("channel_id", "channel_type", config.alias("c")), "channel_id")
         .join(traps.select("trap_id", F.col("name").alias("trap_name")), "trap_id")
     )
-    time = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    rows = rows.withColumn("_time", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    time = F.col("_time")
     heading = F.concat(F.lit("["), F.col("severity"), F.lit("] "), F.col("trap_name"))
 
     def fact(name: str, value: Column) -> Column:

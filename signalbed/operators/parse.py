@@ -7,8 +7,6 @@ the earlier ones gave nothing.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,67 +94,75 @@ def _record(**fields: Column) -> Column:
                     fields.get("timestamp", empty).alias("_time"))
 
 
+def _bound(rows: DataFrame, **named: Column) -> DataFrame:
+    """Add columns that are computed once and then only read.
+
+    ``inline`` of one row keeps the optimizer from copying these long
+    expressions into every later use and into filters above.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in named.items()]))))
+
+
 def parse_raw_logs(df: DataFrame, raw: str = "raw", default_service: Column | None = None) -> DataFrame:
     """Add the parsed fields and ``log_format`` to every row of ``df``."""
-    kept = df.columns
+    kept = [name for name in df.columns if name not in PARSED]
     default = F.lit(None).cast("string") if default_service is None else default_service
     line = F.col("_line")
-    rows = df.select("*", default.alias("_default"), F.coalesce(_trimmed(F.col(raw)), F.lit("")).alias("_line"))
-
-    as_map = F.from_json(line, "map<string,string>")
-    rows = rows.withColumn("_map", F.when(line.startswith("{"), as_map))
-    present = F.filter(F.map_entries("_map"), lambda entry: entry["value"].isNotNull())
-    rows = rows.withColumn("_present", present)
-    rows = rows.select(
-        "*", F.col("_present.key").alias("_json_keys"), F.col("_present.value").alias("_json_values"),
-        F.transform(F.col("_present.key"), F.lower).alias("_json_lower"),
-    )
-    rows = rows.withColumn("_json_level", _json_field("level")).withColumn("_json_message", _json_field("message"))
-    is_json = F.col("_json_level").isNotNull() | F.col("_json_message").isNotNull()
-    rows = rows.withColumn("_is_json", is_json)
-
-    open_line = F.when(~F.col("_is_json"), line)
-    keys = F.transform(F.regexp_extract_all(open_line, F.lit(KEY_VALUE), F.lit(1)), F.lower)
-    unquoted = F.transform(
-        F.regexp_extract_all(open_line, F.lit(KEY_VALUE), F.lit(2)),
-        lambda text: F.when(text.startswith('"') & text.endswith('"'), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text),
+    rows = _bound(df, _default=default, _line=F.coalesce(_trimmed(F.col(raw)), F.lit("")))
+
+    rows = _bound(rows, _map=F.when(line.startswith("{"), F.from_json(line, "map<string,string>")))
+    rows = _bound(rows, _present=F.filter(F.map_entries("_map"), lambda entry: entry["value"].isNotNull()))
+    rows = _bound(
+        rows, _json_keys=F.col("_present.key"), _json_values=F.col("_present.value"),
+        _json_lower=F.transform(F.col("_present.key"), F.lower),
     )
+    rows = _bound(rows, _json_level=_json_field("level"), _json_message=_json_field("message"))
+
+    open_line = F.when(F.coalesce("_json_level", "_json_message").isNull(), line)
     # Reversed, so that the first hit is the last pair of that name.
-    rows = rows.withColumn("_pair_keys", F.reverse(keys)).withColumn("_pair_values", F.reverse(unquoted))
-    rows = rows.withColumn("_is_pairs", F.coalesce(F.size(F.array_distinct("_pair_keys")) >= 2, F.lit(False)))
-
-    rest = F.when(~F.col("_is_json") & ~F.col("_is_pairs"), line)
-    rows = rows.withColumn("_spring", _groups(SPRING_BOOT, rest, 7))
-    rows = rows.withColumn("_syslog", F.when(F.col("_spring").isNull(), _groups(SYSLOG, rest, 6)))
-
-    rows = rows.withColumn("_parsed", F.coalesce(
-        F.when(F.col("_is_json"), _json_record()),
-        F.when(F.col("_is_pairs"), _pairs_record()),
-        F.when(F.col("_spring").isNotNull(), _spring_record()),
-        F.when(F.col("_syslog").isNotNull(), _syslog_record()),
-        _record(level=F.lit("INFO"), message=F.when(line == "", "(empty)").otherwise(line), service_name=F.col("_default")),
-    ))
-    form = F.when(F.col("_is_json"), "json").when(F.col("_is_pairs"), "key_value")
-    form = form.when(F.col("_spring").isNotNull(), "spring_boot").when(F.col("_syslog").isNotNull(), "syslog")
-    form = form.otherwise("plain")
-
-    def filled(text: Column) -> Column:
-        return F.when(F.trim(text) != "", text)
+    keys = F.reverse(F.transform(F.regexp_extract_all(open_line, F.lit(KEY_VALUE), F.lit(1)), F.lower))
+    values = F.reverse(F.transform(F.regexp_extract_all(open_line, F.lit(KEY_VALUE), F.lit(2)), _unquoted))
+    rows = _bound(rows, _pair_keys=keys, _pair_values=values)
+    form = F.when(F.coalesce("_json_level", "_json_message").isNotNull(), "json").when(
+        F.size(F.array_distinct("_pair_keys")) >= 2, "key_value"
+    )
+    rows = _bound(rows, _form=form)
+    rows = _bound(rows, _spring=F.when(F.col("_form").isNull(), _groups(SPRING_BOOT, line, 7)))
+    rest = F.when(F.col("_form").isNull() & F.col("_spring").isNull(), line)
+    rows = _bound(rows, _syslog=_groups(SYSLOG, rest, 6))
 
+    form = F.coalesce(
+        "_form", F.when(F.col("_spring").isNotNull(), "spring_boot"), F.when(F.col("_syslog").isNotNull(), "syslog"), F.lit("plain")
+    )
+    plain = _record(
+        level=F.lit("INFO"), message=F.when(line == "", "(empty)").otherwise(line), service_name=F.col("_default")
+    )
+    record = (
+        F.when(F.col("_form") == "json", _json_record()).when(F.col("_form") == "key_value", _pairs_record())
+        .when(F.col("_spring").isNotNull(), _spring_record()).when(F.col("_syslog").isNotNull(), _syslog_record())
+        .otherwise(plain)
+    )
+    rows = _bound(rows, _parsed=record, log_format=form)
     given = F.col("_parsed.service_name")
-    service = F.when(form == "plain", given).otherwise(
-        F.coalesce(filled(given), filled(F.col("_default")), F.lit("unknown"))
+    service = F.when(F.col("log_format") == "plain", given).otherwise(
+        F.coalesce(_not_blank(given), _not_blank(F.col("_default")), F.lit("unknown"))
     )
     final = {
         "message": F.left(F.col("_parsed.message"), F.lit(MAX_MESSAGE)),
         "timestamp": parse_time(F.col("_parsed._time")),
         "service_name": service,
     }
-    return rows.select(
-        *[F.col(name) for name in kept if name not in PARSED],
-        *[final.get(name, F.col(f"_parsed.{name}")).alias(name) for name in PARSED],
-        form.alias("log_format"),
-    )
+    fields = {name: final.get(name, F.col(f"_parsed.{name}")) for name in PARSED}
+    return _bound(rows, **fields).select(*kept, *PARSED, "log_format")
+
+
+def _not_blank(text: Column) -> Column:
+    return F.when(F.trim(text) != "", text)
+
+
+def _unquoted(text: Column) -> Column:
+    quoted = text.startswith('"') & text.endswith('"')
+    return F.when(quoted, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
 
 
 def _json_record() -> Column:
@@ -214,7 +220,3 @@ def _syslog_record() -> Column:
 def reject_reasons(rules: list[tuple[Column, str]]) -> Column:
     """The texts of all rules whose test holds, as an array."""
     return F.array_compact(F.array(*[F.when(test, F.lit(text)) for test, text in rules]))
-
-
-def any_of(tests: list[Column]) -> Column:
-    return reduce(Column.__or__, tests)
