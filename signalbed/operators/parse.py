@@ -49,172 +49,141 @@ PARSED = (
     "custom_fields", "host_name",
 )
 
-_CONTROL_AND_SPACE = "".join(chr(code) for code in range(33))
-_MARK = "\x01"
+# SQL literals: characters up to the blank, and a mark no trimmed line starts with.
+_BLANKS = "'" + "".join(f"\\u{code:04x}" for code in range(33)) + "'"
+_MARK = "\\u0001"
 
 
-def _trimmed(text: Column) -> Column:
-    return F.btrim(text, F.lit(_CONTROL_AND_SPACE))
+def _trimmed(text: str) -> str:
+    return f"btrim({text}, {_BLANKS})"
 
 
-def _filled(text: Column) -> Column:
-    return F.when(text != "", text)
-
-
-def _value_at(keys: str, values: str, position: Column) -> Column:
-    return F.when(position > 0, F.get(F.col(values), (position - 1).cast("int")))
-
-
-def _exact(keys: str, values: str, aliases: tuple[str, ...]) -> list[Column]:
-    return [_value_at(keys, values, F.array_position(F.col(keys), alias)) for alias in aliases]
-
-
-def _json_field(name: str) -> Column:
+def _json_field(name: str) -> str:
     """Exact key first, then the first key that matches in any case."""
-    aliases = ALIASES[name]
-    places = [F.array_position(F.col("_json_lower"), alias) for alias in aliases]
-    places = [F.when(place > 0, place) for place in places]
-    first = F.least(*places)
-    return F.coalesce(*_exact("_json_keys", "_json_values", aliases), _value_at("_json_lower", "_json_values", first))
+    exact = ", ".join(f"_exact.`{alias}`" for alias in ALIASES[name])
+    places = ", ".join(f"nullif(array_position(_json_lower, '{alias}'), 0)" for alias in ALIASES[name])
+    return f"coalesce({exact}, CASE WHEN _mixed THEN get(_json_values, int(least({places})) - 1) END)"
 
 
-def _pair_field(name: str) -> Column:
-    return F.coalesce(*_exact("_pair_keys", "_pair_values", ALIASES[name]))
+def _pair_field(name: str) -> str:
+    """A missing alias has place 0, and ``get`` gives null for -1."""
+    places = [f"get(_pair_values, int(array_position(_pair_keys, '{alias}')) - 1)" for alias in ALIASES[name]]
+    return f"coalesce({', '.join(places)})"
 
 
-def _groups(pattern: str, raw: Column, count: int) -> Column:
-    """All groups of one full match as an array, null when the line does not match."""
-    marked = F.regexp_replace(raw, pattern, _MARK + _MARK.join(f"${n}" for n in range(1, count + 1)))
-    return F.when(marked.startswith(_MARK), F.slice(F.split(marked, _MARK, count + 1), 2, count))
+def _split(pattern: str, count: int) -> str:
+    """An empty text and the groups when the line matches, anything else when not."""
+    groups = _MARK.join(f"${n}" for n in range(1, count + 1))
+    return f"split(regexp_replace(_line, r'{pattern}', '{_MARK}{groups}'), '{_MARK}', {count + 1})"
 
 
-def _record(**fields: Column) -> Column:
-    empty = F.lit(None).cast("string")
-    return F.struct(*[fields.get(name, empty).alias(name) for name in PARSED if name != "timestamp"],
-                    fields.get("timestamp", empty).alias("_time"))
+def _groups(parts: str, count: int) -> str:
+    return f"CASE WHEN size({parts}) = {count + 1} AND get({parts}, 0) = '' THEN slice({parts}, 2, {count}) END"
 
 
-def _bound(rows: DataFrame, **named: Column) -> DataFrame:
+def _bound(rows: DataFrame, **named: str) -> DataFrame:
     """Add columns that are computed once and then only read.
 
     ``inline`` of one row keeps the optimizer from copying these long
     expressions into every later use and into filters above.
     """
-    return rows.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in named.items()]))))
+    fields = ", ".join(f"'{name}', {value}" for name, value in named.items())
+    return rows.selectExpr("*", f"inline(array(named_struct({fields})))")
 
 
 def parse_raw_logs(df: DataFrame, raw: str = "raw", default_service: Column | None = None) -> DataFrame:
     """Add the parsed fields and ``log_format`` to every row of ``df``."""
     kept = [name for name in df.columns if name not in PARSED]
     default = F.lit(None).cast("string") if default_service is None else default_service
-    line = F.col("_line")
-    rows = _bound(df, _default=default, _line=F.coalesce(_trimmed(F.col(raw)), F.lit("")))
+    rows = _bound(df.withColumn("_default", default), _line=f"coalesce({_trimmed(raw)}, '')")
+    rows = rows.select(*kept, "_default", "_line")
 
-    rows = _bound(rows, _map=F.when(line.startswith("{"), F.from_json(line, "map<string,string>")))
-    rows = _bound(rows, _present=F.filter(F.map_entries("_map"), lambda entry: entry["value"].isNotNull()))
+    known = ", ".join(f"`{alias}` string" for group in ALIASES.values() for alias in group)
     rows = _bound(
-        rows, _json_keys=F.col("_present.key"), _json_values=F.col("_present.value"),
-        _json_lower=F.transform(F.col("_present.key"), F.lower),
+        rows, _map="CASE WHEN startswith(_line, '{') THEN from_json(_line, 'map<string,string>') END",
+        _exact=f"CASE WHEN startswith(_line, '{{') THEN from_json(_line, '{known}') END",
     )
+    rows = _bound(rows, _present="filter(map_entries(_map), e -> e.value IS NOT NULL)")
+    rows = _bound(rows, _json_values="_present.value", _json_lower="transform(_present.key, k -> lower(k))")
+    rows = _bound(rows, _mixed="_present.key <> _json_lower")
     rows = _bound(rows, _json_level=_json_field("level"), _json_message=_json_field("message"))
 
-    open_line = F.when(F.coalesce("_json_level", "_json_message").isNull(), line)
+    rows = _bound(rows, _open="CASE WHEN coalesce(_json_level, _json_message) IS NULL THEN _line END")
     # Reversed, so that the first hit is the last pair of that name.
-    keys = F.reverse(F.transform(F.regexp_extract_all(open_line, F.lit(KEY_VALUE), F.lit(1)), F.lower))
-    values = F.reverse(F.transform(F.regexp_extract_all(open_line, F.lit(KEY_VALUE), F.lit(2)), _unquoted))
-    rows = _bound(rows, _pair_keys=keys, _pair_values=values)
-    form = F.when(F.coalesce("_json_level", "_json_message").isNotNull(), "json").when(
-        F.size(F.array_distinct("_pair_keys")) >= 2, "key_value"
-    )
-    rows = _bound(rows, _form=form)
-    rows = _bound(rows, _spring=F.when(F.col("_form").isNull(), _groups(SPRING_BOOT, line, 7)))
-    rest = F.when(F.col("_form").isNull() & F.col("_spring").isNull(), line)
-    rows = _bound(rows, _syslog=_groups(SYSLOG, rest, 6))
-
-    form = F.coalesce(
-        "_form", F.when(F.col("_spring").isNotNull(), "spring_boot"), F.when(F.col("_syslog").isNotNull(), "syslog"), F.lit("plain")
-    )
-    plain = _record(
-        level=F.lit("INFO"), message=F.when(line == "", "(empty)").otherwise(line), service_name=F.col("_default")
-    )
-    record = (
-        F.when(F.col("_form") == "json", _json_record()).when(F.col("_form") == "key_value", _pairs_record())
-        .when(F.col("_spring").isNotNull(), _spring_record()).when(F.col("_syslog").isNotNull(), _syslog_record())
-        .otherwise(plain)
-    )
-    rows = _bound(rows, _parsed=record, log_format=form)
-    given = F.col("_parsed.service_name")
-    service = F.when(F.col("log_format") == "plain", given).otherwise(
-        F.coalesce(_not_blank(given), _not_blank(F.col("_default")), F.lit("unknown"))
-    )
-    final = {
-        "message": F.left(F.col("_parsed.message"), F.lit(MAX_MESSAGE)),
-        "timestamp": parse_time(F.col("_parsed._time")),
-        "service_name": service,
-    }
-    fields = {name: final.get(name, F.col(f"_parsed.{name}")) for name in PARSED}
-    return _bound(rows, **fields).select(*kept, *PARSED, "log_format")
-
-
-def _not_blank(text: Column) -> Column:
-    return F.when(F.trim(text) != "", text)
-
-
-def _unquoted(text: Column) -> Column:
-    quoted = text.startswith('"') & text.endswith('"')
-    return F.when(quoted, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
-
-
-def _json_record() -> Column:
-    thrown = _json_field("exception")
-    colon = F.instr(thrown, ":")
-    known = sorted({alias for group in ALIASES.values() for alias in group})
-    extras = F.map_filter(F.col("_map"), lambda key, _: ~F.lower(key).isin(known))
-    extras = F.transform_values(extras, lambda _, value: F.coalesce(value, F.lit("null")))
-    same = {name: _json_field(name) for name in (
-        "timestamp", "service_name", "correlation_id", "trace_id", "span_id", "logger_name",
-        "thread_name", "stack_trace", "host_name",
-    )}
-    return _record(
-        level=F.coalesce("_json_level", F.lit("INFO")),
-        message=F.coalesce("_json_message", "_line"),
-        exception_class=F.when(colon > 1, _trimmed(F.substring_index(thrown, ":", 1))),
-        exception_message=F.when(colon > 1, _trimmed(F.substring(thrown, colon + 1, F.length(thrown)))).otherwise(thrown),
-        custom_fields=F.when(F.size(extras) > 0, F.to_json(extras)),
-        **same,
+    unquoted = "CASE WHEN v LIKE '\"%\"' THEN substring(v, 2, length(v) - 2) ELSE v END"
+    rows = _bound(
+        rows, _pair_keys=f"reverse(transform(regexp_extract_all(_open, r'{KEY_VALUE}', 1), k -> lower(k)))",
+        _pair_values=f"reverse(transform(regexp_extract_all(_open, r'{KEY_VALUE}', 2), v -> {unquoted}))",
     )
-
-
-def _pairs_record() -> Column:
-    same = {name: _pair_field(name) for name in (
-        "timestamp", "service_name", "correlation_id", "trace_id", "span_id", "logger_name",
-        "thread_name", "host_name",
-    )}
-    return _record(
-        level=F.coalesce(_pair_field("level"), F.lit("INFO")),
-        message=F.coalesce(_pair_field("message"), F.col("_line")),
-        **same,
+    rows = _bound(rows, _form="CASE WHEN _open IS NULL THEN 'json' WHEN size(array_distinct(_pair_keys)) >= 2 THEN 'key_value' END")
+    rows = _bound(rows, _parts=f"CASE WHEN _form IS NULL THEN {_split(SPRING_BOOT, 7)} END")
+    rows = _bound(rows, _spring=_groups("_parts", 7))
+    rows = _bound(rows, _rest=f"CASE WHEN _form IS NULL AND _spring IS NULL THEN {_split(SYSLOG, 6)} END")
+    rows = _bound(rows, _syslog=_groups("_rest", 6))
+    rows = _bound(
+        rows,
+        log_format="""CASE WHEN _form IS NOT NULL THEN _form WHEN _spring IS NOT NULL THEN 'spring_boot'
+            WHEN _syslog IS NOT NULL THEN 'syslog' ELSE 'plain' END""",
+        _thrown=f"CASE WHEN _form = 'json' THEN {_json_field('exception')} END",
+        _extras=f"CASE WHEN _form = 'json' THEN {_extras()} END",
     )
 
-
-def _spring_record() -> Column:
-    group = [F.get("_spring", F.lit(n)) for n in range(7)]
-    tracing = F.split(group[2], ",")
-    part = [_filled(_trimmed(F.get(tracing, F.lit(n)))) for n in range(3)]
-    return _record(
-        timestamp=group[0], level=group[1], service_name=part[0], trace_id=part[1], span_id=part[2],
-        thread_name=_trimmed(group[4]), logger_name=group[5], message=_trimmed(group[6]),
+    # A few fields at a time: the generated methods stay small enough to be compiled.
+    rows = _bound(rows, level=_field("level"), _message=_field("message"), _time=_field("timestamp"))
+    rows = _bound(rows, _service=_field("service_name"), correlation_id=_field("correlation_id"), trace_id=_field("trace_id"))
+    rows = _bound(rows, span_id=_field("span_id"), logger_name=_field("logger_name"), thread_name=_field("thread_name"))
+    rows = _bound(rows, host_name=_field("host_name"), stack_trace=_field("stack_trace"), custom_fields=_field("custom_fields"))
+    rows = _bound(rows, exception_class=_field("exception_class"), exception_message=_field("exception_message"))
+    rows = rows.withColumn("_at", parse_time(F.col("_time")))
+    rows = _bound(
+        rows, message=f"left(_message, {MAX_MESSAGE})", timestamp="_at",
+        service_name="""CASE WHEN log_format = 'plain' OR trim(_service) <> '' THEN _service
+            WHEN trim(_default) <> '' THEN _default ELSE 'unknown' END""",
     )
+    return rows.select(*kept, *PARSED, "log_format")
+
+
+def _field(name: str) -> str:
+    """A field as each line format gives it."""
+    thrown_class = "instr(_thrown, ':') > 1"
+    special = {
+        "json": {
+            "level": "coalesce(_json_level, 'INFO')",
+            "message": "coalesce(_json_message, _line)",
+            "exception_class": f"CASE WHEN {thrown_class} THEN {_trimmed('substring_index(_thrown, chr(58), 1)')} END",
+            "exception_message": f"CASE WHEN {thrown_class} THEN {_trimmed('substring(_thrown, instr(_thrown, chr(58)) + 1)')} ELSE _thrown END",
+            "custom_fields": "CASE WHEN size(_extras) > 0 THEN to_json(_extras) END",
+        },
+        "key_value": {
+            "level": f"coalesce({_pair_field('level')}, 'INFO')",
+            "message": f"coalesce({_pair_field('message')}, _line)",
+            "stack_trace": "NULL",
+        },
+        "spring_boot": {
+            "timestamp": "_spring[0]", "level": "_spring[1]", "logger_name": "_spring[5]",
+            "thread_name": _trimmed("_spring[4]"), "message": _trimmed("_spring[6]"),
+            **{field: "nullif(" + _trimmed(f"get(split(_spring[2], ','), {n})") + ", '')"
+               for n, field in enumerate(("service_name", "trace_id", "span_id"))},
+        },
+        "syslog": {
+            "level": f"coalesce(get(array({', '.join(repr(level) for level in SYSLOG_LEVELS)}), try_cast(_syslog[0] AS INT) & 7), 'INFO')",
+            "host_name": "_syslog[2]", "service_name": "_syslog[3]", "message": _trimmed("_syslog[5]"),
+        },
+        "plain": {
+            "level": "'INFO'", "message": "CASE WHEN _line = '' THEN '(empty)' ELSE _line END", "service_name": "_default",
+        },
+    }
+    if name in ALIASES:
+        special["json"].setdefault(name, _json_field(name))
+        special["key_value"].setdefault(name, _pair_field(name))
+    cases = " ".join(f"WHEN '{form}' THEN {given[name]}" for form, given in special.items() if name in given)
+    return f"string(CASE log_format {cases} END)"
 
 
-def _syslog_record() -> Column:
-    group = [F.get("_syslog", F.lit(n)) for n in range(6)]
-    severity = group[0].try_cast("int").bitwiseAND(F.lit(7))
-    levels = F.array(*[F.lit(level) for level in SYSLOG_LEVELS])
-    return _record(
-        level=F.coalesce(F.get(levels, severity), F.lit("INFO")),
-        host_name=group[2], service_name=group[3], message=_trimmed(group[5]),
-    )
+def _extras() -> str:
+    """JSON keys that stand for no field, with null as the text ``null``."""
+    known = ", ".join(f"'{alias}'" for group in ALIASES.values() for alias in group)
+    return f"transform_values(map_filter(_map, (k, v) -> lower(k) NOT IN ({known})), (k, v) -> coalesce(v, 'null'))"
 
 
 def reject_reasons(rules: list[tuple[Column, str]]) -> Column:

@@ -33,10 +33,10 @@ def bad_regex_trap(spark, folder):
 
 
 @query("b16_d14_keyword_trap", using("document_logs", """
-    SELECT id, service_name FROM document_logs WHERE contains(lower(message), 'password')"""))
+    SELECT id, service_name FROM document_logs WHERE contains(lower(message), 'license')"""))
 def keyword_trap(spark, folder):
     rows = t.document_logs(spark, folder).withColumn("team_id", F.lit(0))
-    return traps.pattern_hits(rows, _trap({"condition_type": "KEYWORD", "field": "message", "pattern": "PassWord"})).select("id", "service_name")
+    return traps.pattern_hits(rows, _trap({"condition_type": "KEYWORD", "field": "message", "pattern": "LicenSe"})).select("id", "service_name")
 
 
 @query("b17_trap_fields", using("log_entries", """

@@ -20,17 +20,12 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(value):
-    if isinstance(value, bool) or value is None:
-        return value
-    if isinstance(value, float) and math.isfinite(value):
-        return float(f"{value:.9g}")
+    """The value with its kind, so that 3 and 3.0 and Decimal(3) differ."""
+    if isinstance(value, float):
+        return "float", "nan" if math.isnan(value) else repr(value + 0.0)
     if isinstance(value, dt.datetime):
-        return value.replace(tzinfo=None)
-    if isinstance(value, int):
-        return float(value)
-    if hasattr(value, "as_tuple"):
-        return float(value)
-    return value
+        return "time", value.isoformat()
+    return type(value).__name__, str(value)
 
 
 def rows_of(columns: list[str], rows) -> list[tuple]:
