@@ -58,9 +58,14 @@ def _trimmed(text: str) -> str:
     return f"btrim({text}, {_BLANKS})"
 
 
+def _known(alias: str) -> str:
+    """The column that holds the value of a JSON key spelled exactly like this."""
+    return f"_json {alias}"
+
+
 def _json_field(name: str) -> str:
     """Exact key first, then the first key that matches in any case."""
-    exact = ", ".join(f"_exact.`{alias}`" for alias in ALIASES[name])
+    exact = ", ".join(f"`{_known(alias)}`" for alias in ALIASES[name])
     places = ", ".join(f"nullif(array_position(_json_lower, '{alias}'), 0)" for alias in ALIASES[name])
     return f"coalesce({exact}, CASE WHEN _mixed THEN get(_json_values, int(least({places})) - 1) END)"
 
@@ -98,14 +103,14 @@ def parse_raw_logs(df: DataFrame, raw: str = "raw", default_service: Column | No
     rows = _bound(df.withColumn("_default", default), _line=f"coalesce({_trimmed(raw)}, '')")
     rows = rows.select(*kept, "_default", "_line")
 
-    known = ", ".join(f"`{alias}` string" for group in ALIASES.values() for alias in group)
-    rows = _bound(
-        rows, _map="CASE WHEN startswith(_line, '{') THEN from_json(_line, 'map<string,string>') END",
-        _exact=f"CASE WHEN startswith(_line, '{{') THEN from_json(_line, '{known}') END",
-    )
-    rows = _bound(rows, _present="filter(map_entries(_map), e -> e.value IS NOT NULL)")
-    rows = _bound(rows, _json_values="_present.value", _json_lower="transform(_present.key, k -> lower(k))")
-    rows = _bound(rows, _mixed="_present.key <> _json_lower")
+    names = [alias for group in ALIASES.values() for alias in group]
+    schema = ", ".join(f"`{alias}` string" for alias in names)
+    columns = ", ".join(f"`{_known(alias)}`" for alias in names)
+    rows = rows.selectExpr("*", f"inline(array(CASE WHEN startswith(_line, '{{') THEN from_json(_line, '{schema}') END)) AS ({columns})")
+    rows = _bound(rows, _map="CASE WHEN startswith(_line, '{') THEN from_json(_line, 'map<string,string>') END")
+    rows = _bound(rows, _present="map_filter(_map, (k, v) -> v IS NOT NULL)")
+    rows = _bound(rows, _json_values="map_values(_present)", _json_lower="transform(map_keys(_present), k -> lower(k))")
+    rows = _bound(rows, _mixed="map_keys(_present) <> _json_lower")
     rows = _bound(rows, _json_level=_json_field("level"), _json_message=_json_field("message"))
 
     rows = _bound(rows, _open="CASE WHEN coalesce(_json_level, _json_message) IS NULL THEN _line END")
