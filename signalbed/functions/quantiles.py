@@ -1,13 +1,14 @@
-"""Exact nearest-rank percentiles of groups of any size."""
+"""Exact ranks of the values of groups of any size."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 256
+ONE_SLICE = 1_000_000
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -15,29 +16,42 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def ranked_percentiles(counts: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
-    """The value at rank ``ceil(p / 100 * total)`` of every group.
+def ranked_values(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Value counts with ``rank`` (of the last repeat), and ``total`` and ``sum`` of the group.
 
-    A group is cut into slices of its value range by a small quantile sketch.
-    The sketch only places the cuts: ranks are counted exactly, from the slice
-    totals and a running count inside each slice. So no task holds a whole group.
+    A group of more than a million values is cut into slices of its value range
+    by a small quantile sketch. The sketch only places the cuts: ranks are
+    counted exactly, from the slice totals and a running count inside each
+    slice. So no task holds a whole large group.
     """
     keys = list(keys)
     fractions = [n / SLICES for n in range(1, SLICES)]
     groups = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, fractions, 4 * SLICES).alias("_cuts"), F.sum("n").alias("_total")
+        F.sum("n").alias("total"), F.sum(F.col("n") * F.col(value)).alias("sum"),
+        F.count(F.lit(1)).alias("_values"), F.percentile_approx(value, fractions, 4 * SLICES).alias("_sketch"),
     )
-    below = F.size(F.filter(F.array_distinct("_cuts"), lambda cut: cut < F.col(value)))
-    rows = counts.join(groups, keys).select(*keys, value, "n", "_total", below.alias("_slice"))
+    cuts = F.when(F.col("_values") > ONE_SLICE, F.array_distinct("_sketch")).otherwise(F.array().cast("array<double>"))
+    groups = groups.withColumn("_cuts", cuts).withColumn("_coarse", F.filter("_cuts", lambda _, i: i % 16 == 15))
+    groups = groups.drop("_values", "_sketch")
+    # Cuts below a value, by sixteens first.
+    coarse = F.size(F.filter("_coarse", lambda cut: cut < F.col(value))) * 16
+    fine = F.size(F.filter(F.slice("_cuts", F.col("_sixteens") + 1, F.lit(16)), lambda cut: cut < F.col(value)))
+    rows = counts.join(groups, keys).withColumn("_sixteens", coarse)
+    rows = rows.select(*keys, value, "n", "total", "sum", (F.col("_sixteens") + fine).alias("_slice"))
     slices = rows.groupBy(*keys, "_slice").agg(F.sum("n").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select(*keys, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_past"))
     inside = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_inside", F.sum("n").over(inside)).join(slices, [*keys, "_slice"])
-    rank = F.col("_inside") + F.col("_past")
+    return rows.select(*keys, value, "n", "total", "sum", (F.col("_inside") + F.col("_past")).alias("rank"))
+
 
-    def at(p: float):
-        target = F.least(F.greatest(F.ceil(F.lit(p / 100.0) * F.col("_total")), F.lit(1)), F.col("_total"))
-        return F.min(F.when(rank >= target, F.col(value)))
+def value_at(value: str, p: float) -> Column:
+    """Aggregate over ranked values: the value at rank ``ceil(p / 100 * total)``."""
+    rank = F.least(F.greatest(F.ceil(F.lit(p / 100.0) * F.col("total")), F.lit(1)), F.col("total"))
+    return F.min(F.when(F.col("rank") >= rank, F.col(value)))
 
-    return rows.groupBy(*keys).agg(*[at(p).alias(name) for name, p in wanted.items()])
+
+def ranked_percentiles(counts: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
+    columns = [value_at(value, p).alias(name) for name, p in wanted.items()]
+    return ranked_values(counts, keys, value).groupBy(*keys).agg(*columns)

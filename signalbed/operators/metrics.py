@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalbed.functions.ordered import previous
-from signalbed.functions.quantiles import ranked_percentiles, value_counts
+from signalbed.functions.quantiles import ranked_values, value_at, value_counts
 from signalbed.functions.times import instant, micros
 
 DEFAULT_RESOLUTION = 60
@@ -54,15 +54,14 @@ def metric_statistics(series: DataFrame, start, end, catalog: DataFrame | None =
     With a catalog, a metric without points in the range gets zeros.
     """
     keys = list(keys)
-    counts = value_counts(_in_range(series, start, end), keys, "value")
-    n, v = F.col("n"), F.col("value")
-    means = counts.groupBy(*keys).agg(F.sum("n").alias("count"), F.sum(n * v).alias("sum"))
-    means = means.withColumn("avg", F.col("sum") / F.col("count"))
-    spread = counts.join(means.select(*keys, "count", "sum", "avg"), keys).groupBy(*keys, "count", "sum", "avg").agg(
+    ranked = ranked_values(value_counts(_in_range(series, start, end), keys, "value"), keys, "value")
+    off = F.col("value") - F.col("sum") / F.col("total")
+    stats = ranked.groupBy(*keys).agg(
+        F.max("total").alias("count"), F.max("sum").alias("sum"), F.max(F.col("sum") / F.col("total")).alias("avg"),
         F.min("value").alias("min"), F.max("value").alias("max"),
-        F.sqrt(F.sum(n * F.pow(v - F.col("avg"), 2)) / F.col("count")).alias("stddev"),
+        F.sqrt(F.sum(F.col("n") * off * off) / F.max("total")).alias("stddev"),
+        *[value_at("value", p).alias(name) for name, p in PERCENTILES.items()],
     )
-    stats = spread.join(ranked_percentiles(counts, keys, "value", PERCENTILES), keys)
     if catalog is not None:
         stats = catalog.select(*keys).join(stats, keys, "left")
     names = ["count", "sum", "avg", "min", "max", *PERCENTILES, "stddev"]

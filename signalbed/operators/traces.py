@@ -124,12 +124,11 @@ def span_logs(entries: DataFrame, spans: DataFrame) -> DataFrame:
     logs go to the span whose start is nearest in whole milliseconds, on a tie
     to the earliest start.
     """
-    traces = spans.select(TRACE).distinct()
-    logs = entries.join(traces, TRACE, "left_semi").select(TRACE, "span_id", F.col("id").alias("log_id"), micros(F.col("timestamp")).alias("at"))
+    logs = entries.select(TRACE, "span_id", F.col("id").alias("log_id"), micros(F.col("timestamp")).alias("at"))
     named = F.coalesce(F.trim("span_id") != "", F.lit(False))
-    direct = logs.where(named).select(TRACE, "span_id", "log_id")
+    direct = logs.where(named).join(spans.select(TRACE).distinct(), TRACE, "left_semi").select(TRACE, "span_id", "log_id")
     loose = logs.where(~named).drop("span_id")
-    near = nearest_spans(loose.select(TRACE, "at").distinct(), spans)
+    near = nearest_spans(loose.select(TRACE, "at").distinct(), spans).where("span_id IS NOT NULL")
     return direct.unionByName(loose.join(near, [TRACE, "at"]).select(TRACE, "span_id", "log_id"))
 
 

@@ -6,6 +6,7 @@ import random
 import pandas as pd
 import pytest
 
+from signalbed.functions import quantiles
 from signalbed.functions.forest import climb
 from signalbed.functions.ordered import neighbours, previous, running_total
 from signalbed.functions.quantiles import ranked_percentiles, value_counts
@@ -69,7 +70,9 @@ def test_keep_spaced(spark, chunk, gap, spread):
     assert got == want
 
 
-def test_percentiles_of_a_hot_group(spark):
+@pytest.mark.parametrize("one_slice", [1_000_000, 100])
+def test_percentiles_of_a_hot_group(spark, monkeypatch, one_slice):
+    monkeypatch.setattr(quantiles, "ONE_SLICE", one_slice)
     rng = random.Random(7)
     rows = [("hot", round(rng.lognormvariate(0, 2), 3)) for _ in range(20_000)] + [("hot", 1.0)] * 5000 + [("one", 4.0)]
     df = spark.createDataFrame(pd.DataFrame(rows, columns=["k", "v"]))
