@@ -82,8 +82,8 @@ def _split(pattern: str, count: int) -> str:
     return f"split(regexp_replace(_line, r'{pattern}', '{_MARK}{groups}'), '{_MARK}', {count + 1})"
 
 
-def _groups(parts: str, count: int) -> str:
-    return f"CASE WHEN size({parts}) = {count + 1} AND get({parts}, 0) = '' THEN slice({parts}, 2, {count}) END"
+def _split_ok(parts: str, count: int) -> str:
+    return f"coalesce(size({parts}) = {count + 1} AND get({parts}, 0) = '', false)"
 
 
 def _bound(rows: DataFrame, **named: str) -> DataFrame:
@@ -103,60 +103,56 @@ def parse_raw_logs(df: DataFrame, raw: str = "raw", default_service: Column | No
     rows = _bound(df.withColumn("_default", default), _line=f"coalesce({_trimmed(raw)}, '')")
     rows = rows.select(*kept, "_default", "_line")
 
+    is_object = "startswith(_line, '{')"
+    rows = _bound(rows, _map=f"CASE WHEN {is_object} THEN from_json(_line, 'map<string,string>') END")
+    rows = _bound(rows, _present="map_filter(_map, (k, v) -> v IS NOT NULL)")
+    rows = _bound(rows, _json_values="map_values(_present)", _json_lower="transform(map_keys(_present), k -> lower(k))",
+                  _mixed="map_keys(_present) <> transform(map_keys(_present), k -> lower(k))")
     names = [alias for group in ALIASES.values() for alias in group]
     schema = ", ".join(f"`{alias}` string" for alias in names)
     columns = ", ".join(f"`{_known(alias)}`" for alias in names)
-    rows = rows.selectExpr("*", f"inline(array(CASE WHEN startswith(_line, '{{') THEN from_json(_line, '{schema}') END)) AS ({columns})")
-    rows = _bound(rows, _map="CASE WHEN startswith(_line, '{') THEN from_json(_line, 'map<string,string>') END")
-    rows = _bound(rows, _present="map_filter(_map, (k, v) -> v IS NOT NULL)")
-    rows = _bound(rows, _json_values="map_values(_present)", _json_lower="transform(map_keys(_present), k -> lower(k))")
-    rows = _bound(rows, _mixed="map_keys(_present) <> _json_lower")
-    rows = _bound(rows, _json_level=_json_field("level"), _json_message=_json_field("message"))
+    rows = rows.selectExpr("*", f"inline(array(CASE WHEN _map IS NOT NULL THEN from_json(_line, '{schema}') END)) AS ({columns})")
+    rows = _bound(rows, **{f"_json_{name}": _json_field(name) for name in ALIASES})
+    rows = rows.select(*kept, "_default", "_line", "_map", *[f"_json_{name}" for name in ALIASES])
 
-    rows = _bound(rows, _open="CASE WHEN coalesce(_json_level, _json_message) IS NULL THEN _line END")
+    is_json = "coalesce(_json_level, _json_message) IS NOT NULL"
     # Reversed, so that the first hit is the last pair of that name.
     unquoted = "CASE WHEN v LIKE '\"%\"' THEN substring(v, 2, length(v) - 2) ELSE v END"
+    pairs = f"regexp_extract_all(CASE WHEN NOT ({is_json}) THEN _line END, r'{KEY_VALUE}', %d)"
     rows = _bound(
-        rows, _pair_keys=f"reverse(transform(regexp_extract_all(_open, r'{KEY_VALUE}', 1), k -> lower(k)))",
-        _pair_values=f"reverse(transform(regexp_extract_all(_open, r'{KEY_VALUE}', 2), v -> {unquoted}))",
+        rows, _pair_keys=f"reverse(transform({pairs % 1}, k -> lower(k)))",
+        _pair_values=f"reverse(transform({pairs % 2}, v -> {unquoted}))",
     )
-    rows = _bound(rows, _form="CASE WHEN _open IS NULL THEN 'json' WHEN size(array_distinct(_pair_keys)) >= 2 THEN 'key_value' END")
-    rows = _bound(rows, _parts=f"CASE WHEN _form IS NULL THEN {_split(SPRING_BOOT, 7)} END")
-    rows = _bound(rows, _spring=_groups("_parts", 7))
-    rows = _bound(rows, _rest=f"CASE WHEN _form IS NULL AND _spring IS NULL THEN {_split(SYSLOG, 6)} END")
-    rows = _bound(rows, _syslog=_groups("_rest", 6))
+    rows = _bound(rows, _form=f"CASE WHEN {is_json} THEN 'json' WHEN size(array_distinct(_pair_keys)) >= 2 THEN 'key_value' END")
+    rows = _bound(rows, _spring=f"CASE WHEN _form IS NULL THEN {_split(SPRING_BOOT, 7)} END")
+    rows = _bound(rows, _syslog=f"CASE WHEN _form IS NULL AND NOT ({_split_ok('_spring', 7)}) THEN {_split(SYSLOG, 6)} END")
     rows = _bound(
         rows,
-        log_format="""CASE WHEN _form IS NOT NULL THEN _form WHEN _spring IS NOT NULL THEN 'spring_boot'
-            WHEN _syslog IS NOT NULL THEN 'syslog' ELSE 'plain' END""",
-        _thrown=f"CASE WHEN _form = 'json' THEN {_json_field('exception')} END",
+        log_format=f"""CASE WHEN _form IS NOT NULL THEN _form WHEN {_split_ok('_spring', 7)} THEN 'spring_boot'
+            WHEN {_split_ok('_syslog', 6)} THEN 'syslog' ELSE 'plain' END""",
         _extras=f"CASE WHEN _form = 'json' THEN {_extras()} END",
     )
 
-    # A few fields at a time: the generated methods stay small enough to be compiled.
-    rows = _bound(rows, level=_field("level"), _message=_field("message"), _time=_field("timestamp"))
-    rows = _bound(rows, _service=_field("service_name"), correlation_id=_field("correlation_id"), trace_id=_field("trace_id"))
-    rows = _bound(rows, span_id=_field("span_id"), logger_name=_field("logger_name"), thread_name=_field("thread_name"))
-    rows = _bound(rows, host_name=_field("host_name"), stack_trace=_field("stack_trace"), custom_fields=_field("custom_fields"))
-    rows = _bound(rows, exception_class=_field("exception_class"), exception_message=_field("exception_message"))
-    rows = rows.withColumn("_at", parse_time(F.col("_time")))
-    rows = _bound(
-        rows, message=f"left(_message, {MAX_MESSAGE})", timestamp="_at",
-        service_name="""CASE WHEN log_format = 'plain' OR trim(_service) <> '' THEN _service
+    rows = _bound(rows, **{f"_{name}": _field(name) for name in PARSED})
+    rows = rows.select(*kept, "_default", "log_format", *[f"_{name}" for name in PARSED]).withColumn("_at", parse_time(F.col("_timestamp")))
+    final = {
+        "message": f"left(_message, {MAX_MESSAGE})", "timestamp": "_at",
+        "service_name": """CASE WHEN log_format = 'plain' OR trim(_service_name) <> '' THEN _service_name
             WHEN trim(_default) <> '' THEN _default ELSE 'unknown' END""",
-    )
+    }
+    rows = _bound(rows, **{name: final.get(name, f"_{name}") for name in PARSED})
     return rows.select(*kept, *PARSED, "log_format")
 
 
 def _field(name: str) -> str:
     """A field as each line format gives it."""
-    thrown_class = "instr(_thrown, ':') > 1"
+    thrown_class = "instr(_json_exception, ':') > 1"
     special = {
         "json": {
             "level": "coalesce(_json_level, 'INFO')",
             "message": "coalesce(_json_message, _line)",
-            "exception_class": f"CASE WHEN {thrown_class} THEN {_trimmed('substring_index(_thrown, chr(58), 1)')} END",
-            "exception_message": f"CASE WHEN {thrown_class} THEN {_trimmed('substring(_thrown, instr(_thrown, chr(58)) + 1)')} ELSE _thrown END",
+            "exception_class": f"CASE WHEN {thrown_class} THEN {_trimmed('substring_index(_json_exception, chr(58), 1)')} END",
+            "exception_message": f"CASE WHEN {thrown_class} THEN {_trimmed('substring(_json_exception, instr(_json_exception, chr(58)) + 1)')} ELSE _json_exception END",
             "custom_fields": "CASE WHEN size(_extras) > 0 THEN to_json(_extras) END",
         },
         "key_value": {
@@ -165,21 +161,21 @@ def _field(name: str) -> str:
             "stack_trace": "NULL",
         },
         "spring_boot": {
-            "timestamp": "_spring[0]", "level": "_spring[1]", "logger_name": "_spring[5]",
-            "thread_name": _trimmed("_spring[4]"), "message": _trimmed("_spring[6]"),
-            **{field: "nullif(" + _trimmed(f"get(split(_spring[2], ','), {n})") + ", '')"
+            "timestamp": "_spring[1]", "level": "_spring[2]", "logger_name": "_spring[6]",
+            "thread_name": _trimmed("_spring[5]"), "message": _trimmed("_spring[7]"),
+            **{field: "nullif(" + _trimmed(f"get(split(_spring[3], ','), {n})") + ", '')"
                for n, field in enumerate(("service_name", "trace_id", "span_id"))},
         },
         "syslog": {
-            "level": f"coalesce(get(array({', '.join(repr(level) for level in SYSLOG_LEVELS)}), try_cast(_syslog[0] AS INT) & 7), 'INFO')",
-            "host_name": "_syslog[2]", "service_name": "_syslog[3]", "message": _trimmed("_syslog[5]"),
+            "level": f"coalesce(get(array({', '.join(repr(level) for level in SYSLOG_LEVELS)}), try_cast(_syslog[1] AS INT) & 7), 'INFO')",
+            "host_name": "_syslog[3]", "service_name": "_syslog[4]", "message": _trimmed("_syslog[6]"),
         },
         "plain": {
             "level": "'INFO'", "message": "CASE WHEN _line = '' THEN '(empty)' ELSE _line END", "service_name": "_default",
         },
     }
     if name in ALIASES:
-        special["json"].setdefault(name, _json_field(name))
+        special["json"].setdefault(name, f"_json_{name}")
         special["key_value"].setdefault(name, _pair_field(name))
     cases = " ".join(f"WHEN '{form}' THEN {given[name]}" for form, given in special.items() if name in given)
     return f"string(CASE log_format {cases} END)"
