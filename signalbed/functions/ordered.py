@@ -20,7 +20,16 @@ from signalbed.functions.times import DAY, SECOND
 
 
 def _slotted(df: DataFrame, at: str) -> DataFrame:
-    return df.withColumn("_second", F.expr(f"{at} div {SECOND}")).withColumn("_day", F.expr(f"{at} div {DAY}"))
+    return df.withColumn("_second", F.expr(f"{at} div {SECOND}"))
+
+
+def _per_second(rows: DataFrame, keys: list[str], *columns: Column) -> DataFrame:
+    """One row per second, with its day.
+
+    The day is taken from the second, after the grouping: so rows and seconds
+    read the same columns and share one shuffle.
+    """
+    return rows.groupBy(*keys, "_second").agg(*columns).withColumn("_day", F.expr(f"_second div {DAY // SECOND}"))
 
 
 def _before(keys: Sequence[str], slot: Column) -> Window:
@@ -34,7 +43,7 @@ def running_total(df: DataFrame, keys: Sequence[str], at: str, value: str, out:
     rows = _slotted(df, at)
     inside = Window.partitionBy(*keys, "_second").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_inside", F.sum(value).over(inside))
-    seconds = rows.groupBy(*keys, "_second", "_day").agg(F.max_by("_inside", F.struct(*order)).alias("_sum"))
+    seconds = _per_second(rows, keys, F.max_by("_inside", F.struct(*order)).alias("_sum"))
     days = seconds.groupBy(*keys, "_day").agg(F.sum("_sum").alias("_sum"))
     days = days.select(
         *keys, "_day", F.coalesce(F.sum("_sum").over(_before(keys, F.col("_day"))), F.lit(0)).alias("_past_days")
@@ -49,7 +58,7 @@ def running_total(df: DataFrame, keys: Sequence[str], at: str, value: str, out:
     return (
         rows.join(past, [*keys, "_second"])
         .withColumn(out, F.col("_inside") + F.col("_past"))
-        .drop("_second", "_day", "_inside", "_past")
+        .drop("_second", "_inside", "_past")
     )
 
 
@@ -71,8 +80,8 @@ def neighbours(points: DataFrame, probes: DataFrame, keys: Sequence[str], at: st
     ).withColumn(
         "_next", F.last("_point", ignorenulls=True).over(cell.orderBy(F.col(at).desc(), F.col("_probe")))
     )
-    seconds = rows.groupBy(*keys, "_second", "_day").agg(
-        F.max_by("_prev", F.struct(F.col(at), F.col("_probe"))).alias("_last"),
+    seconds = _per_second(
+        rows, keys, F.max_by("_prev", F.struct(F.col(at), F.col("_probe"))).alias("_last"),
         F.max_by("_next", F.struct(-F.col(at), F.col("_probe"))).alias("_first"),
     )
     days = seconds.groupBy(*keys, "_day").agg(F.max("_last").alias("_last"), F.min("_first").alias("_first"))
@@ -107,7 +116,7 @@ def previous(df: DataFrame, keys: Sequence[str], at: str, payload: Sequence[str]
     row = F.struct(F.col(at), *[F.col(name) for name in payload])
     rows = _slotted(df.withColumn("_row", row), at)
     rows = rows.withColumn("_lag", F.lag("_row").over(Window.partitionBy(*keys, "_second").orderBy(at)))
-    seconds = rows.groupBy(*keys, "_second", "_day").agg(F.max("_row").alias("_last"))
+    seconds = _per_second(rows, keys, F.max("_row").alias("_last"))
     days = seconds.groupBy(*keys, "_day").agg(F.max("_last").alias("_last"))
     days = days.select(*keys, "_day", F.last("_last").over(_before(keys, F.col("_day"))).alias("_last_day"))
     seconds = seconds.select(
@@ -120,5 +129,5 @@ def previous(df: DataFrame, keys: Sequence[str], at: str, payload: Sequence[str]
     return (
         rows.join(earlier, [*keys, "_second"])
         .withColumn("before", F.coalesce("_lag", "_earlier"))
-        .drop("_second", "_day", "_row", "_lag", "_earlier")
+        .drop("_second", "_row", "_lag", "_earlier")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from signalbed.functions.spacing import CHUNK_ROWS, keep_spaced
 from signalbed.functions.times import MINUTE, instant, micros
+from signalbed.session import if_small
 
 # Fixed values.
 SEVERITIES = ("INFO", "WARNING", "CRITICAL")
@@ -24,13 +25,12 @@ def trigger_message(source: Column) -> Column:
 def fan_out(hits: DataFrame, rules: DataFrame) -> DataFrame:
     """Every fired trap with each of its active rules.
 
-    (trap_id, id, fired_at, message) joined to the rule columns; no broadcast
-    hint, so Spark's own size limit decides.
+    (trap_id, id, fired_at, message) joined to the rule columns.
     """
     fired = hits.select("trap_id", F.col("id").alias("entry_id"), F.col("timestamp").alias("fired_at"),
                         trigger_message(F.col("service_name")).alias("message"))
     active = rules.where("is_active").select("rule_id", "team_id", "trap_id", "channel_id", "severity", "throttle_minutes")
-    return fired.join(active, "trap_id")
+    return fired.join(if_small(active), "trap_id")
 
 
 def not_recently_fired(fires: DataFrame, history: DataFrame) -> DataFrame:
@@ -73,9 +73,9 @@ def to_history(alerts: DataFrame) -> DataFrame:
 
 def with_names(history: DataFrame, rules: DataFrame, traps: DataFrame, channels: DataFrame) -> DataFrame:
     return (
-        history.join(rules.select("rule_id", F.col("name").alias("rule_name")), "rule_id")
-        .join(traps.select("trap_id", F.col("name").alias("trap_name")), "trap_id")
-        .join(channels.select("channel_id", F.col("name").alias("channel_name")), "channel_id")
+        history.join(if_small(rules.select("rule_id", F.col("name").alias("rule_name"))), "rule_id")
+        .join(if_small(traps.select("trap_id", F.col("name").alias("trap_name"))), "trap_id")
+        .join(if_small(channels.select("channel_id", F.col("name").alias("channel_name"))), "channel_id")
     )
 
 
@@ -139,8 +139,8 @@ def outbox(history: DataFrame, channels: DataFrame, traps: DataFrame, title: str
     """One message per alert and target with its JSON body; nothing is sent."""
     config = F.from_json("configuration", "recipients array<string>, subject_prefix string, url string, webhook_url string")
     rows = (
-        history.join(channels.where("is_active").select("channel_id", "channel_type", config.alias("c")), "channel_id")
-        .join(traps.select("trap_id", F.col("name").alias("trap_name")), "trap_id")
+        history.join(if_small(channels.where("is_active").select("channel_id", "channel_type", config.alias("c"))), "channel_id")
+        .join(if_small(traps.select("trap_id", F.col("name").alias("trap_name"))), "trap_id")
     )
     rows = rows.withColumn("_time", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     time = F.col("_time")

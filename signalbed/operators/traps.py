@@ -119,23 +119,38 @@ def window_counts(entries: DataFrame, condition: Condition, keys: Sequence[str]
     return totals.groupBy(*keys, moment.alias("at")).agg(F.sum(signed).alias("window_count"))
 
 
+def _counting(condition: Condition) -> tuple:
+    """What a count depends on: the window, and service and level when both are given."""
+    both = condition.get("service_name") and condition.get("log_level")
+    return (int(condition["window_seconds"]), *((condition["service_name"], parse_level(condition["log_level"])) if both else (None, None)))
+
+
 def frequency_hits(entries: DataFrame, traps: Sequence[Mapping]) -> DataFrame:
-    """One row per entry and active frequency trap of its team whose thresholds are all reached."""
-    found = None
+    """One row per entry and active frequency trap of its team whose thresholds are all reached.
+
+    Counts are made once for all teams and for all conditions that count alike.
+    """
+    rules = []
     for trap in _active(traps, "FREQUENCY"):
-        hits = entries.where(F.col("team_id") == F.lit(trap["team_id"])).withColumn("_at", micros(F.col("timestamp")))
-        for condition in trap["conditions"]:
-            if condition["condition_type"] != "FREQUENCY_THRESHOLD":
-                continue
-            if condition.get("threshold") is None or condition.get("window_seconds") is None:
-                hits = hits.where(F.lit(False))
-                continue
-            counts = window_counts(entries.where(F.col("team_id") == F.lit(trap["team_id"])), condition)
-            reached = counts.where(F.col("window_count") >= condition["threshold"]).select("team_id", F.col("at").alias("_at"))
-            hits = hits.join(reached, ["team_id", "_at"], "left_semi")
-        hits = hits.drop("_at").withColumn("trap_id", F.lit(trap["trap_id"]))
-        found = hits if found is None else found.unionByName(hits)
-    return entries.withColumn("trap_id", F.lit(None).cast("string")).where(F.lit(False)) if found is None else found
+        conditions = [c for c in trap["conditions"] if c["condition_type"] == "FREQUENCY_THRESHOLD"]
+        # Without threshold or window a condition never holds.
+        if all(c.get("threshold") is not None and c.get("window_seconds") is not None for c in conditions):
+            rules.append((trap, conditions))
+    if not rules:
+        return entries.withColumn("trap_id", F.lit(None).cast("string")).where(F.lit(False))
+    own = entries.where(F.col("team_id").isin(sorted({trap["team_id"] for trap, _ in rules})))
+    counts = {_counting(c): c for _, conditions in rules for c in conditions}
+    names = {key: f"_count{n}" for n, key in enumerate(counts)}
+    rows = own.withColumn("_at", micros(F.col("timestamp")))
+    for key, condition in counts.items():
+        counted = window_counts(own, condition).select("team_id", F.col("at").alias("_at"), F.col("window_count").alias(names[key]))
+        rows = rows.join(counted, ["team_id", "_at"])
+    tests = []
+    for trap, conditions in rules:
+        parts = [F.col("team_id") == F.lit(trap["team_id"])] + [F.col(names[_counting(c)]) >= c["threshold"] for c in conditions]
+        tests.append(F.when(reduce(Column.__and__, parts), F.lit(trap["trap_id"])))
+    rows = rows.withColumn("_hits", F.array_compact(F.array(*tests))).withColumn("trap_id", F.explode("_hits"))
+    return rows.select(*entries.columns, "trap_id")
 
 
 def trap_hits(entries: DataFrame, traps: Sequence[Mapping]) -> DataFrame:
