@@ -34,7 +34,7 @@ CURRENT = f"""
     UNION ALL SELECT team_id, service_name, name, avg(value) FROM points WHERE {RECENT} GROUP BY ALL"""
 CHECKS = """
     SELECT b.team_id, b.service_name, b.metric_name, coalesce(c.current_value, 0) AS current_value, b.baseline_value, b.standard_deviation,
-      2.0 AS deviation_threshold, abs(coalesce(c.current_value, 0) - b.baseline_value) / b.standard_deviation AS z_score
+      CAST(2.0 AS DOUBLE) AS deviation_threshold, abs(coalesce(c.current_value, 0) - b.baseline_value) / b.standard_deviation AS z_score
     FROM baselines b LEFT JOIN current_values c ON b.team_id = c.team_id AND b.service_name = c.service_name AND b.metric_name = c.metric_name"""
 ALL = {
     "hours": HOURS, "log_hours": LOG_HOURS, "metric_hours": METRIC_HOURS, "series": SERIES, "baselines": BASELINES,
@@ -91,9 +91,9 @@ def _known(spark, folder):
 
 
 @query("e19_recalculated_baselines", _sql("""
-    SELECT team_id, service_name, metric_name, round(baseline_value, 6) AS baseline_value, sample_count, 3.0 AS deviation_threshold,
+    SELECT team_id, service_name, metric_name, round(baseline_value, 6) AS baseline_value, sample_count, CAST(3.0 AS DOUBLE) AS deviation_threshold,
       TIMESTAMP '2024-01-23 23:30:00' AS window_start_time FROM baselines WHERE metric_name IN ('log_volume', 'error_rate')
-    UNION ALL SELECT k.team_id, concat(k.service_name, '-gone'), 'log_volume', round(avg(k.n), 6), count(*), 3.0, TIMESTAMP '2024-01-02'
+    UNION ALL SELECT k.team_id, concat(k.service_name, '-gone'), 'log_volume', round(avg(k.n), 6), count(*), CAST(3.0 AS DOUBLE), TIMESTAMP '2024-01-02'
     FROM (SELECT s.team_id, s.service_name, h.range, count(l.id) AS n FROM (SELECT DISTINCT team_id, service_name FROM log_entries) s
       CROSS JOIN range(168) h LEFT JOIN log_entries l ON l.team_id = s.team_id AND l.service_name = s.service_name
         AND l.timestamp BETWEEN TIMESTAMP '2024-01-02' + to_hours(CAST(h.range AS INT)) AND TIMESTAMP '2024-01-02' + to_hours(CAST(h.range + 1 AS INT))
