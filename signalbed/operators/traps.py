@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,13 +40,18 @@ def trap_field(name: str | None) -> Column | None:
     return F.col(column) if column in TRAP_FIELDS else None
 
 
+_usable: dict[str, bool] = {}
+
+
 def usable_pattern(spark: SparkSession, pattern: str) -> bool:
-    """Whether the pattern compiles, asked of the engine that will run it."""
-    try:
-        spark.range(1).select(F.lit("").rlike(pattern)).collect()
-    except Exception:
-        return False
-    return True
+    """Whether the pattern compiles, asked once of the engine that will run it."""
+    if pattern not in _usable:
+        try:
+            spark.range(1).select(F.lit("").rlike(pattern)).collect()
+            _usable[pattern] = True
+        except SparkRuntimeException:
+            _usable[pattern] = False
+    return _usable[pattern]
 
 
 def _matches(condition: Condition, spark: SparkSession) -> Column:

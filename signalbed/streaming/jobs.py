@@ -41,7 +41,11 @@ def metric_rollup(series: DataFrame, resolution: int = 60, late: str = "10 minut
 
 
 def trace_sessions(spans: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """A trace is complete when nothing was added for ``gap``."""
+    """A trace is complete when nothing was added for ``gap``.
+
+    Sessions are merged before the shuffle too, so a large trace arrives as a few rows.
+    """
+    spans.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     rows = spans.withWatermark("start_time", late)
     return rows.groupBy(TRACE, F.session_window("start_time", gap)).agg(
         F.count(F.lit(1)).alias("span_count"), F.bool_or(F.col("status") == "ERROR").alias("has_errors"),
