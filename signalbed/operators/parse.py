@@ -58,14 +58,9 @@ def _trimmed(text: str) -> str:
     return f"btrim({text}, {_BLANKS})"
 
 
-def _known(alias: str) -> str:
-    """The column that holds the value of a JSON key spelled exactly like this."""
-    return f"_json {alias}"
-
-
 def _json_field(name: str) -> str:
     """Exact key first, then the first key that matches in any case."""
-    exact = ", ".join(f"`{_known(alias)}`" for alias in ALIASES[name])
+    exact = ", ".join(f"j.`{alias}`" for alias in ALIASES[name])
     places = ", ".join(f"nullif(array_position(_json_lower, '{alias}'), 0)" for alias in ALIASES[name])
     return f"coalesce({exact}, CASE WHEN _mixed THEN get(_json_values, int(least({places})) - 1) END)"
 
@@ -103,26 +98,25 @@ def parse_raw_logs(df: DataFrame, raw: str = "raw", default_service: Column | No
     rows = _bound(df.withColumn("_default", default), _line=f"coalesce({_trimmed(raw)}, '')")
     rows = rows.select(*kept, "_default", "_line")
 
-    is_object = "startswith(_line, '{')"
-    rows = _bound(rows, _map=f"CASE WHEN {is_object} THEN from_json(_line, 'map<string,string>') END")
+    rows = _bound(rows, _map="CASE WHEN startswith(_line, '{') THEN from_json(_line, 'map<string,string>') END")
     rows = _bound(rows, _present="map_filter(_map, (k, v) -> v IS NOT NULL)")
     rows = _bound(rows, _json_values="map_values(_present)", _json_lower="transform(map_keys(_present), k -> lower(k))",
                   _mixed="map_keys(_present) <> transform(map_keys(_present), k -> lower(k))")
-    names = [alias for group in ALIASES.values() for alias in group]
-    schema = ", ".join(f"`{alias}` string" for alias in names)
-    columns = ", ".join(f"`{_known(alias)}`" for alias in names)
-    rows = rows.selectExpr("*", f"inline(array(CASE WHEN _map IS NOT NULL THEN from_json(_line, '{schema}') END)) AS ({columns})")
-    rows = _bound(rows, **{f"_json_{name}": _json_field(name) for name in ALIASES})
+    schema = ", ".join(f"`{alias}` string" for group in ALIASES.values() for alias in group)
+    fields = ", ".join(f"'_json_{name}', {_json_field(name)}" for name in ALIASES)
+    # Lines that are no JSON skip the fields as a whole.
+    rows = rows.selectExpr("*", f"""inline(transform(array(CASE WHEN _map IS NOT NULL THEN from_json(_line, '{schema}') END),
+        j -> CASE WHEN j IS NOT NULL THEN named_struct({fields}) END))""")
     rows = rows.select(*kept, "_default", "_line", "_map", *[f"_json_{name}" for name in ALIASES])
 
     is_json = "coalesce(_json_level, _json_message) IS NOT NULL"
     # Reversed, so that the first hit is the last pair of that name.
-    unquoted = "CASE WHEN v LIKE '\"%\"' THEN substring(v, 2, length(v) - 2) ELSE v END"
-    pairs = f"regexp_extract_all(CASE WHEN NOT ({is_json}) THEN _line END, r'{KEY_VALUE}', %d)"
-    rows = _bound(
-        rows, _pair_keys=f"reverse(transform({pairs % 1}, k -> lower(k)))",
-        _pair_values=f"reverse(transform({pairs % 2}, v -> {unquoted}))",
-    )
+    rows = _bound(rows, _pairs=f"""CASE WHEN NOT ({is_json}) AND contains(_line, '=')
+        THEN reverse(regexp_extract_all(_line, r'{KEY_VALUE}', 0)) END""")
+    value = "substring(p, instr(p, '=') + 1)"
+    unquoted = f"CASE WHEN {value} LIKE '\"%\"' THEN substring({value}, 2, length({value}) - 2) ELSE {value} END"
+    rows = _bound(rows, _pair_keys="transform(_pairs, p -> lower(substring_index(p, '=', 1)))",
+                  _pair_values=f"transform(_pairs, p -> {unquoted})")
     rows = _bound(rows, _form=f"CASE WHEN {is_json} THEN 'json' WHEN size(array_distinct(_pair_keys)) >= 2 THEN 'key_value' END")
     rows = _bound(rows, _spring=f"CASE WHEN _form IS NULL THEN {_split(SPRING_BOOT, 7)} END")
     rows = _bound(rows, _syslog=f"CASE WHEN _form IS NULL AND NOT ({_split_ok('_spring', 7)}) THEN {_split(SYSLOG, 6)} END")

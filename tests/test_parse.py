@@ -51,6 +51,7 @@ def test_key_value(spark):
         "key_value", "ERROR", "two words", "api", "h1")
     assert row["timestamp"] == dt.datetime(2024, 1, 15, 9, 50, 45)
     assert parsed(spark, "a=1 a=2 hello")["log_format"] == "plain"
+    assert parsed(spark, 'msg=b="c" host="h=1" level=warn')["message"] == 'b="c"'
 
 
 def test_spring_boot(spark):
