@@ -28,6 +28,7 @@ SAMPLE_CHARS = 512
 PIECE_BYTES = 4_096
 LEVEL = 5
 MARGIN = 0.02
+MOST_LANGUAGES = 10_000
 UNKNOWN = "und"
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, reliable boolean"
 
@@ -50,12 +51,15 @@ def fit(
     texts take part. The driver gets ``languages * sample_rows`` such pieces:
     that is the bound of the sample. Languages are ordered by their rows.
     """
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
+    known = docs.where("lang IS NOT NULL")
     counts = known.groupBy("lang").count()
+    few = counts.limit(MOST_LANGUAGES + 1).collect()
+    if len(few) <= MOST_LANGUAGES:  # then a broadcast holds them; beyond, the join shuffles
+        counts = F.broadcast(docs.sparkSession.createDataFrame(few, counts.schema))
     place = (F.xxhash64("doc_id", F.lit("lang")) % 1_000_000 + 1_000_000) % 1_000_000
     picked = (
         known.join(counts, "lang")
-        .where(place < F.lit(sample_rows * 1_000_000.0) / F.col("count"))
+        .where(F.col("text").isNotNull() & (place < F.lit(sample_rows * 1_000_000.0) / F.col("count")))
         .select("lang", "count", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("at"))
     )
     texts: dict[tuple[int, str], list[tuple[int, bytes]]] = {}

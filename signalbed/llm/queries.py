@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from signalbed.llm.lang_id import op1_language_id
 from signalbed.llm.licenses import op6_license_scan
+from signalbed.llm.quality import op3_quality
+from signalbed.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_quality": op3_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
 }
 CHECKS: dict[str, str] = {}
