@@ -13,6 +13,7 @@ import dataclasses
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -172,8 +173,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **se
 
 def severity_udf(spark, model: Severity, toxic_from: float = TOXIC_FROM):
     """A column function text -> struct(severity, grade, p_toxic, toxic)."""
-    import pandas as pd
-
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("severity double, grade int, p_toxic double, toxic boolean")
