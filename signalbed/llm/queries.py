@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from signalbed.llm.bpe import op8_bpe
 from signalbed.llm.lang_id import op1_language_id
 from signalbed.llm.licenses import op6_license_scan
 from signalbed.llm.quality import op3_quality
@@ -12,5 +13,6 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
+    "op8_bpe": op8_bpe,
 }
 CHECKS: dict[str, str] = {}

@@ -24,13 +24,13 @@ from signalbed.llm.rows import per_document
 #: Most labelled rows (about) that the fit looks at, chosen by a hash of the id.
 SAMPLE_ROWS = 8_000
 MIN_DOCS = 5
-PENALTY = 1.5
+PENALTY = 0.5
 STEPS = 300
 #: Features that take part in the steps: those with the steepest slope where all weights are zero.
 MAX_FEATURES = 6_000
 STEMS = (4, 5, 6, 8)
 #: A text counts as toxic from this probability of a grade above 0.
-TOXIC_FROM = 0.15
+TOXIC_FROM = 0.4
 SCHEMA = "doc_id bigint, severity double, grade int, p_toxic double, toxic boolean"
 
 _WORD = regex.compile(r"\p{L}+")
