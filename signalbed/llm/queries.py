@@ -5,6 +5,7 @@ from __future__ import annotations
 from signalbed.llm.bpe import op8_bpe
 from signalbed.llm.lang_id import op1_language_id
 from signalbed.llm.licenses import op6_license_scan
+from signalbed.llm.pii import op9_pii
 from signalbed.llm.quality import op3_quality
 from signalbed.llm.toxicity import op5_toxicity
 
@@ -14,5 +15,6 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
     "op8_bpe": op8_bpe,
+    "op9_pii": op9_pii,
 }
 CHECKS: dict[str, str] = {}
