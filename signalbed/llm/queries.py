@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from signalbed.llm.bpe import op8_bpe
+from signalbed.llm.decontaminate import OP10_SQL, op10_decontaminate
 from signalbed.llm.lang_id import op1_language_id
 from signalbed.llm.licenses import op6_license_scan
 from signalbed.llm.pii import op9_pii
@@ -16,5 +17,8 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
+    "op10_decontaminate": op10_decontaminate,
+}
+CHECKS: dict[str, str] = {
+    "op10_decontaminate": OP10_SQL,
 }
-CHECKS: dict[str, str] = {}
