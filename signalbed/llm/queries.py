@@ -8,11 +8,13 @@ from signalbed.llm.lang_id import op1_language_id
 from signalbed.llm.licenses import op6_license_scan
 from signalbed.llm.pii import op9_pii
 from signalbed.llm.quality import op3_quality
+from signalbed.llm.substrings import OP4_SQL, op4_substrings
 from signalbed.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_quality": op3_quality,
+    "op4_substrings": op4_substrings,
     "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
     "op8_bpe": op8_bpe,
@@ -20,5 +22,6 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 CHECKS: dict[str, str] = {
+    "op4_substrings": OP4_SQL,
     "op10_decontaminate": OP10_SQL,
 }
