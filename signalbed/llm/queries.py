@@ -6,6 +6,7 @@ from signalbed.llm.bpe import op8_bpe
 from signalbed.llm.decontaminate import OP10_SQL, op10_decontaminate
 from signalbed.llm.lang_id import op1_language_id
 from signalbed.llm.licenses import op6_license_scan
+from signalbed.llm.minhash import op7_minhash
 from signalbed.llm.pii import op9_pii
 from signalbed.llm.quality import op3_quality
 from signalbed.llm.substrings import OP4_SQL, op4_substrings
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_substrings": op4_substrings,
     "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
+    "op7_minhash": op7_minhash,
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
