@@ -11,9 +11,11 @@ from signalbed.llm.pii import op9_pii
 from signalbed.llm.quality import op3_quality
 from signalbed.llm.substrings import OP4_SQL, op4_substrings
 from signalbed.llm.toxicity import op5_toxicity
+from signalbed.llm.vectors import op2_embedding_dedup
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_quality": op3_quality,
     "op4_substrings": op4_substrings,
     "op5_toxicity": op5_toxicity,
