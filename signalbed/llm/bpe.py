@@ -386,8 +386,10 @@ def encoder_factory(spark: SparkSession, docs: DataFrame, vocabulary_path: str,
     return make
 
 
-def encode(docs: DataFrame, vocabulary_path: str | None = None, words: int = LEXICON_WORDS) -> DataFrame:
-    """``doc_id``, ``ids`` (array) and ``decoded`` of every row of ``docs`` (``doc_id text``).
+def encode(
+    docs: DataFrame, vocabulary_path: str | None = None, words: int = LEXICON_WORDS, decoded: bool = True
+) -> DataFrame:
+    """``doc_id``, ``ids`` (array) and, if wanted, ``decoded`` of every row of ``docs`` (``doc_id text``).
 
     A null or empty text has no ids and decodes to an empty text. Repeated rows
     are answered one by one; other columns are ignored.
@@ -399,13 +401,13 @@ def encode(docs: DataFrame, vocabulary_path: str | None = None, words: int = LEX
 
         def work(batch: pa.RecordBatch) -> dict:
             ids = [encoder.encode(t) for t in batch["text"].to_pylist()]
-            return {"doc_id": batch["doc_id"], "ids": [np.frombuffer(i, "<u4").astype(np.int32) for i in ids],
-                    "decoded": [encoder.decode(i).decode() for i in ids]}
+            out = {"doc_id": batch["doc_id"], "ids": [np.frombuffer(i, "<i4") for i in ids]}
+            return out | {"decoded": [encoder.decode(i).decode() for i in ids]} if decoded else out
 
         return work
 
     columns = [F.col("doc_id").cast("bigint"), "text"]
-    return per_document(docs, columns, start, "doc_id bigint, ids array<int>, decoded string")
+    return per_document(docs, columns, start, "doc_id bigint, ids array<int>" + ", decoded string" * decoded)
 
 
 def digests(docs: DataFrame, vocabulary_path: str | None = None, words: int = LEXICON_WORDS) -> DataFrame:
