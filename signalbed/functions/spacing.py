@@ -50,7 +50,7 @@ def keep_spaced(times: DataFrame, key: str, at: str, gap: str, chunk_rows: int =
     rows = cut_lineage(rows.select("key", "at", "gap", F.expr(f"(_rank - 1) div {chunk_rows}").alias("chunk")))
     last_chunk = rows.agg(F.max("chunk")).first()[0] or 0
     firsts = rows.groupBy("key").agg(F.min("at").alias("entry")).withColumn("chunk", F.lit(0).cast("long"))
-    entries = firsts if last_chunk == 0 else _chunk_entries(rows, firsts, last_chunk)
+    entries = _chunk_entries(rows, firsts, last_chunk)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         kept = _walk(np.sort(pdf["at"].to_numpy()), int(pdf["gap"].iloc[0]), int(pdf["entry"].iloc[0]))

@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from signalbed.functions.spacing import CHUNK_ROWS, keep_spaced
 from signalbed.functions.times import MINUTE, instant, micros
-from signalbed.session import if_small
 
 # Fixed values.
 SEVERITIES = ("INFO", "WARNING", "CRITICAL")
 CARD_COLOURS = {"INFO": "0076D7", "WARNING": "FFA500", "CRITICAL": "FF0000"}
+#: Length of the short form of an alert's text, for callers that ask for it.
 ALERT_TEXT = 200
 
 
-def trigger_message(source: Column) -> Column:
-    """``Log entry [LEVEL] source: text`` with the text cut to 200 characters."""
+def trigger_message(source: Column, limit: int | None = None) -> Column:
+    """``Log entry [LEVEL] source: text``; with a ``limit``, a longer text is cut to it and marked."""
     text = F.coalesce("message", F.lit(""))
-    cut = F.when(F.length(text) > ALERT_TEXT, F.concat(F.left(text, F.lit(ALERT_TEXT)), F.lit("..."))).otherwise(text)
-    return F.format_string("Log entry [%s] %s: %s", F.col("level"), F.coalesce(source, F.lit("unknown")), cut)
+    if limit is not None:
+        text = F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("..."))).otherwise(text)
+    return F.format_string("Log entry [%s] %s: %s", F.col("level"), F.coalesce(source, F.lit("unknown")), text)
 
 
 def fan_out(hits: DataFrame, rules: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def fan_out(hits: DataFrame, rules: DataFrame) -> DataFrame:
     fired = hits.select("trap_id", F.col("id").alias("entry_id"), F.col("timestamp").alias("fired_at"),
                         trigger_message(F.col("service_name")).alias("message"))
     active = rules.where("is_active").select("rule_id", "team_id", "trap_id", "channel_id", "severity", "throttle_minutes")
-    return fired.join(if_small(active), "trap_id")
+    return fired.join(active, "trap_id")
 
 
 def not_recently_fired(fires: DataFrame, history: DataFrame) -> DataFrame:
@@ -73,9 +74,9 @@ def to_history(alerts: DataFrame) -> DataFrame:
 
 def with_names(history: DataFrame, rules: DataFrame, traps: DataFrame, channels: DataFrame) -> DataFrame:
     return (
-        history.join(if_small(rules.select("rule_id", F.col("name").alias("rule_name"))), "rule_id")
-        .join(if_small(traps.select("trap_id", F.col("name").alias("trap_name"))), "trap_id")
-        .join(if_small(channels.select("channel_id", F.col("name").alias("channel_name"))), "channel_id")
+        history.join(rules.select("rule_id", F.col("name").alias("rule_name")), "rule_id")
+        .join(traps.select("trap_id", F.col("name").alias("trap_name")), "trap_id")
+        .join(channels.select("channel_id", F.col("name").alias("channel_name")), "channel_id")
     )
 
 
@@ -139,10 +140,10 @@ def outbox(history: DataFrame, channels: DataFrame, traps: DataFrame, title: str
     """One message per alert and target with its JSON body; nothing is sent."""
     config = F.from_json("configuration", "recipients array<string>, subject_prefix string, url string, webhook_url string")
     rows = (
-        history.join(if_small(channels.where("is_active").select("channel_id", "channel_type", config.alias("c"))), "channel_id")
-        .join(if_small(traps.select("trap_id", F.col("name").alias("trap_name"))), "trap_id")
+        history.join(channels.where("is_active").select("channel_id", "channel_type", config.alias("c")), "channel_id")
+        .join(traps.select("trap_id", F.col("name").alias("trap_name")), "trap_id")
     )
-    rows = rows.withColumn("_time", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    rows = rows.withColumn("_time", F.date_format(F.to_utc_timestamp("created_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     time = F.col("_time")
     heading = F.concat(F.lit("["), F.col("severity"), F.lit("] "), F.col("trap_name"))
 

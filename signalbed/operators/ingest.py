@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from signalbed import schemas
 from signalbed.functions.levels import normal_level
 from signalbed.functions.times import ISO_INSTANT, instant, millis_between
-from signalbed.operators.parse import MAX_MESSAGE, parse_raw_logs, reject_reasons
+from signalbed.operators.parse import parse_raw_logs, reject_reasons
 
-# Field limits of incoming records.
+# Field limits of incoming records, for the reports.
+MAX_MESSAGE = 65_536
 REQUIRED_LOG_FIELDS = ("level", "message", "service_name")
 LOG_LIMITS = {
     "message": MAX_MESSAGE, "service_name": 200, "correlation_id": 100, "trace_id": 100, "span_id": 100,
@@ -48,29 +49,34 @@ def span_reject_reasons(spans: DataFrame) -> DataFrame:
 
 
 def normalise_logs(entries: DataFrame, ingest_time) -> DataFrame:
-    """Upper-cased level, ingest time where none is given, message cut to its limit; adds ``valid``."""
-    return entries.withColumns({
-        "valid": normal_level(F.col("level")).isNotNull(),
+    """Upper-cased level and the ingest time where none is given; adds ``reasons``, empty for a valid entry.
+
+    A blank required field or an unknown level makes an entry invalid. Texts
+    are kept whole: a length is something to report, no reason to drop a row.
+    """
+    required = [name for name in REQUIRED_LOG_FIELDS if name in entries.columns]
+    rules = [(_blank(name), f"{name} is blank") for name in required]
+    rules.append((~_blank("level") & normal_level(F.col("level")).isNull(), "level is unknown"))
+    return entries.withColumn("reasons", reject_reasons(rules)).withColumns({
         "level": F.coalesce(normal_level(F.col("level")), F.col("level")),
         "timestamp": F.coalesce(F.col("timestamp"), instant(ingest_time)),
-        "message": F.left(F.col("message"), F.lit(MAX_MESSAGE)),
     })
 
 
 def ingest_logs(entries: DataFrame, ingest_time) -> tuple[DataFrame, DataFrame]:
-    """(stored, rejected): bad rows are skipped, good ones kept."""
+    """(stored, rejected): good rows are kept, bad ones come with their ``reasons``."""
     rows = normalise_logs(entries, ingest_time)
-    return rows.where("valid").drop("valid"), rows.where("NOT valid").drop("valid")
+    return rows.where(F.size("reasons") == 0).drop("reasons"), rows.where(F.size("reasons") > 0)
 
 
 def ingest_counts(entries: DataFrame, ingest_time, by: tuple[str, ...] = ()) -> DataFrame:
     rows = normalise_logs(entries, ingest_time)
-    counts = [F.count_if("valid").alias("ingested"), F.count(F.lit(1)).alias("total")]
+    counts = [F.count_if(F.size("reasons") == 0).alias("ingested"), F.count(F.lit(1)).alias("total")]
     return rows.groupBy(*by).agg(*counts)
 
 
 def ingest_raw(lines: DataFrame, ingest_time, raw: str = "raw", default_service: Column | None = None) -> DataFrame:
-    """Parse, normalise, drop what has no valid level."""
+    """Parse, normalise, leave out what is not valid: a line without any service is not stored."""
     return ingest_logs(parse_raw_logs(lines, raw, default_service), ingest_time)[0]
 
 
@@ -131,8 +137,8 @@ def parse_topic_lines(lines: DataFrame) -> DataFrame:
 
 
 def missing_sources(entries: DataFrame, sources: DataFrame) -> DataFrame:
-    """One new source per (team, service) that is not known yet."""
-    seen = entries.select("team_id", F.col("service_name").alias("name")).distinct()
+    """One new source per (team, service) that is not known yet; entries without a service have none."""
+    seen = entries.where("service_name IS NOT NULL").select("team_id", F.col("service_name").alias("name")).distinct()
     return seen.join(sources.select("team_id", "name"), ["team_id", "name"], "left_anti")
 
 
@@ -153,9 +159,16 @@ def with_source(entries: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def ingest_spans(spans: DataFrame) -> DataFrame:
-    """Unknown or missing status becomes OK; a missing duration is taken from the end."""
+    """Unknown or missing status becomes OK; a missing duration is taken from the end.
+
+    Spans without a start or with a blank required field are not stored
+    (:func:`span_reject_reasons` says why).
+    """
     status = F.upper("status")
-    return spans.withColumns({
+    whole = F.col("start_time").isNotNull()
+    for name in REQUIRED_SPAN_FIELDS:
+        whole &= ~_blank(name)
+    return spans.where(whole).withColumns({
         "status": F.when(status.isin("OK", "ERROR"), status).otherwise("OK"),
         "duration_ms": F.coalesce("duration_ms", millis_between(F.col("start_time"), F.col("end_time"))),
     })

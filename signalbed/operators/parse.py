@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from signalbed.functions.times import parse_time
 
-MAX_MESSAGE = 65_536
-
 # The spellings under which a line may carry each field, in the order they are tried.
 ALIASES = {
     "level": ("level", "severity", "log.level"),
@@ -130,7 +128,7 @@ def parse_raw_logs(df: DataFrame, raw: str = "raw", default_service: Column | No
     rows = _bound(rows, **{f"_{name}": _field(name) for name in PARSED})
     rows = rows.select(*kept, "_default", "log_format", *[f"_{name}" for name in PARSED]).withColumn("_at", parse_time(F.col("_timestamp")))
     final = {
-        "message": f"left(_message, {MAX_MESSAGE})", "timestamp": "_at",
+        "message": "_message", "timestamp": "_at",
         "service_name": """CASE WHEN log_format = 'plain' OR trim(_service_name) <> '' THEN _service_name
             WHEN trim(_default) <> '' THEN _default ELSE 'unknown' END""",
     }

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from signalbed.functions.levels import LEVELS, level_ordinal
 from signalbed.functions.times import instant
-from signalbed.session import if_small
 
 MIN_DAYS, MAX_DAYS = 1, 365
 
@@ -33,15 +32,14 @@ def policy_cutoffs(policies: DataFrame, as_of) -> DataFrame:
 
 
 def with_expiry(entries: DataFrame, policies: DataFrame, as_of, source: str = "service_name") -> DataFrame:
-    """Entries with ``expired``. Two equi joins on the cutoffs, without a shuffle of the entries
-    while the policies are few; each entry stays one row."""
+    """Entries with ``expired``. Two equi joins on the cutoffs; each entry stays one row."""
     cutoffs = policy_cutoffs(policies, as_of)
     general = cutoffs.where("source_name IS NULL").select("team_id", "level", F.col("cutoff").alias("_all"))
     special = cutoffs.where("source_name IS NOT NULL").select(
         "team_id", "level", F.col("source_name").alias(source), F.col("cutoff").alias("_own")
     )
-    rows = entries.join(if_small(general), ["team_id", "level"], "left")
-    rows = rows.join(if_small(special), ["team_id", "level", source], "left")
+    rows = entries.join(general, ["team_id", "level"], "left")
+    rows = rows.join(special, ["team_id", "level", source], "left")
     expired = F.coalesce(F.col("timestamp") < F.greatest("_all", "_own"), F.lit(False))
     return rows.withColumn("expired", expired).drop("_all", "_own")
 

@@ -1,8 +1,8 @@
 """Traps: pattern, frequency and absence rules over log entries.
 
-A trap is a dict with ``trap_id``, ``team_id``, ``trap_type``, ``is_active`` and
-``conditions``, a list of dicts. A team has at most a hundred traps of ten
-conditions, so the rules are compiled into columns instead of joined.
+Rules are data: a table with one row per trap (:data:`TRAP_TABLE`), or a list
+of dicts with the same names. Entries meet the rules of their own team by a
+join, so a plan is the same for ten rules and for ten thousand.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.errors import SparkRuntimeException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,11 @@ TRAP_FIELDS = (
     "service_name", "host_name", "ip_address", "correlation_id", "custom_fields", "level",
 )
 CONDITION_TYPES = ("REGEX", "KEYWORD", "FREQUENCY_THRESHOLD", "ABSENCE")
-SAMPLE_IDS = 100
+#: A trap and its conditions as a row.
+TRAP_TABLE = """trap_id string, team_id bigint, trap_type string, is_active boolean, conditions array<struct<
+    condition_type: string, field: string, pattern: string, log_level: string, service_name: string, threshold: bigint,
+    window_seconds: bigint>>"""
+CONDITION_FIELDS = ("condition_type", "field", "pattern", "log_level", "service_name", "threshold", "window_seconds")
 
 Condition = Mapping[str, object]
 
@@ -40,18 +45,13 @@ def trap_field(name: str | None) -> Column | None:
     return F.col(column) if column in TRAP_FIELDS else None
 
 
-_usable: dict[str, bool] = {}
-
-
 def usable_pattern(spark: SparkSession, pattern: str) -> bool:
-    """Whether the pattern compiles, asked once of the engine that will run it."""
-    if pattern not in _usable:
-        try:
-            spark.range(1).select(F.lit("").rlike(pattern)).collect()
-            _usable[pattern] = True
-        except SparkRuntimeException:
-            _usable[pattern] = False
-    return _usable[pattern]
+    """Whether the pattern compiles in the engine that will run it."""
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException):
+        return False
+    return True
 
 
 def _matches(condition: Condition, spark: SparkSession) -> Column:
@@ -67,7 +67,7 @@ def _matches(condition: Condition, spark: SparkSession) -> Column:
 
 
 def pattern_predicate(spark: SparkSession, conditions: Iterable[Condition]) -> Column:
-    """AND over the conditions: service, level at or above, then regex or keyword. None at all: true."""
+    """One rule as a column: AND over the conditions; service, level at or above, then regex or keyword. None: true."""
     parts = [F.lit(True)]
     for condition in conditions:
         if (condition.get("service_name") or "").strip():
@@ -78,20 +78,78 @@ def pattern_predicate(spark: SparkSession, conditions: Iterable[Condition]) -> C
     return F.coalesce(reduce(Column.__and__, parts), F.lit(False))
 
 
-def _active(traps: Iterable[Mapping], kind: str) -> list[Mapping]:
-    return [trap for trap in traps if trap["is_active"] and trap["trap_type"] == kind]
+def trap_table(spark: SparkSession, traps: DataFrame | Iterable[Mapping]) -> DataFrame:
+    """The traps as a table; a list of dicts becomes one."""
+    if isinstance(traps, DataFrame):
+        return traps.select("trap_id", "team_id", "trap_type", "is_active", "conditions")
+    rows = [
+        (t["trap_id"], t["team_id"], t["trap_type"], t["is_active"],
+         [tuple(c.get(name) for name in CONDITION_FIELDS) for c in t["conditions"]])
+        for t in traps
+    ]
+    return spark.createDataFrame(rows, TRAP_TABLE)
 
 
-def pattern_hits(entries: DataFrame, traps: Sequence[Mapping]) -> DataFrame:
-    """One row per entry and active pattern trap of its team that fires; a narrow transform."""
-    spark = entries.sparkSession
-    tests = [
-        F.when((F.col("team_id") == F.lit(t["team_id"])) & pattern_predicate(spark, t["conditions"]), F.lit(t["trap_id"]))
-        for t in _active(traps, "PATTERN")
-    ]
-    if not tests:
-        return entries.withColumn("trap_id", F.lit(None).cast("string")).where(F.lit(False))
-    return entries.withColumn("_hits", F.array_compact(F.array(*tests))).withColumn("trap_id", F.explode("_hits")).drop("_hits")
+def _active(spark: SparkSession, traps: DataFrame | Iterable[Mapping], kind: str) -> DataFrame:
+    return trap_table(spark, traps).where(F.col("is_active") & (F.col("trap_type") == kind)).drop("is_active", "trap_type")
+
+
+def _prepared(rules: DataFrame) -> DataFrame:
+    """Conditions in the form that :func:`_holds` reads: known field names, lower-case keywords, levels as a list.
+
+    A regex that does not compile becomes null and never matches. The distinct
+    patterns are checked on the driver: they are configuration, one per rule.
+    """
+    spark = rules.sparkSession
+    patterns = rules.select(F.explode("conditions").alias("c")).where("c.condition_type = 'REGEX' AND c.pattern IS NOT NULL")
+    bad = [r[0] for r in patterns.select("c.pattern").distinct().toLocalIterator() if not usable_pattern(spark, r[0])]
+
+    def prepared(c: Column) -> Column:
+        snake = F.lower(F.regexp_replace(c["field"], "([A-Z])", "_$1"))
+        kind, pattern = c["condition_type"], c["pattern"]
+        at_least = F.coalesce(*[
+            F.when(F.upper(c["log_level"]) == name, F.array(*[F.lit(x) for x in LEVELS[i:]])) for i, name in enumerate(LEVELS)
+        ], F.array().cast("array<string>"))
+        return F.struct(
+            kind.isin("REGEX", "KEYWORD").alias("tests"),
+            F.when(snake.isin(*TRAP_FIELDS), snake).alias("field"),
+            F.when(kind == "KEYWORD", F.lower(pattern)).alias("keyword"),
+            F.when((kind == "REGEX") & ~F.array_contains(F.array(*[F.lit(b) for b in bad]).cast("array<string>"), pattern), pattern).alias("regex"),
+            F.when(F.trim(c["service_name"]) != "", c["service_name"]).alias("service"),
+            F.when(F.length(c["log_level"]) > 0, at_least).alias("levels"),
+        )
+
+    return rules.select("trap_id", "team_id", F.transform("conditions", prepared).alias("conditions"))
+
+
+def _holds(c: Column) -> Column:
+    """Whether a prepared condition holds for the entry around it."""
+    text = F.coalesce(*[F.when(c["field"] == name, F.col(name)) for name in TRAP_FIELDS])
+    hit = F.when(c["keyword"].isNotNull(), F.contains(F.lower(text), c["keyword"])).when(
+        c["regex"].isNotNull(), F.rlike(text, c["regex"])).otherwise(F.lit(False))
+    return F.coalesce(
+        (c["service"].isNull() | (F.col("service_name") == c["service"]))
+        & (c["levels"].isNull() | F.array_contains(c["levels"], F.col("level")))
+        & (~c["tests"] | hit), F.lit(False),
+    )
+
+
+def _with_fields(entries: DataFrame) -> DataFrame:
+    missing = [name for name in (*TRAP_FIELDS, "service_name", "level") if name not in entries.columns]
+    return entries.withColumns({name: F.lit(None).cast("string") for name in missing}) if missing else entries
+
+
+def pattern_hits(entries: DataFrame, traps: DataFrame | Sequence[Mapping]) -> DataFrame:
+    """One row per entry and active pattern trap of its team that fires; no traps give no rows.
+
+    The traps of a team are one row of the rules' side of the join, and every
+    rule is tested in place, so entries are neither multiplied nor grouped.
+    """
+    rules = _prepared(_active(entries.sparkSession, traps, "PATTERN"))
+    per_team = rules.groupBy("team_id").agg(F.collect_list(F.struct("trap_id", "conditions")).alias("_traps"))
+    fired = F.transform(F.filter("_traps", lambda t: F.forall(t["conditions"], _holds)), lambda t: t["trap_id"])
+    rows = _with_fields(entries).join(per_team, "team_id").withColumn("_hits", fired)
+    return rows.select(*entries.columns, F.explode("_hits").alias("trap_id"))
 
 
 def counted_rows(condition: Condition) -> Column:
@@ -102,92 +160,91 @@ def counted_rows(condition: Condition) -> Column:
     return F.lit(True)
 
 
-def window_counts(entries: DataFrame, condition: Condition, keys: Sequence[str] = ("team_id",)) -> DataFrame:
-    """(keys, at, window_count): counted entries in [at - window, at] for every time that has an entry.
+def _sliding(times: DataFrame, keys: Sequence[str], width: Column) -> DataFrame:
+    """(keys, at, window_count) of ``times`` (keys, at, n): the sum of n in [at - width, at].
 
-    The count is a difference of two running totals, so a busy team is spread
+    The count is a difference of two running totals, so a busy key is spread
     over its seconds instead of filling one window.
     """
-    keys = list(keys)
-    width = int(condition["window_seconds"]) * SECOND
-    times = entries.groupBy(*keys, micros(F.col("timestamp")).alias("at")).agg(
-        F.count_if(counted_rows(condition)).alias("n")
-    )
     edges = F.explode(F.array(
-        F.struct(F.col("at"), F.lit(1).alias("upper"), F.col("n")),
-        F.struct((F.col("at") - width).alias("at"), F.lit(0).alias("upper"), F.lit(0).cast("long").alias("n")),
+        F.struct(F.col("at"), F.lit(1).alias("upper"), F.col("n"), width.alias("width")),
+        F.struct((F.col("at") - width).alias("at"), F.lit(0).alias("upper"), F.lit(0).cast("long").alias("n"), width.alias("width")),
     )).alias("e")
     # A lower edge comes before the entries of its own microsecond: they are inside the window.
     rows = times.select(*keys, edges).select(*keys, "e.*")
-    totals = running_total(rows, keys, "at", "n", "total", tie=["upper"])
-    moment = F.when(F.col("upper") == 1, F.col("at")).otherwise(F.col("at") + width)
+    totals = running_total(rows, list(keys), "at", "n", "total", tie=["upper"])
+    moment = F.when(F.col("upper") == 1, F.col("at")).otherwise(F.col("at") + F.col("width"))
     signed = F.when(F.col("upper") == 1, F.col("total")).otherwise(-F.col("total"))
     return totals.groupBy(*keys, moment.alias("at")).agg(F.sum(signed).alias("window_count"))
 
 
-def _counting(condition: Condition) -> tuple:
-    """What a count depends on: the window, and service and level when both are given."""
-    both = condition.get("service_name") and condition.get("log_level")
-    return (int(condition["window_seconds"]), *((condition["service_name"], parse_level(condition["log_level"])) if both else (None, None)))
+def window_counts(entries: DataFrame, condition: Condition, keys: Sequence[str] = ("team_id",)) -> DataFrame:
+    """(keys, at, window_count): counted entries in [at - window, at] for every time that has an entry."""
+    times = entries.groupBy(*keys, micros(F.col("timestamp")).alias("at")).agg(
+        F.count_if(counted_rows(condition)).alias("n")
+    )
+    return _sliding(times, keys, F.lit(int(condition["window_seconds"]) * SECOND))
 
 
-def frequency_hits(entries: DataFrame, traps: Sequence[Mapping]) -> DataFrame:
+def _counting(rules: DataFrame, kind: str) -> DataFrame:
+    """(trap_id, team_id, condition, threshold, window_seconds, service, level) of the conditions of a kind.
+
+    Service and level are null unless both are given: only then do they restrict a count.
+    """
+    rows = rules.select("trap_id", "team_id", F.posexplode("conditions").alias("condition", "c")).where(F.col("c.condition_type") == kind)
+    both = (F.length("c.service_name") > 0) & (F.length("c.log_level") > 0)
+    level = F.upper("c.log_level")
+    return rows.select(
+        "trap_id", "team_id", "condition", "c.threshold", "c.window_seconds", F.when(both, F.col("c.service_name")).alias("service"),
+        F.when(both, F.when(level.isin(*LEVELS), level).otherwise(F.lit(""))).alias("own_level"),
+    )
+
+
+def frequency_hits(entries: DataFrame, traps: DataFrame | Sequence[Mapping]) -> DataFrame:
     """One row per entry and active frequency trap of its team whose thresholds are all reached.
 
-    Counts are made once for all teams and for all conditions that count alike.
+    Entries are counted per team, service, level and moment first; these counts
+    meet the counting rules of their team, each distinct rule once. A condition
+    without threshold or window never holds.
     """
-    rules = []
-    for trap in _active(traps, "FREQUENCY"):
-        conditions = [c for c in trap["conditions"] if c["condition_type"] == "FREQUENCY_THRESHOLD"]
-        # Without threshold or window a condition never holds.
-        if all(c.get("threshold") is not None and c.get("window_seconds") is not None for c in conditions):
-            rules.append((trap, conditions))
-    if not rules:
-        return entries.withColumn("trap_id", F.lit(None).cast("string")).where(F.lit(False))
-    own = entries.where(F.col("team_id").isin(sorted({trap["team_id"] for trap, _ in rules})))
-    counts = {_counting(c): c for _, conditions in rules for c in conditions}
-    names = {key: f"_count{n}" for n, key in enumerate(counts)}
-    rows = own.withColumn("_at", micros(F.col("timestamp")))
-    for key, condition in counts.items():
-        counted = window_counts(own, condition).select("team_id", F.col("at").alias("_at"), F.col("window_count").alias(names[key]))
-        rows = rows.join(counted, ["team_id", "_at"])
-    tests = []
-    for trap, conditions in rules:
-        parts = [F.col("team_id") == F.lit(trap["team_id"])] + [F.col(names[_counting(c)]) >= c["threshold"] for c in conditions]
-        tests.append(F.when(reduce(Column.__and__, parts), F.lit(trap["trap_id"])))
-    rows = rows.withColumn("_hits", F.array_compact(F.array(*tests))).withColumn("trap_id", F.explode("_hits"))
-    return rows.select(*entries.columns, "trap_id")
-
-
-def trap_hits(entries: DataFrame, traps: Sequence[Mapping]) -> DataFrame:
+    rules = _active(entries.sparkSession, traps, "FREQUENCY")
+    conditions = _counting(rules, "FREQUENCY_THRESHOLD")
+    needed = rules.select("trap_id", "team_id", F.size(F.filter(
+        "conditions", lambda c: c["condition_type"] == "FREQUENCY_THRESHOLD")).alias("needed"))
+    what = ["team_id", "window_seconds", "service", "own_level"]
+    usable = conditions.where("threshold IS NOT NULL AND window_seconds IS NOT NULL").withColumn("key", F.to_json(F.struct(*what), {"ignoreNullFields": "false"}))
+    counting = usable.select(*what, "key").distinct()
+    moments = entries.groupBy("team_id", "service_name", "level", micros(F.col("timestamp")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    own = F.col("service").isNull() | F.coalesce((F.col("service_name") == F.col("service")) & (F.col("level") == F.col("own_level")), F.lit(False))
+    times = moments.join(counting, "team_id").groupBy("key", "window_seconds", "at").agg(F.sum(F.when(own, F.col("n")).otherwise(0)).alias("n"))
+    counts = _sliding(times, ["key"], F.col("window_seconds") * F.lit(SECOND))
+    reached = (
+        counts.join(usable.select("key", "trap_id", "threshold"), "key").where("window_count >= threshold")
+        .groupBy("trap_id", "at").agg(F.count(F.lit(1)).alias("held"))
+    )
+    fired = reached.join(needed, "trap_id").where("held = needed").select("trap_id", "team_id", F.col("at").alias("_at"))
+    rows = entries.withColumn("_at", micros(F.col("timestamp"))).join(fired, ["team_id", "_at"])
+    always = entries.join(needed.where("needed = 0").select("trap_id", "team_id"), "team_id")
+    return rows.select(*entries.columns, "trap_id").unionByName(always.select(*entries.columns, "trap_id"))
+
+
+def trap_hits(entries: DataFrame, traps: DataFrame | Sequence[Mapping]) -> DataFrame:
     return pattern_hits(entries, traps).unionByName(frequency_hits(entries, traps))
 
 
-def absences(entries: DataFrame, traps: Sequence[Mapping], as_of) -> DataFrame:
-    """(team_id, trap_id, seen, absent) of every absence condition at ``as_of``, in one pass."""
-    rules = [
-        (trap, index, condition)
-        for trap in _active(traps, "ABSENCE")
-        for index, condition in enumerate(trap["conditions"])
-        if condition["condition_type"] == "ABSENCE" and condition.get("window_seconds") is not None
-    ]
+def absences(entries: DataFrame, traps: DataFrame | Sequence[Mapping], as_of) -> DataFrame:
+    """(team_id, trap_id, condition, seen, absent) of every absence condition at ``as_of``; no rules give no rows."""
+    rules = _counting(_active(entries.sparkSession, traps, "ABSENCE"), "ABSENCE").where("window_seconds IS NOT NULL")
     end = instant(as_of)
-    longest = max((int(c["window_seconds"]) for _, _, c in rules), default=0)
+    longest = rules.agg(F.max("window_seconds")).first()[0] or 0  # a literal, so that the scan is cut to it
     recent = entries.where((F.col("timestamp") <= end) & (F.col("timestamp") >= end - F.make_dt_interval(secs=F.lit(longest))))
-
-    def seen(trap: Mapping, condition: Condition) -> Column:
-        since = end - F.make_dt_interval(secs=F.lit(int(condition["window_seconds"])))
-        own = (F.col("team_id") == F.lit(trap["team_id"])) & (F.col("timestamp") >= since)
-        return F.count_if(own & counted_rows(condition))
-
-    names = [f"c{n}" for n in range(len(rules))]
-    counts = recent.agg(*[seen(t, c).alias(name) for name, (t, _, c) in zip(names, rules)])
-    rows = F.array(*[
-        F.struct(F.lit(t["team_id"]).alias("team_id"), F.lit(t["trap_id"]).alias("trap_id"), F.lit(i).alias("condition"),
-                 F.col(name).alias("seen"))
-        for name, (t, i, _) in zip(names, rules)
-    ])
-    return counts.select(F.explode(rows).alias("r")).select("r.*").withColumn("absent", F.col("seen") == 0)
+    moments = recent.groupBy("team_id", "service_name", "level", micros(F.col("timestamp")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    own = F.col("service").isNull() | F.coalesce((F.col("service_name") == F.col("service")) & (F.col("level") == F.col("own_level")), F.lit(False))
+    since = micros(end) - F.col("window_seconds") * F.lit(SECOND)
+    key = ["team_id", "trap_id", "condition"]
+    found = moments.join(rules, "team_id").where(own & (F.col("at") >= since)).groupBy(*key).agg(F.sum("n").alias("_seen"))
+    seen = F.coalesce("_seen", F.lit(0))
+    return rules.select(*key).join(found, key, "left").select(*key, seen.alias("seen"), (seen == 0).alias("absent"))
 
 
 def trap_statistics(hits: DataFrame) -> DataFrame:
@@ -196,16 +253,15 @@ def trap_statistics(hits: DataFrame) -> DataFrame:
     )
 
 
-def _window_of(entries: DataFrame, team_id, start, end, cap: int | None) -> DataFrame:
-    rows = entries.where(
+def _window_of(entries: DataFrame, team_id, start, end) -> DataFrame:
+    return entries.where(
         (F.col("team_id") == F.lit(team_id)) & (F.col("timestamp") >= instant(start)) & (F.col("timestamp") <= instant(end))
     )
-    return rows if cap is None else rows.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(cap)
 
 
-def back_test(entries: DataFrame, conditions: Sequence[Condition], team_id, start, end, cap: int | None = None) -> DataFrame:
-    """How many entries of the range would have matched. ``cap`` looks at the newest only."""
-    rows = _window_of(entries, team_id, start, end, cap)
+def back_test(entries: DataFrame, conditions: Sequence[Condition], team_id, start, end) -> DataFrame:
+    """How many entries of the range would have matched."""
+    rows = _window_of(entries, team_id, start, end)
     hit = F.count_if(pattern_predicate(entries.sparkSession, conditions))
     total = F.count(F.lit(1))
     return rows.agg(hit.alias("match_count"), total.alias("total_evaluated")).select(
@@ -214,10 +270,10 @@ def back_test(entries: DataFrame, conditions: Sequence[Condition], team_id, star
     )
 
 
-def back_test_samples(entries: DataFrame, conditions: Sequence[Condition], team_id, start, end, cap: int | None = None) -> DataFrame:
-    """Ids of the newest matches, at most a hundred."""
-    rows = _window_of(entries, team_id, start, end, cap).where(pattern_predicate(entries.sparkSession, conditions))
-    return rows.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(SAMPLE_IDS).select("id", "timestamp")
+def back_test_samples(entries: DataFrame, conditions: Sequence[Condition], team_id, start, end) -> DataFrame:
+    """Ids of all matches; page them with :func:`signalbed.operators.query.newest_page`."""
+    rows = _window_of(entries, team_id, start, end).where(pattern_predicate(entries.sparkSession, conditions))
+    return rows.select("id", "timestamp")
 
 
 def condition_reject_reasons(conditions: DataFrame) -> DataFrame:

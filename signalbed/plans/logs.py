@@ -147,11 +147,10 @@ def entry_with_source(spark, folder):
 
 
 @query("b22_catalog_listing", using("points metrics", """
-    SELECT metric_id, name, metric_type FROM metrics WHERE team_id = 1 AND metric_type = 'COUNTER'
-    ORDER BY metric_id DESC LIMIT 20"""))
+    SELECT metric_id, name, metric_type FROM metrics WHERE team_id = 1 AND metric_type = 'COUNTER'"""))
 def catalog_listing(spark, folder):
     rows = q.filter_equal(t.metrics(spark, folder), team_id=1, metric_type="COUNTER", service_name=None)
-    return q.newest_page(rows, by="metric_id", tie="name").select("metric_id", "name", "metric_type")
+    return rows.select("metric_id", "name", "metric_type")
 
 
 @query("d10_level_ordinal", using("log_entries ordinals", """

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from signalbed.functions.levels import normal_level
 from signalbed.functions.times import parse_time
 from signalbed.operators import ingest, parse
-from signalbed.operators.alerts import trigger_message
+from signalbed.operators.alerts import ALERT_TEXT, trigger_message
 from signalbed.plans.logs import SOURCES_SQL, sources
 from signalbed.plans.registry import query, using
 from signalbed.sources import tables as t
@@ -80,10 +80,13 @@ for _number, _form in (("d02", "json"), ("d03", "key_value"), ("d04", "spring_bo
 
 
 @query("d04_long_texts", using("document_logs", """
-    SELECT service_name, count(*) AS n, sum(least(length(message), 65536))::BIGINT AS chars FROM document_logs GROUP BY service_name"""))
+    SELECT service_name, count(*) AS n, sum(CASE WHEN id % 50 = 0 THEN 40 ELSE 1 END * length(message))::BIGINT AS chars
+    FROM document_logs GROUP BY service_name"""))
 def long_texts(spark, folder):
-    """Whole documents and pages, each as one message, stored with their full length up to the limit."""
-    rows = t.document_logs(spark, folder).withColumns({"level": F.lit("info"), "timestamp": F.lit(None).cast("timestamp")})
+    """Whole documents and pages, each as one message and some of them very long, stored with their full length."""
+    rows = t.document_logs(spark, folder).withColumns({
+        "message": F.when(F.col("id") % 50 == 0, F.repeat("message", F.lit(40))).otherwise(F.col("message")), "level": F.lit("info"), "timestamp": F.lit(None).cast("timestamp"),
+    })
     stored, _ = ingest.ingest_logs(rows, NOW)
     return stored.groupBy("service_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("message")).alias("chars"))
 
@@ -101,11 +104,11 @@ def service_default(spark, folder):
       UNION ALL SELECT CASE WHEN length(logger_name) > 500 THEN 'logger_name is too long' END FROM rows)
     WHERE reason IS NOT NULL GROUP BY reason""",
     rows="SELECT CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE text END AS message, CASE WHEN doc_id % 3 <> 0 THEN source END AS service_name,"
-         " left(text, 600) AS logger_name FROM documents"))
+         " text AS logger_name FROM documents"))
 def reject_reasons(spark, folder):
     rows = t.table(spark, folder, "documents").selectExpr(
         "'INFO' AS level", "CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE text END AS message",
-        "CASE WHEN doc_id % 3 <> 0 THEN source END AS service_name", "left(text, 600) AS logger_name",
+        "CASE WHEN doc_id % 3 <> 0 THEN source END AS service_name", "text AS logger_name",
     )
     found = ingest.log_reject_reasons(rows).select(F.explode("reasons").alias("reason"))
     return found.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
@@ -136,8 +139,8 @@ def level_normalise(spark, folder):
         CASE WHEN length(message) > 200 THEN concat(left(message, 200), '...') ELSE message END)) AS alert_length FROM document_logs"""))
 def truncate(spark, folder):
     rows = t.document_logs(spark, folder).withColumn("level", F.lit("INFO"))
-    return rows.select("id", "service_name", F.length(F.left("message", F.lit(parse.MAX_MESSAGE))).alias("kept"),
-                       F.length(trigger_message(F.col("service_name"))).alias("alert_length"))
+    return rows.select("id", "service_name", F.length(F.left("message", F.lit(ingest.MAX_MESSAGE))).alias("kept"),
+                       F.length(trigger_message(F.col("service_name"), ALERT_TEXT)).alias("alert_length"))
 
 
 @query("h02_custom_fields", using("", "SELECT id, custom_fields FROM parsed WHERE log_format = 'json'", parsed=PARSED_SQL))
@@ -189,6 +192,21 @@ def batch_ingest(spark, folder):
     return ingest.ingest_counts(_requests(spark, folder), NOW, ("team_id",))
 
 
+@query("a03_rejects", using("", """
+    SELECT id, concat_ws(', ', CASE WHEN level_ IS NULL OR trim(level_) = '' THEN 'level is blank' END,
+      CASE WHEN id % 3 = 0 THEN 'message is blank' END, CASE WHEN id % 4 = 0 THEN 'service_name is blank' END,
+      CASE WHEN level_ = 'purchase' THEN 'level is unknown' END) AS reasons
+    FROM (SELECT event_id AS id, CASE event_type WHEN 'click' THEN NULL WHEN 'view' THEN ' ' WHEN 'signup' THEN 'info' ELSE event_type END AS level_ FROM events)
+    WHERE level_ IS NULL OR level_ IN (' ', 'purchase') OR id % 3 = 0 OR id % 4 = 0"""))
+def rejects(spark, folder):
+    rows = t.events(spark, folder).selectExpr(
+        "event_id AS id", "CASE event_type WHEN 'click' THEN NULL WHEN 'view' THEN ' ' WHEN 'signup' THEN 'info' ELSE event_type END AS level",
+        "CASE WHEN event_id % 3 > 0 THEN props ELSE '  ' END AS message", "CASE WHEN event_id % 4 > 0 THEN 'svc' END AS service_name", "ts AS timestamp",
+    )
+    _, rejected = ingest.ingest_logs(rows, NOW)
+    return rejected.select("id", F.concat_ws(", ", "reasons").alias("reasons"))
+
+
 @query("a04_normalised", using("", """
     SELECT id, team_id, service_name, level, timestamp, message FROM requests WHERE level IS NOT NULL""", requests=REQUESTS_SQL))
 def normalised(spark, folder):
@@ -197,8 +215,8 @@ def normalised(spark, folder):
 
 
 @query("a05_raw_ingest", using("", """
-    SELECT id, upper(level) AS level, coalesce(timestamp, TIMESTAMP '2024-02-01') AS timestamp, message, service_name FROM parsed""",
-    parsed=PARSED_SQL))
+    SELECT id, upper(level) AS level, coalesce(timestamp, TIMESTAMP '2024-02-01') AS timestamp, message, service_name
+    FROM parsed WHERE service_name IS NOT NULL""", parsed=PARSED_SQL))
 def raw_ingest(spark, folder):
     rows = ingest.ingest_raw(t.raw_logs(spark, folder), NOW, "raw", F.col("default_service"))
     return rows.select("id", "level", "timestamp", "message", "service_name")

@@ -26,10 +26,28 @@ def regex_trap(spark, folder):
     return traps.pattern_hits(rows, rule).select("id", "service_name")
 
 
-@query("b15_bad_regex_trap", using("log_entries", "SELECT id FROM log_entries WHERE false"))
+@query("b15_bad_regex_trap", using("log_entries", r"""
+    SELECT id, 'good' AS trap_id FROM log_entries WHERE regexp_matches(message, 'event [0-9]*7( |$)')"""))
 def bad_regex_trap(spark, folder):
-    """A pattern that does not compile never matches."""
-    return traps.pattern_hits(t.log_entries(spark, folder), _trap({"condition_type": "REGEX", "field": "message", "pattern": "(["})).select("id")
+    """A pattern that does not compile never matches, and the good one next to it still does."""
+    rows = t.log_entries(spark, folder)
+    rules = []
+    for name, pattern in (("bad", "(["), ("good", "event [0-9]*7( |$)")):
+        rules += [{**trap, "trap_id": name} for trap in _trap({"condition_type": "REGEX", "field": "message", "pattern": pattern})]
+    return traps.pattern_hits(rows, rules).select("id", "trap_id")
+
+
+@query("b14_rules_of_a_table", using("log_entries", """
+    SELECT l.id, concat('watch-', c.c_custkey) AS trap_id FROM log_entries l JOIN customer c ON l.team_id = c.c_custkey % 3
+    WHERE contains(l.message, concat('user ', c.c_custkey, ' ')) AND l.level IN ('WARN', 'ERROR', 'FATAL')"""))
+def rules_of_a_table(spark, folder):
+    """One trap per customer, from a table: the plan does not grow with the rules."""
+    condition = """named_struct('condition_type', 'KEYWORD', 'field', 'message', 'pattern', concat('USER ', c_custkey, ' '),
+        'log_level', 'WARN', 'service_name', CAST(NULL AS STRING), 'threshold', CAST(NULL AS BIGINT), 'window_seconds', CAST(NULL AS BIGINT))"""
+    rules = t.table(spark, folder, "customer").selectExpr(
+        "concat('watch-', c_custkey) AS trap_id", "CAST(c_custkey % 3 AS BIGINT) AS team_id", "'PATTERN' AS trap_type", "true AS is_active",
+        f"array({condition}) AS conditions")
+    return traps.pattern_hits(t.log_entries(spark, folder), rules).select("id", "trap_id")
 
 
 @query("b16_d14_keyword_trap", using("document_logs", """
@@ -113,7 +131,7 @@ def back_test(spark, folder):
 
 
 @query("e22_back_test_samples", using("log_entries", f"""
-    SELECT id, timestamp FROM log_entries WHERE {BACK} AND {MATCH} ORDER BY timestamp DESC, id DESC LIMIT 100"""))
+    SELECT id, timestamp FROM log_entries WHERE {BACK} AND {MATCH}"""))
 def back_test_samples(spark, folder):
     return traps.back_test_samples(t.log_entries(spark, folder), CONDITIONS, 1, "2024-01-03", "2024-01-31")
 

@@ -6,9 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-SMALL_ROWS = 50_000
 
 
 def build_session(app: str = "signalbed", cpus: int | None = None) -> SparkSession:
@@ -44,13 +41,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="signalbed-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
-
-
-def if_small(rules: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Mark a rule table for broadcast when it has at most ``limit`` rows.
-
-    Rule tables have a few narrow columns, so the limit is some megabytes. The
-    rows are counted, at most ``limit + 1`` of them. A larger table is joined
-    by a shuffle, which adaptive execution splits on hot keys.
-    """
-    return F.broadcast(rules) if rules.limit(limit + 1).count() <= limit else rules
