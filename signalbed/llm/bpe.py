@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from signalbed.llm.rows import per_document
+from signalbed.session import cut_lineage
 
 #: Frequent words of the lexicon; a speed setting, the ids do not depend on it.
 LEXICON_WORDS = 60_000
@@ -325,9 +326,10 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, vocabulary_path: str, keep: int = LEXICON_WORDS) -> list[str]:
-    """The ``keep`` most frequent words of all of ``docs``, ties in the order of the words.
+    """The most frequent words of all of ``docs``, at most ``keep``.
 
-    Tasks add up their words before the shuffle; the driver gets ``keep`` rows.
+    Tasks add up their words before the shuffle. The words are counted by steps
+    of frequency, and all words of the steps that fit are taken.
     """
 
     def start():
@@ -349,8 +351,18 @@ def frequent_words(docs: DataFrame, vocabulary_path: str, keep: int = LEXICON_WO
 
         return work
 
-    counts = per_document(docs, ["text"], start, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(keep).select("word").collect()]
+    counts = cut_lineage(
+        per_document(docs, ["text"], start, "word string, n bigint", rows_at_once=20_000).groupBy("word").agg(F.sum("n").alias("n"))
+        .withColumn("size", F.floor(F.log2("n") * 16))
+    )
+    sizes = counts.groupBy("size").count().orderBy(F.desc("size")).collect()
+    least, total = None, 0
+    for row in sizes:  # a few hundred steps of frequency, largest first
+        total += row["count"]
+        if total > keep:
+            break
+        least = row["size"]
+    return [r["word"] for r in counts.where(F.col("size") >= least).select("word").collect()] if least is not None else []
 
 
 def publish(spark: SparkSession, data: bytes) -> str:
@@ -360,8 +372,6 @@ def publish(spark: SparkSession, data: bytes) -> str:
     jvm = context._jvm
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        from signalbed.session import cut_lineage
-
         cut_lineage(spark.range(1))  # sets a folder on a local master, or says what is missing
         folder = context.getCheckpointDir()
     path = jvm.org.apache.hadoop.fs.Path(folder, name)
