@@ -105,6 +105,57 @@ def recalculated_baselines(spark, folder):
         "team_id", "service_name", "metric_name", "baseline_value", "sample_count", "deviation_threshold", "window_start_time")
 
 
+GONE = """
+    SELECT k.team_id, concat(k.service_name, '-gone') AS service_name, 'log_volume' AS metric_name, k.baseline_value, k.sample_count
+    FROM known k WHERE k.metric_name = 'log_volume'"""
+KNOWN = """
+    SELECT team_id, service_name, metric_name, round(avg(value), 6) AS baseline_value, count(*) AS sample_count FROM (
+      SELECT team_id, service_name, 'log_volume' AS metric_name, CAST(n AS DOUBLE) AS value FROM known_hours
+      UNION ALL SELECT team_id, service_name, 'error_rate', CASE WHEN n = 0 THEN 0.0 ELSE errors * 100.0::DOUBLE / n END FROM known_hours)
+    GROUP BY ALL"""
+KNOWN_HOURS = """
+    SELECT s.team_id, s.service_name, h.range, count(l.id) AS n, count(l.id) FILTER (l.level IN ('ERROR', 'FATAL')) AS errors
+    FROM (SELECT DISTINCT team_id, service_name FROM log_entries) s
+    CROSS JOIN range(168) h LEFT JOIN log_entries l ON l.team_id = s.team_id AND l.service_name = s.service_name
+      AND l.timestamp BETWEEN TIMESTAMP '2024-01-02' + to_hours(CAST(h.range AS INT)) AND TIMESTAMP '2024-01-02' + to_hours(CAST(h.range + 1 AS INT))
+    GROUP BY ALL"""
+
+
+def _known_sql(body: str) -> str:
+    return using("log_entries points metrics", body, **ALL, known_hours=KNOWN_HOURS, known=KNOWN, gone=GONE)
+
+
+@query("e19_upserted_baselines", _known_sql("""
+    SELECT team_id, service_name, metric_name, round(baseline_value, 6) AS baseline_value, sample_count, CAST(2.0 AS DOUBLE) AS deviation_threshold,
+      true AS is_active FROM baselines
+    UNION ALL SELECT team_id, service_name, metric_name, baseline_value, sample_count, CAST(3.0 AS DOUBLE), true FROM gone"""))
+def upserted_baselines(spark, folder):
+    """Known log baselines replaced, metric baselines added, those of services that are gone kept."""
+    rows = a.upsert_baselines(_known(spark, folder), a.learn_baselines(_series(spark, folder), START, END))
+    return _rounded(rows, "baseline_value").select(
+        "team_id", "service_name", "metric_name", "baseline_value", "sample_count", "deviation_threshold", "is_active")
+
+
+@query("e19_updated_baselines", _known_sql("""
+    SELECT k.team_id, k.service_name, k.metric_name,
+      CASE WHEN k.team_id = 2 AND k.metric_name = 'error_rate' THEN round(b.baseline_value, 6) ELSE k.baseline_value END AS baseline_value,
+      CAST(CASE WHEN k.team_id = 1 AND k.metric_name = 'log_volume' THEN 1.5 ELSE 3.0 END AS DOUBLE) AS deviation_threshold,
+      NOT (k.team_id = 2 AND k.metric_name = 'error_rate') AS is_active
+    FROM known k JOIN baselines b ON k.team_id = b.team_id AND k.service_name = b.service_name AND k.metric_name = b.metric_name
+    UNION ALL SELECT team_id, service_name, metric_name, baseline_value, CAST(3.0 AS DOUBLE), true FROM gone"""))
+def updated_baselines(spark, folder):
+    """A new threshold for some, others switched off and learned afresh because their change names a window."""
+    services = t.log_entries(spark, folder).select("team_id", "service_name").distinct()
+    changes = services.where("team_id > 0").selectExpr(
+        "team_id", "service_name", "IF(team_id = 1, 'log_volume', 'error_rate') AS metric_name",
+        "CAST(IF(team_id = 1, 1.5, NULL) AS DOUBLE) AS deviation_threshold", "IF(team_id = 2, false, NULL) AS is_active",
+        "IF(team_id = 2, 168, NULL) AS window_hours")
+    learned = a.learn_baselines(_series(spark, folder), START, END)
+    rows = a.update_baselines(_known(spark, folder), changes, learned)
+    return _rounded(rows, "baseline_value").select(
+        "team_id", "service_name", "metric_name", "baseline_value", "deviation_threshold", "is_active")
+
+
 @query("e20_current_values", _sql("SELECT team_id, service_name, metric_name, round(current_value, 6) AS current_value FROM current_values"))
 def current_values(spark, folder):
     rows = a.current_values(t.log_entries(spark, folder), t.metric_series(spark, folder), t.metrics(spark, folder), HALF)

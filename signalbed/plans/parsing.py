@@ -148,7 +148,24 @@ def custom_fields(spark, folder):
     return _parsed(spark, folder).where("log_format = 'json'").select("id", "custom_fields")
 
 
-@query("a01_topic_records")
+# The lines of ``raw_logs`` once more, and the records of the topic.
+RAW_SQL = """
+    SELECT event_id AS id, user_id % 3 AS team_id, CASE event_id % 5
+      WHEN 0 THEN concat('{"severity":"', CASE event_type WHEN 'error' THEN 'error' ELSE 'INFO' END, '","msg":"', event_type, ' by user ', user_id,
+        '","@timestamp":"', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), 'Z","Service.Name":"svc-', user_id % 5, '","traceId":"t-', event_id // 8,
+        '","user":', user_id, CASE event_type WHEN 'error' THEN concat(',"exception":"app.AppError: code ', user_id, '"') ELSE '' END, ',"tag":null}')
+      WHEN 1 THEN concat('level=WARN msg="', event_type, ' by user ', user_id, '" time=', epoch_us(ts) // 1000, ' span_id=s-', event_id, ' host=host-', user_id % 4)
+      WHEN 2 THEN concat(strftime(ts, '%Y-%m-%d %H:%M:%S.%g'), '  INFO [svc-', user_id % 5, ',t-', event_id // 8, ',s-', event_id, '] ', user_id,
+        ' --- [  main] app.', event_type, ' : done in ', event_id, ' steps')
+      WHEN 3 THEN concat('<', user_id, '>Jan 15 10:30:45 host-', user_id % 4, ' app-', event_type, '[', event_id, ']: request ', event_id, ' served')
+      ELSE concat('  ', event_type, ' happened to user ', user_id, ' ') END AS raw FROM events"""
+
+
+@query("a01_topic_records", using("", """
+    SELECT concat('00000000-0000-0000-0000-00000000000', team_id) AS team_id,
+      CASE WHEN id % 7 = 0 THEN concat('{"level":"warn","message":"seen ', id, '","timestamp":"2024-01-02T03:04:05","hostName":"h"}') ELSE raw END AS raw,
+      CASE WHEN id % 2 = 0 THEN 'keyed' ELSE 'unknown' END AS default_service
+    FROM raw_logs WHERE id % 13 <> 0""", raw_logs=RAW_SQL))
 def topic_records(spark, folder):
     return ingest.topic_records(_topic(spark, folder))
 
@@ -171,6 +188,15 @@ def structured_records(spark, folder):
     return rows.select("log_format", "level", "message", "timestamp", "service_name", "host_name", "team_id")
 
 
+@query("i01_ingested_records", using("", """
+    SELECT upper(CASE WHEN level = 'warn' THEN 'WARN' ELSE level END) AS level, message, coalesce(timestamp, TIMESTAMP '2024-02-01') AS timestamp, service_name,
+      concat('00000000-0000-0000-0000-00000000000', team_id) AS team_id FROM lines""", parsed=PARSED_SQL, lines=TOPIC_SQL))
+def ingested_records(spark, folder):
+    """What the ingest stream stores, on the same records as a batch."""
+    rows = ingest.ingest_logs(ingest.parse_topic_lines(ingest.topic_records(_topic(spark, folder))), NOW)[0]
+    return rows.select("level", "message", "timestamp", "service_name", "team_id")
+
+
 def _requests(spark, folder):
     return t.events(spark, folder).selectExpr(
         "event_id AS id", "user_id % 3 AS team_id", "concat('svc-', user_id % 5) AS service_name",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from signalbed.operators import alerts, traps
 from signalbed.plans.registry import query, using
 from signalbed.sources import tables as t
+from signalbed.streaming import jobs
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -210,6 +211,22 @@ def throttled_alerts(spark, folder):
     return alerts.throttle(_fires(spark, folder)).select("rule_id", "entry_id", "fired_at")
 
 
+@query("i02_pattern_stream", using("log_entries pattern_hits", "SELECT id, trap_id FROM pattern_hits"))
+def pattern_stream(spark, folder):
+    """What the pattern stream emits, on the same entries as a batch."""
+    return jobs.pattern_stream(t.log_entries(spark, folder), t.trap_rules()).select("id", "trap_id")
+
+
+@query("i03_frequency_windows", using("log_entries", """
+    SELECT team_id, "start", "start" + INTERVAL 1 HOUR AS "end", count(*) AS n FROM (
+      SELECT l.team_id, time_bucket(INTERVAL 10 MINUTE, l.timestamp) - to_minutes(CAST(10 * k.range AS INT)) AS "start" FROM log_entries l, range(6) k)
+    GROUP BY team_id, "start" HAVING count(*) >= 6"""))
+def frequency_windows(spark, folder):
+    """Windows of an hour, every ten minutes, in which a team reaches the threshold; as a batch."""
+    rows = jobs.frequency_windows(t.log_entries(spark, folder), {"window_seconds": 3600, "threshold": 6}, slide="10 minutes")
+    return rows.select("team_id", "start", "end", "n")
+
+
 @query("i08_trap_statistics", using("log_entries pattern_hits", """
     SELECT trap_id, count(*) AS trigger_count, max(timestamp) AS last_triggered_at FROM pattern_hits GROUP BY trap_id"""))
 def trap_statistics(spark, folder):
