@@ -7,8 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 256
-ONE_SLICE = 1_000_000
+from signalbed.session import cut_lineage
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -19,31 +18,20 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def ranked_values(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Value counts with ``rank`` (of the last repeat), and ``total`` and ``sum`` of the group.
 
-    A group of more than a million values is cut into slices of its value range
-    by a small quantile sketch. The sketch only places the cuts: ranks are
-    counted exactly, from the slice totals and a running count inside each
-    slice. So no task holds a whole large group.
+    The counts are dealt out by ranges of (keys, value), so a group of any size
+    lies in as many slices as its share of the rows asks for. Ranks are a
+    running count inside each slice plus the totals of the slices before it.
+    The slices are written once: all parts below must see the same ones.
     """
     keys = list(keys)
-    fractions = [n / SLICES for n in range(1, SLICES)]
-    groups = counts.groupBy(*keys).agg(
-        F.sum("n").alias("total"), F.sum(F.col("n") * F.col(value)).alias("sum"),
-        F.count(F.lit(1)).alias("_values"), F.percentile_approx(value, fractions, 4 * SLICES).alias("_sketch"),
-    )
-    cuts = F.when(F.col("_values") > ONE_SLICE, F.array_distinct("_sketch")).otherwise(F.array().cast("array<double>"))
-    groups = groups.withColumn("_cuts", cuts).withColumn("_coarse", F.filter("_cuts", lambda _, i: i % 16 == 15))
-    groups = groups.drop("_values", "_sketch")
-    # Cuts below a value, by sixteens first.
-    coarse = F.size(F.filter("_coarse", lambda cut: cut < F.col(value))) * 16
-    fine = F.size(F.filter(F.slice("_cuts", F.col("_sixteens") + 1, F.lit(16)), lambda cut: cut < F.col(value)))
-    rows = counts.join(groups, keys).withColumn("_sixteens", coarse)
-    rows = rows.select(*keys, value, "n", "total", "sum", (F.col("_sixteens") + fine).alias("_slice"))
+    rows = cut_lineage(counts.repartitionByRange(*keys, value).withColumn("_slice", F.spark_partition_id()))
+    groups = rows.groupBy(*keys).agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col(value)).alias("sum"))
     slices = rows.groupBy(*keys, "_slice").agg(F.sum("n").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(*keys, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_past"))
+    slices = slices.select(*keys, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_past")).join(groups, keys)
     inside = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_inside", F.sum("n").over(inside)).join(slices, [*keys, "_slice"])
-    return rows.select(*keys, value, "n", "total", "sum", (F.col("_inside") + F.col("_past")).alias("rank"))
+    ranked = rows.withColumn("_inside", F.sum("n").over(inside)).join(slices, [*keys, "_slice"])
+    return ranked.select(*keys, value, "n", "total", "sum", (F.col("_inside") + F.col("_past")).alias("rank"))
 
 
 def value_at(value: str, p: float) -> Column:
