@@ -46,32 +46,45 @@ def trace_summaries(spans: DataFrame, recent: Column | None = None) -> DataFrame
     )
 
 
-def _newest(summaries: DataFrame, page: int, size: int) -> DataFrame:
-    rows = summaries.orderBy(F.col("recent_start").desc(), F.col(TRACE))
-    return (rows.offset(page * size) if page else rows).limit(size)
+def _touching(spans: DataFrame, mine: Column) -> DataFrame:
+    """All spans of the traces that have a span of ``mine``: the others are gone before anything is summed up."""
+    return spans.join(spans.where(mine).select(TRACE).distinct(), TRACE, "left_semi")
+
+
+def _newest(spans: DataFrame, mine: Column, page: int, size: int) -> DataFrame:
+    """Summaries of one page of traces, by the newest start of their spans of ``mine``.
+
+    The page is chosen by times alone; only its traces are summed up.
+    """
+    order = [F.col("recent_start").desc(), F.col(TRACE)]
+    rows = spans.where(mine).groupBy(TRACE).agg(F.max("start_time").alias("recent_start")).orderBy(*order)
+    chosen = (rows.offset(page * size) if page else rows).limit(size).select(TRACE)
+    return trace_summaries(spans.join(chosen, TRACE, "left_semi"), mine).orderBy(*order)
 
 
 def recent_traces(spans: DataFrame, team_id, page: int = 0, size: int = 20) -> DataFrame:
-    return _newest(trace_summaries(spans.where(F.col("team_id") == F.lit(team_id))), page, size)
+    return _newest(spans.where(F.col("team_id") == F.lit(team_id)), F.lit(True), page, size)
 
 
 def traces_of_service(spans: DataFrame, team_id, service_name: str) -> DataFrame:
-    """Whole traces with at least one span of the service; one aggregation instead of a join."""
+    """Whole traces with at least one span of the service."""
     own = (F.col("team_id") == F.lit(team_id)) & (F.col("service_name") == service_name)
-    return trace_summaries(spans, own).where("recent_start IS NOT NULL")
+    return trace_summaries(_touching(spans, own), own)
 
 
 def traces_by_service(spans: DataFrame, team_id, service_name: str, page: int = 0, size: int = 20) -> DataFrame:
-    return _newest(traces_of_service(spans, team_id, service_name), page, size)
+    own = (F.col("team_id") == F.lit(team_id)) & (F.col("service_name") == service_name)
+    return _newest(spans, own, page, size)
 
 
 def traces_with_errors(spans: DataFrame, team_id) -> DataFrame:
     failed = (F.col("team_id") == F.lit(team_id)) & (F.col("status") == "ERROR")
-    return trace_summaries(spans, failed).where("recent_start IS NOT NULL")
+    return trace_summaries(_touching(spans, failed), failed)
 
 
 def error_traces(spans: DataFrame, team_id, limit: int = 20) -> DataFrame:
-    return _newest(traces_with_errors(spans, team_id), 0, limit)
+    failed = (F.col("team_id") == F.lit(team_id)) & (F.col("status") == "ERROR")
+    return _newest(spans, failed, 0, limit)
 
 
 def trace_flows(spans: DataFrame) -> DataFrame:
