@@ -29,6 +29,11 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts)
 
 
+def utc_day(ts: Column) -> Column:
+    """The day of an instant in UTC, whatever the zone of the session: folders must not depend on it."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))
+
+
 def millis_between(start: Column, end: Column) -> Column:
     """Whole milliseconds from start to end, cut toward zero."""
     return F.timestamp_diff("MILLISECOND", start, end)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalbed.functions.levels import LEVELS, level_ordinal
-from signalbed.functions.times import instant
+from signalbed.functions.times import instant, utc_day
 
 MIN_DAYS, MAX_DAYS = 1, 365
 
@@ -45,7 +45,16 @@ def with_expiry(entries: DataFrame, policies: DataFrame, as_of, source: str = "s
 
 
 def expired_logs(entries: DataFrame, policies: DataFrame, as_of, source: str = "service_name") -> DataFrame:
-    return with_expiry(entries, policies, as_of, source).where("expired").drop("expired")
+    """The entries that some policy removes.
+
+    No policy reaches beyond the shortest of them; that bound is a literal, so
+    the scan leaves out day folders and row groups.
+    """
+    shortest = policies.where("is_active").agg(F.min("retention_days")).first()[0]
+    if shortest is None:
+        return entries.where(F.lit(False))
+    old = entries.where(F.col("timestamp") < _cutoff(as_of, F.lit(int(shortest))))
+    return with_expiry(old, policies, as_of, source).where("expired").drop("expired")
 
 
 def kept_logs(entries: DataFrame, policies: DataFrame, as_of, source: str = "service_name") -> DataFrame:
@@ -127,7 +136,7 @@ def storage_usage(entries: DataFrame, series: DataFrame, spans: DataFrame, polic
 
 def archive(rows: DataFrame, folder: str, by: str = "timestamp") -> None:
     """Append rows below ``folder``, one directory per day."""
-    rows.withColumn("day", F.to_date(by)).write.mode("append").partitionBy("day").parquet(folder)
+    rows.withColumn("day", utc_day(F.col(by))).write.mode("append").partitionBy("day").parquet(folder)
 
 
 def run_policies(entries: DataFrame, policies: DataFrame, as_of, target: str, source: str = "service_name") -> dict[str, Sequence[str]]:
@@ -141,5 +150,5 @@ def run_policies(entries: DataFrame, policies: DataFrame, as_of, target: str, so
     for folder in folders:
         own = archives.where(F.col("archive_destination") == folder)
         archive(expired_logs(entries, own, as_of, source), folder)
-    kept_logs(entries, policies, as_of, source).withColumn("day", F.to_date("timestamp")).write.mode("overwrite").partitionBy("day").parquet(target)
+    kept_logs(entries, policies, as_of, source).withColumn("day", utc_day(F.col("timestamp"))).write.mode("overwrite").partitionBy("day").parquet(target)
     return {"archived": folders, "kept": [target]}

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbed.functions.times import instant
+from signalbed.functions.times import instant, utc_day
 
 
 def append_by_day(rows: DataFrame, folder: str, by: str = "timestamp", sort: tuple[str, ...] = ()) -> None:
-    """Append, one directory per day. Sorting inside the files makes min/max skipping work."""
-    dated = rows.withColumn("day", F.to_date(by))
+    """Append, one directory per UTC day. Sorting inside the files makes min/max skipping work."""
+    dated = rows.withColumn("day", utc_day(F.col(by)))
     if sort:
         dated = dated.sortWithinPartitions("day", *sort)
     dated.write.mode("append").partitionBy("day").parquet(folder)
@@ -20,9 +20,9 @@ def read_days(spark: SparkSession, folder: str, start=None, end=None, by: str =
     """Rows of an inclusive time range; the day test next to it prunes directories."""
     rows = spark.read.parquet(folder)
     if start is not None:
-        rows = rows.where((F.col("day") >= F.to_date(instant(start))) & (F.col(by) >= instant(start)))
+        rows = rows.where((F.col("day") >= utc_day(instant(start))) & (F.col(by) >= instant(start)))
     if end is not None:
-        rows = rows.where((F.col("day") <= F.to_date(instant(end))) & (F.col(by) <= instant(end)))
+        rows = rows.where((F.col("day") <= utc_day(instant(end))) & (F.col(by) <= instant(end)))
     return rows
 
 

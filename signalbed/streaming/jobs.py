@@ -64,8 +64,14 @@ def _newest_per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         yield pdf.groupby("key", as_index=False)["timestamp"].max()
 
 
-def absence_stream(entries: DataFrame, key: str, window_seconds: int, late: str = "10 minutes") -> DataFrame:
-    """(key, last_seen, absent_since) once the watermark is ``window_seconds`` past the last row of a key."""
+def absence_stream(
+    entries: DataFrame, key: str, window_seconds: int, late: str = "10 minutes", condition: Mapping | None = None
+) -> DataFrame:
+    """(key, last_seen, absent_since) once the watermark is ``window_seconds`` past the last row of a key.
+
+    With a ``condition``, only the rows that its service and level ask for count.
+    """
+    entries = entries if condition is None else entries.where(counted_rows(condition))
     width = window_seconds * 1000
 
     def watch(key_value: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
