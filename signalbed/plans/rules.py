@@ -291,7 +291,29 @@ def _trap_names(spark):
     return spark.createDataFrame([(x["trap_id"], x["name"]) for x in t.trap_rules()], "trap_id string, name string")
 
 
-@query("d13_outbox")
+OUTBOX_ROWS = """
+    SELECT concat(f.rule_id, '/', f.entry_id) AS alert_id, r.channel_id, f.severity, f.message,
+      CASE WHEN f.trap_id LIKE 'timeouts%' THEN 'Timeouts' ELSE 'Fatal' END AS trap,
+      upper(split_part(r.channel_id, '-', 1)) AS channel_type, strftime(f.fired_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS stamp
+    FROM fires f JOIN rules r ON f.rule_id = r.rule_id"""
+
+
+@query("d13_outbox", using("log_entries pattern_hits rules fires", """
+    SELECT alert_id, channel_id, channel_type, target, CASE channel_type
+      WHEN 'WEBHOOK' THEN concat('{"severity":"', severity, '","trapName":"', trap, '","message":"', message, '","timestamp":"', stamp,
+        '","service":"signalbed"}')
+      WHEN 'TEAMS' THEN concat('{"@type":"MessageCard","@context":"http://schema.org/extensions","themeColor":"',
+        CASE severity WHEN 'CRITICAL' THEN 'FF0000' WHEN 'WARNING' THEN 'FFA500' ELSE '0076D7' END,
+        '","summary":"Log alert","sections":[{"activityTitle":"[', severity, '] ', trap, '","facts":[{"name":"Severity","value":"', severity,
+        '"},{"name":"Trap","value":"', trap, '"},{"name":"Message","value":"', message, '"},{"name":"Time","value":"', stamp, '"}],"markdown":true}]}')
+      WHEN 'SLACK' THEN concat('{"text":"Log alert: [', severity, '] ', trap,
+        '","blocks":[{"text":{"text":"Log alert","type":"plain_text"},"type":"header"},{"fields":[{"text":"*Severity:* ', severity,
+        '","type":"mrkdwn"},{"text":"*Trap:* ', trap, '","type":"mrkdwn"},{"text":"*Message:* ', message,
+        '","type":"mrkdwn"}],"type":"section"}]}')
+      ELSE concat('[Log alert] [', severity, '] ', trap, ' - ', message) END AS body
+    FROM (SELECT *, unnest(CASE channel_type WHEN 'EMAIL' THEN ['a@example.org', 'b@example.org'] WHEN 'SLACK' THEN ['https://chat.example.org/hook']
+        WHEN 'TEAMS' THEN ['https://card.example.org/hook'] ELSE ['https://hook.example.org/x'] END) AS target FROM outbox_rows)""",
+    outbox_rows=OUTBOX_ROWS))
 def outbox(spark, folder):
     history = alerts.to_history(_fires(spark, folder))
     return alerts.outbox(history, t.alert_channels(spark), _trap_names(spark))
