@@ -70,9 +70,16 @@ def _pair_field(name: str) -> str:
 
 
 def _split(pattern: str, count: int) -> str:
-    """An empty text and the groups when the line matches, anything else when not."""
+    """An empty text and the groups when the line matches, anything else when not.
+
+    One replacement finds all groups, with a mark between them; a line that
+    holds the mark itself is searched group by group.
+    """
     groups = _MARK.join(f"${n}" for n in range(1, count + 1))
-    return f"split(regexp_replace(_line, r'{pattern}', '{_MARK}{groups}'), '{_MARK}', {count + 1})"
+    at_once = f"split(regexp_replace(_line, r'{pattern}', '{_MARK}{groups}'), '{_MARK}', {count + 1})"
+    each = ", ".join(f"regexp_extract(_line, r'{pattern}', {n})" for n in range(1, count + 1))
+    return f"""CASE WHEN NOT contains(_line, '{_MARK}') THEN {at_once}
+        WHEN _line RLIKE r'{pattern}' THEN array('', {each}) ELSE array(_line) END"""
 
 
 def _split_ok(parts: str, count: int) -> str:

@@ -79,6 +79,21 @@ for _number, _form in (("d02", "json"), ("d03", "key_value"), ("d04", "spring_bo
     _parse_query(_number, _form)
 
 
+@query("d04_control_characters", """
+    SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'spring_boot' ELSE 'syslog' END AS log_format,
+      CASE WHEN event_id % 2 = 0 THEN concat('ma', chr(1), 'in') END AS thread_name,
+      CASE WHEN event_id % 2 = 0 THEN concat('a', chr(1), 'B') END AS logger_name,
+      CASE WHEN event_id % 2 = 1 THEN concat('ho', chr(1), 'st') END AS host_name,
+      CASE WHEN event_id % 2 = 1 THEN 'app' ELSE 'svc' END AS service_name,
+      concat('step', chr(1), event_id) AS message FROM events""")
+def control_characters(spark, folder):
+    """Control characters inside a line stay where they are."""
+    rows = t.events(spark, folder).selectExpr("event_id AS id", """CASE WHEN event_id % 2 = 0
+        THEN concat('2024-01-15 10:30:45.123 INFO [svc,t,s] 7 --- [ ma', char(1), 'in] a', char(1), 'B : step', char(1), event_id)
+        ELSE concat('<14>Jan 15 10:30:45 ho', char(1), 'st app[3]: step', char(1), event_id) END AS raw""")
+    return parse.parse_raw_logs(rows).select("id", "log_format", "thread_name", "logger_name", "host_name", "service_name", "message")
+
+
 @query("d04_long_texts", using("document_logs", """
     SELECT service_name, count(*) AS n, sum(CASE WHEN id % 50 = 0 THEN 40 ELSE 1 END * length(message))::BIGINT AS chars
     FROM document_logs GROUP BY service_name"""))
