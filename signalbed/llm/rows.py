@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256)
 )
+#: Documents that a batch function gets at once, so that the words of a whole Arrow batch never lie in memory together.
+ROWS_AT_ONCE = 1_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,9 +43,10 @@ def id_remainder(column: str, modulus: int) -> Column:
 
 
 def per_document(
-    docs: DataFrame, columns: list[str | Column], start: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str
+    docs: DataFrame, columns: list[str | Column], start: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str,
+    rows_at_once: int = ROWS_AT_ONCE,
 ) -> DataFrame:
-    """Run ``start()`` once per partition, then what it returns on each batch of ``columns``.
+    """Run ``start()`` once per partition, then what it returns on ``rows_at_once`` rows of ``columns`` at a time.
 
     The batch function returns one list or array per column of ``schema``.
     """
@@ -52,9 +55,9 @@ def per_document(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            if batch.num_rows:
+            for at in range(0, batch.num_rows, rows_at_once):
                 work = work or start()
-                made = work(batch)
+                made = work(batch.slice(at, rows_at_once))
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 
     return docs.select(*columns).mapInArrow(run, schema)

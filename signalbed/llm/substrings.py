@@ -29,6 +29,7 @@ from signalbed.llm.rows import mix, per_document, to_bytes
 
 WINDOW = 20
 LAST_ID = (1 << 63) - 1
+_NONE = np.zeros(0, np.uint64)
 _FACTORS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
@@ -108,26 +109,33 @@ def _joint(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return mix(first ^ (second * _FACTORS[1]))
 
 
-def _ids(array) -> np.ndarray:
-    return np.array(array.to_pylist(), dtype=np.int64)
+def _ids(array: pa.Array) -> np.ndarray:
+    return array.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
 
 
-def _longs(values) -> np.ndarray:
-    return np.array([] if values is None else values, dtype=np.int64).view(np.uint64)
+def _hash_lists(array: pa.ListArray) -> list[np.ndarray | None]:
+    """The lists of a column as views of its values; None for a null."""
+    values, cuts = array.values.to_numpy(zero_copy_only=False).view(np.uint64), array.offsets.to_numpy()
+    return [values[a:b] if ok else None for a, b, ok in zip(cuts, cuts[1:], array.is_valid().to_pylist())]
 
 
 def packed(docs: DataFrame) -> DataFrame:
     """(id, doc_id, c1, c2, n, words): two hashes of a document's words, their number, and the words compressed."""
 
     def start():
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=6)
 
         def work(batch: pa.RecordBatch) -> dict:
-            split = [words_of(t) for t in batch["text"].to_pylist()]
-            joined = [b" ".join(w) for w in split]
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(j) for j in joined), "<i8").reshape(-1, 2)
+            digest, counts, packed_words = b"", [], []
+            for text in batch["text"].to_pylist():
+                words = words_of(text)
+                joined = b" ".join(words)
+                digest += xxhash.xxh3_128_digest(joined)
+                counts.append(len(words))
+                packed_words.append(packer.compress(joined))
+            digests = np.frombuffer(digest, "<i8").reshape(-1, 2)
             return {"id": batch["id"], "doc_id": batch["doc_id"], "c1": digests[:, 0], "c2": digests[:, 1],
-                    "n": [len(w) for w in split], "words": [packer.compress(j) for j in joined]}
+                    "n": counts, "words": packed_words}
 
         return work
 
@@ -161,7 +169,7 @@ def own_halves(docs: DataFrame, window: int) -> DataFrame:
     def start():
         def work(batch: pa.RecordBatch) -> dict:
             seeds = [Levels(words_of(t), window).seeds() for t in batch["text"].to_pylist()]
-            found = np.concatenate([*seeds, np.zeros(0, np.uint64)])
+            found = np.concatenate([*seeds, _NONE])
             return {"h": found.view(np.int64), "id": np.repeat(_ids(batch["id"]), [len(s) for s in seeds])}
 
         return work
@@ -172,32 +180,35 @@ def own_halves(docs: DataFrame, window: int) -> DataFrame:
 
 
 def own_windows(marked: DataFrame, window: int) -> DataFrame:
-    """(id, firsts): the full windows, among those that may be repeated, that no smaller id holds."""
+    """(id, firsts): the full windows, among those that may be repeated, that no smaller id holds.
+
+    Documents are compared by 128 bits; the list for one document needs 64.
+    """
 
     def start():
         unpack = zstandard.ZstdDecompressor()
 
         def work(batch: pa.RecordBatch) -> dict:
             first, second, ids, sizes = [], [], [], []
-            columns = (batch[c].to_pylist() for c in ("id", "c1", "words", "originals", "own"))
+            columns = [batch["id"].to_pylist(), _ids(batch["c1"]).view(np.uint64), batch["words"].to_pylist(),
+                       _hash_lists(batch["originals"]), _hash_lists(batch["own"])]
             for i, c1, words, originals, own in zip(*columns):
                 if originals is None or c1 not in originals:
                     continue
-                _, a, b = Levels(unpack.decompress(words).split(), window).extended(_longs(own))
-                keep = np.unique(_joint(a, b), return_index=True)[1]
-                first.append(a[keep])
+                _, a, b = Levels(unpack.decompress(words).split(), window).extended(_NONE if own is None else own)
+                joint, keep = np.unique(_joint(a, b), return_index=True)
+                first.append(joint)
                 second.append(b[keep])
                 ids.append(i)
                 sizes.append(len(keep))
-            none = np.zeros(0, np.uint64)
-            return {"h1": np.concatenate([*first, none]).view(np.int64), "h2": np.concatenate([*second, none]).view(np.int64),
+            return {"h": np.concatenate([*first, _NONE]).view(np.int64), "h2": np.concatenate([*second, _NONE]).view(np.int64),
                     "id": np.repeat(np.array(ids, np.int64), np.array(sizes, np.int64))}
 
         return work
 
-    rows = per_document(marked, ["id", "c1", "words", "originals", "own"], start, "h1 bigint, h2 bigint, id bigint")
-    firsts = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"))
-    return firsts.groupBy("id").agg(F.collect_list("h1").alias("first1"), F.collect_list("h2").alias("first2"))
+    rows = per_document(marked, ["id", "c1", "words", "originals", "own"], start, "h bigint, h2 bigint, id bigint")
+    firsts = rows.groupBy("h", "h2").agg(F.min("id").alias("id"))
+    return firsts.groupBy("id").agg(F.collect_list("h").alias("firsts"))
 
 
 def removed_words(words: list[bytes], original: bool, own: np.ndarray, firsts: np.ndarray, window: int) -> np.ndarray:
@@ -240,11 +251,12 @@ def _judged(docs: DataFrame, window: int, digest: bool) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> dict:
             counts, removed, kept = [], [], []
-            columns = (batch[c].to_pylist() for c in ("c1", "words", "originals", "own", "first1", "first2"))
-            for c1, data, originals_, own, first1, first2 in zip(*columns):
+            columns = [_ids(batch["c1"]).view(np.uint64), batch["words"].to_pylist(),
+                       *(_hash_lists(batch[c]) for c in ("originals", "own", "firsts"))]
+            for c1, data, originals_, own, firsts in zip(*columns):
                 words = unpack.decompress(data).split()
-                gone = removed_words(words, originals_ is not None and c1 in originals_, _longs(own),
-                                     _joint(_longs(first1), _longs(first2)), window)
+                gone = removed_words(words, originals_ is not None and c1 in originals_, _NONE if own is None else own,
+                                     _NONE if firsts is None else firsts, window)
                 left = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
                 counts.append(len(words))
                 removed.append(int(gone.sum()))
@@ -254,7 +266,7 @@ def _judged(docs: DataFrame, window: int, digest: bool) -> DataFrame:
 
         return work
 
-    columns = ["doc_id", "c1", "words", "originals", "own", "first1", "first2"]
+    columns = ["doc_id", "c1", "words", "originals", "own", "firsts"]
     return per_document(joined, columns, start, SCHEMA if digest else SCHEMA.replace("kept_sha256", "kept"))
 
 
