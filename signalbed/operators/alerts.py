@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from signalbed.functions.spacing import CHUNK_ROWS, keep_spaced
 from signalbed.functions.times import MINUTE, instant, micros
+from signalbed.session import cut_lineage
 
 # Fixed values.
 SEVERITIES = ("INFO", "WARNING", "CRITICAL")
@@ -47,21 +48,20 @@ def throttle(fires: DataFrame, history: DataFrame | None = None, chunk_rows: int
 
     A rule fires again once its throttle time has fully passed since its last
     alert. Of fires at one instant the lowest entry id is taken; a rule
-    without throttle time lets everything through.
+    without throttle time lets everything through. Only (rule, time, entry) is
+    walked; the texts are joined back for the fires that stay.
     """
     if history is not None:
         fires = not_recently_fired(fires, history)
-    free = fires.where("throttle_minutes <= 0")
-    fields = [name for name in fires.columns if name != "rule_id"]
-    timed = (
-        fires.where("throttle_minutes > 0")
-        .groupBy("rule_id", micros(F.col("fired_at")).alias("_at"))
-        .agg(F.min_by(F.struct(*fields), F.col("entry_id")).alias("_fire"))
+    timed = cut_lineage(
+        fires.where("throttle_minutes > 0").groupBy("rule_id", micros(F.col("fired_at")).alias("_at"))
+        .agg(F.min("entry_id").alias("entry_id"), F.max("throttle_minutes").cast("long").alias("_minutes"))
     )
-    times = timed.select("rule_id", "_at", (F.col("_fire.throttle_minutes").cast("long") * F.lit(MINUTE)).alias("_gap"))
+    times = timed.select("rule_id", "_at", (F.col("_minutes") * F.lit(MINUTE)).alias("_gap"))
     kept = keep_spaced(times, "rule_id", "_at", "_gap", chunk_rows)
-    alerts = timed.join(kept, ["rule_id", "_at"], "left_semi").select("rule_id", "_fire.*")
-    return alerts.unionByName(free.select(alerts.columns))
+    chosen = timed.join(kept, ["rule_id", "_at"], "left_semi").select("rule_id", "entry_id", F.lit(True).alias("_kept"))
+    rows = fires.join(chosen, ["rule_id", "entry_id"], "left")
+    return rows.where(F.col("_kept") | (F.col("throttle_minutes") <= 0)).select(*fires.columns)
 
 
 def to_history(alerts: DataFrame) -> DataFrame:
