@@ -9,10 +9,21 @@ lowest dart of a coordinate is its signature: equal in two documents with the
 probability of their weighted Jaccard similarity.
 
 Coordinates are joined in bands. Documents that share a band are compared with
-the smallest id of the band, all similarities are verified exactly, and only
-where a band still holds several components are the pairs between them
-compared as well. So no pair of a band goes unanswered, and a large group of
-copies costs one comparison per member.
+one of them, all similarities are verified exactly, and only where a band still
+holds several components are the pairs between them compared as well. So no
+pair of a band goes unanswered, and a large group of copies costs one
+comparison per member.
+
+What a document has for itself, the shingles no other candidate holds, serves
+twice. The member with the fewest of them stands in the middle of its band and
+is the one the others are compared with. And they bound every similarity: of
+two sets of n and m shingles with u and v own ones, at most
+``min(n - u, m - v)`` are shared. The comparison with the middle member p gives
+a second bound: both sets lack some shingles of p, hashed to 256 bits, and what
+they share inside p is at most the size of p less the bits of both together.
+With at most ``s`` shared, the similarity is at most ``s / (n + m - s)``; pairs
+that can't reach the threshold are never made. The bounds are exact: nothing
+that could link is left out.
 """
 
 from __future__ import annotations
@@ -131,9 +142,12 @@ def signed(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
 
     def start():
         def work(batch: pa.RecordBatch) -> dict:
-            words = [plain_words(t) for t in batch["text"].to_pylist()]
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words), "<i8").reshape(-1, 2)
-            sets = [shingles(w, shingle) for w in words]
+            digest, sets = b"", []
+            for text in batch["text"].to_pylist():
+                words = plain_words(text)
+                digest += xxhash.xxh3_128_digest(b" ".join(words))
+                sets.append(shingles(words, shingle))
+            digests = np.frombuffer(digest, "<i8").reshape(-1, 2)
             keys = bands_of(signatures([(s, None) for s in sets], bands * rows), bands, rows).view(np.int64)
             return {"doc_id": batch["doc_id"], "c1": digests[:, 0], "c2": digests[:, 1], "n": [len(s) for s in sets],
                     "bands": [k if len(s) else None for k, s in zip(keys, sets)]}
@@ -144,21 +158,53 @@ def signed(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
     return per_document(docs, [F.col("doc_id").cast("bigint"), "text"], start, schema)
 
 
-def compressed(docs: DataFrame) -> DataFrame:
+def compressed(docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, n, words): the number of shingles and the words, compressed."""
+
     def start():
         packer = zstandard.ZstdCompressor(level=3)
 
         def work(batch: pa.RecordBatch) -> dict:
-            return {"node": batch["doc_id"],
-                    "words": [packer.compress(b" ".join(plain_words(t))) for t in batch["text"].to_pylist()]}
+            words, counts = [], []
+            for text in batch["text"].to_pylist():
+                found = plain_words(text)
+                words.append(packer.compress(b" ".join(found)))
+                counts.append(len(shingles(found, shingle)))
+            return {"node": batch["doc_id"], "n": counts, "words": words}
+
+        return work
+
+    columns = [F.col("doc_id").cast("bigint"), "text"]
+    return per_document(docs.where("doc_id IS NOT NULL"), columns, start, "node bigint, n bigint, words binary")
+
+
+def own_shingles(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, n, u) of ``texts`` (``node words``): the number of shingles, and of those that no other node has."""
+
+    def start():
+        unpack = zstandard.ZstdDecompressor()
+
+        def work(batch: pa.RecordBatch) -> dict:
+            sets = [shingles(unpack.decompress(w).split(), shingle) for w in batch["words"].to_pylist()]
+            nodes = batch["node"].to_numpy()
+            return {"h": np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64), "node": np.repeat(nodes, [len(s) for s in sets])}
 
         return work
 
-    return per_document(docs.where("doc_id IS NOT NULL"), [F.col("doc_id").cast("bigint"), "text"], start, "node bigint, words binary")
+    rows = per_document(texts, ["node", "words"], start, "h bigint, node bigint")
+    once = rows.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    own = once.groupBy("node").agg(F.count("*").alias("u"))
+    return texts.select("node", "n").join(own, "node", "left").select("node", "n", F.coalesce("u", F.lit(0)).alias("u"))
+
+
+_SIMILAR = "a bigint, b bigint, similarity double, shared bigint, lost array<bigint>"
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(a, b, similarity) of ``pairs`` (``a b``), exact, from ``texts`` (``node words``)."""
+    """(a, b, similarity, shared, lost) of ``pairs`` (``a b``), exact, from ``texts`` (``node words``).
+
+    ``lost`` is a bit mask: the shingles of b that a has not, hashed to 256 bits.
+    """
     both = pairs.join(texts.selectExpr("node AS a", "words AS left_words"), "a").join(
         texts.selectExpr("node AS b", "words AS right_words"), "b")
 
@@ -170,16 +216,21 @@ def similarities(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
             return shingles(unpack.decompress(data).split(), shingle)
 
         def work(batch: pa.RecordBatch) -> dict:
-            found = []
+            found, common, masks = [], [], []
             for left, right in zip(batch["left_words"].to_pylist(), batch["right_words"].to_pylist()):
                 x, y = set_of(left), set_of(right)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
+                has = np.isin(y, x, assume_unique=True)
+                shared = int(has.sum())
+                bits = np.zeros(256, np.uint8)
+                bits[(y[~has] % np.uint64(256)).astype(int)] = 1
                 found.append(shared / max(len(x) + len(y) - shared, 1))
-            return {"a": batch["a"], "b": batch["b"], "similarity": found}
+                common.append(shared)
+                masks.append(np.packbits(bits).view(np.int64))
+            return {"a": batch["a"], "b": batch["b"], "similarity": found, "shared": common, "lost": masks}
 
         return work
 
-    return per_document(both, ["a", "b", "left_words", "right_words"], start, "a bigint, b bigint, similarity double")
+    return per_document(both, ["a", "b", "left_words", "right_words"], start, _SIMILAR)
 
 
 def near_duplicates(
@@ -203,34 +254,41 @@ def near_duplicates(
     nodes = real.join(classes.withColumnRenamed("class_id", "doc_id"), ["c1", "c2", "doc_id"]).select(
         F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
     shared = cut_lineage(
-        nodes.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").drop("last")
+        nodes.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("band")
     )
-    members = cut_lineage(nodes.join(shared, "band").distinct())
-    stars = cut_lineage(members.where("node <> pivot").selectExpr("node AS a", "pivot AS b").distinct())
+    members = cut_lineage(nodes.join(shared, "band", "left_semi").distinct())
     ids = members.select("node").distinct()
-    texts = cut_lineage(compressed(docs).join(ids, "node", "left_semi"))
+    texts = cut_lineage(compressed(docs, shingle).join(ids, "node", "left_semi").dropDuplicates(["node"]))
+    facts = cut_lineage(own_shingles(texts, shingle))
+    placed = members.join(facts, "node")
+    middle = F.col("u") * (1 << 31) + F.pmod(F.xxhash64("node"), F.lit(1 << 31))
+    pivots = cut_lineage(placed.groupBy("band").agg(F.min_by("node", middle).alias("pivot")))
+    placed = cut_lineage(placed.join(pivots, "band"))
+    stars = cut_lineage(placed.where("node <> pivot").selectExpr("node AS a", "pivot AS b").distinct())
     tested = cut_lineage(similarities(stars, texts, shingle))
-    links = tested.where(F.col("similarity") >= threshold - 1e-12)
+    enough = F.col("similarity") >= threshold - 1e-12
+    links = tested.where(enough).select("a", "b")
     found = components(links)
-    # Bands that hold more than one component: the pairs between components, but those the pivot rules out.
-    # Distance is a metric, so two members whose distances to the pivot differ by more than the bound can't link.
-    placed = (
-        members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        .join(tested.selectExpr("a AS node", "b AS pivot", "similarity"), ["node", "pivot"], "left")
-        .withColumn("similarity", F.when(F.col("node") == F.col("pivot"), 1.0).otherwise(F.col("similarity")))
-    )
-    placed = cut_lineage(placed)
+    # Bands that hold more than one component: the pairs between components that can reach the threshold.
+    apart = cut_lineage(placed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
     mixed = cut_lineage(
-        placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+        apart.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
     )
-    rest = placed.join(mixed, "band", "left_semi").where("node <> pivot")
-    left, right = rest.select("band", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("similarity").alias("sa")), \
-        rest.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("similarity").alias("sb"))
-    crossing = (
-        left.join(right, "band").where("a < b AND ca <> cb")
-        .where(F.abs(F.col("sa") - F.col("sb")) <= 1 - threshold + 1e-9).select("a", "b").distinct()
+    rest = (
+        apart.join(mixed, "band", "left_semi").where(F.col("n") - F.col("u") >= threshold * F.col("n") - 1e-9)
+        .join(tested.selectExpr("a AS node", "b AS pivot", "shared", "lost"), ["node", "pivot"])
+        .join(facts.selectExpr("node AS pivot", "n AS np"), "pivot")
     )
-    more = cut_lineage(similarities(crossing, texts, shingle).where(F.col("similarity") >= threshold - 1e-12))
+    # s: shingles that are not its own; e: those of them outside the pivot; np: the pivot's.
+    left = rest.selectExpr("band", "node AS x", "component AS cx", "n AS nx", "n - u AS sx", "n - u - shared AS ex", "lost AS lx", "np")
+    right = rest.selectExpr("band", "node AS y", "component AS cy", "n AS ny", "n - u AS sy", "n - u - shared AS ey", "lost AS ly")
+    lacking = sum((F.bit_count(F.col("lx")[i].bitwiseOR(F.col("ly")[i])) for i in range(4)), F.lit(0))
+    most = F.least(F.col("sx"), F.col("sy"), F.col("np") - lacking + F.least("ex", "ey"))
+    crossing = left.join(
+        right, (left["band"] == right["band"]) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy"))
+        & (most >= threshold * (F.col("nx") + F.col("ny") - most) - 1e-9)
+    ).selectExpr("x AS a", "y AS b").distinct()
+    more = cut_lineage(similarities(crossing, texts, shingle).where(enough).select("a", "b"))
     if not more.isEmpty():
         found = components(links.unionByName(more))
     answer = cut_lineage(
