@@ -121,12 +121,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> D
 
     Labels are counted first; about ``sample_rows`` of them, by a hash of the
     id, are joined to their texts (their ids are what a broadcast holds) and
-    turned into statistics by the executors. The driver gets only those vectors.
+    turned into statistics by the executors. The driver gets only those vectors,
+    each once however often its row is repeated.
     """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int"))
     n = max(known.count(), 1)
     place = (F.xxhash64("doc_id", F.lit("quality")) % 1_000_000 + 1_000_000) % 1_000_000
-    sample = known.where(place < min(1.0, sample_rows / n) * 1_000_000)
+    sample = known.where(place < min(1.0, sample_rows / n) * 1_000_000).distinct()
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def start():
@@ -135,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> D
 
         return work
 
-    rows = per_document(texts, ["text", "quality"], start, "x array<double>, y int").toPandas()
+    rows = per_document(texts, ["text", "quality"], start, "x array<double>, y int").distinct().toPandas()
     x = np.array(rows["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return fit_discriminant(x, rows["y"].to_numpy(dtype=int))
 

@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **se
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int"))
     n = max(known.count(), 1)
     place = (F.xxhash64("doc_id", F.lit("toxic")) % 1_000_000 + 1_000_000) % 1_000_000
-    sample = known.where(place < min(1.0, sample_rows / n) * 1_000_000)
+    sample = known.where(place < min(1.0, sample_rows / n) * 1_000_000).distinct()
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def start():
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **se
 
         return work
 
-    rows = per_document(texts, ["doc_id", "text", "toxic"], start, "doc_id bigint, toxic int, words string").toPandas()
+    rows = per_document(texts, ["doc_id", "text", "toxic"], start, "doc_id bigint, toxic int, words string").distinct().toPandas()
     rows = rows.sort_values(["doc_id", "toxic", "words"])
     toxic = rows["toxic"].to_numpy(dtype=int)
     table = table_of(set(w.split()) for w in rows["words"])
