@@ -52,12 +52,10 @@ def rolled(values: np.ndarray, length: int, factor: np.uint64) -> np.ndarray:
     return out
 
 
-def doubled(half: np.ndarray, length: int, factor: np.uint64) -> np.ndarray:
-    """Hashes of the windows of twice ``length`` from those of ``length``."""
-    if len(half) <= length:
-        return np.zeros(0, np.uint64)
+def doubled(half: np.ndarray, length: int, factor: np.uint64, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the windows of twice ``length`` at ``starts`` from those of ``length``."""
     with np.errstate(over="ignore"):
-        return half[:-length] * np.power(factor, length, dtype=np.uint64) + half[length:]
+        return half[starts] * np.power(factor, length, dtype=np.uint64) + half[starts + length]
 
 
 def _sliding(values: np.ndarray, width: int, choose) -> np.ndarray:
@@ -79,14 +77,11 @@ def selected(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Levels:
-    """The levels of one document's words."""
+    """The levels of one document: its number of words, and the hashes of its half windows (see :func:`levels_of`)."""
 
-    def __init__(self, words: list[bytes], window: int) -> None:
-        self.n, self.window, self.half = len(words), window, window // 2
-        hashes = hashes_of(words)
-        self.halves = [rolled(hashes, self.half, f) for f in _FACTORS]
-        self.values = mix(self.halves[0])
-        self.places = np.flatnonzero(selected(self.values, window - self.half + 1))
+    def __init__(self, n: int, window: int, halves: list[np.ndarray], values: np.ndarray) -> None:
+        self.n, self.window, self.half, self.halves, self.values = n, window, window // 2, halves, values
+        self.places = np.flatnonzero(selected(values, window - self.half + 1))
 
     def seeds(self) -> np.ndarray:
         return np.unique(self.values[self.places])
@@ -94,14 +89,34 @@ class Levels:
     def extended(self, own_seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, hash, second hash) of the full windows around half windows that are repeated anywhere."""
         values = self.values[self.places]
-        _, which, counts = np.unique(values, return_inverse=True, return_counts=True)
-        places = self.places[(counts[which] > 1) | ~np.isin(values, own_seeds)]
+        repeated = ~np.isin(values, own_seeds)
+        if len(values) > 1:
+            _, which, counts = np.unique(values, return_inverse=True, return_counts=True)
+            repeated |= counts[which] > 1
+        if not repeated.any():
+            return np.zeros(0, np.int64), _NONE, _NONE
+        places = self.places[repeated]
         edges = np.zeros(self.n + 2, np.int64)
         np.add.at(edges, np.maximum(places - (self.window - self.half), 0), 1)
         np.add.at(edges, np.minimum(places, self.n - self.window) + 1, -1)
         starts = np.flatnonzero(np.cumsum(edges)[:max(self.n - self.window + 1, 0)] > 0)
-        first, second = (mix(doubled(h, self.half, f)) for h, f in zip(self.halves, _FACTORS))
-        return starts, first[starts], second[starts]
+        first, second = (mix(doubled(h, self.half, f, starts)) for h, f in zip(self.halves, _FACTORS))
+        return starts, first, second
+
+
+def levels_of(documents: list[list[bytes]], window: int) -> list[Levels]:
+    """The levels of several documents; their words are hashed in one go."""
+    half = window // 2
+    sizes = [len(words) for words in documents]
+    hashes = hashes_of([w for words in documents for w in words])
+    halves = [rolled(hashes, half, f) for f in _FACTORS]
+    values = mix(halves[0])
+    out, at = [], 0
+    for n in sizes:
+        own = slice(at, at + max(n - half + 1, 0))
+        out.append(Levels(n, window, [h[own] for h in halves], values[own]))
+        at += n
+    return out
 
 
 def _joint(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -168,7 +183,7 @@ def own_halves(docs: DataFrame, window: int) -> DataFrame:
 
     def start():
         def work(batch: pa.RecordBatch) -> dict:
-            seeds = [Levels(words_of(t), window).seeds() for t in batch["text"].to_pylist()]
+            seeds = [d.seeds() for d in levels_of([words_of(t) for t in batch["text"].to_pylist()], window)]
             found = np.concatenate([*seeds, _NONE])
             return {"h": found.view(np.int64), "id": np.repeat(_ids(batch["id"]), [len(s) for s in seeds])}
 
@@ -182,7 +197,7 @@ def own_halves(docs: DataFrame, window: int) -> DataFrame:
 def own_windows(marked: DataFrame, window: int) -> DataFrame:
     """(id, firsts): the full windows, among those that may be repeated, that no smaller id holds.
 
-    Documents are compared by 128 bits; the list for one document needs 64.
+    Documents are compared by 96 bits; the list for one document needs 64.
     """
 
     def start():
@@ -192,39 +207,39 @@ def own_windows(marked: DataFrame, window: int) -> DataFrame:
             first, second, ids, sizes = [], [], [], []
             columns = [batch["id"].to_pylist(), _ids(batch["c1"]).view(np.uint64), batch["words"].to_pylist(),
                        _hash_lists(batch["originals"]), _hash_lists(batch["own"])]
-            for i, c1, words, originals, own in zip(*columns):
-                if originals is None or c1 not in originals:
-                    continue
-                _, a, b = Levels(unpack.decompress(words).split(), window).extended(_NONE if own is None else own)
+            chosen = [row for row in zip(*columns) if row[3] is not None and row[1] in row[3]]
+            levels = levels_of([unpack.decompress(row[2]).split() for row in chosen], window)
+            for (i, _, _, _, own), document in zip(chosen, levels):
+                _, a, b = document.extended(_NONE if own is None else own)
                 joint, keep = np.unique(_joint(a, b), return_index=True)
                 first.append(joint)
-                second.append(b[keep])
+                second.append((b[keep] >> np.uint64(32)).astype(np.uint32))
                 ids.append(i)
                 sizes.append(len(keep))
-            return {"h": np.concatenate([*first, _NONE]).view(np.int64), "h2": np.concatenate([*second, _NONE]).view(np.int64),
+            return {"h": np.concatenate([*first, _NONE]).view(np.int64), "h2": np.concatenate([*second, np.zeros(0, np.uint32)]).view(np.int32),
                     "id": np.repeat(np.array(ids, np.int64), np.array(sizes, np.int64))}
 
         return work
 
-    rows = per_document(marked, ["id", "c1", "words", "originals", "own"], start, "h bigint, h2 bigint, id bigint")
+    rows = per_document(marked, ["id", "c1", "words", "originals", "own"], start, "h bigint, h2 int, id bigint")
     firsts = rows.groupBy("h", "h2").agg(F.min("id").alias("id"))
     return firsts.groupBy("id").agg(F.collect_list("h").alias("firsts"))
 
 
-def removed_words(words: list[bytes], original: bool, own: np.ndarray, firsts: np.ndarray, window: int) -> np.ndarray:
+def removed_words(document: Levels, original: bool, own: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Which words are covered by a window that also starts earlier."""
-    if len(words) < window:
-        return np.zeros(len(words), bool)
+    if document.n < document.window:
+        return np.zeros(document.n, bool)
     if not original:
-        return np.ones(len(words), bool)
-    starts, a, b = Levels(words, window).extended(own)
+        return np.ones(document.n, bool)
+    starts, a, b = document.extended(own)
     joint = _joint(a, b)
     first_here = np.zeros(len(starts), bool)
     first_here[np.unique(joint, return_index=True)[1]] = True
     gone = starts[~(first_here & np.isin(joint, firsts))]
-    edges = np.zeros(len(words) + 1, np.int64)
+    edges = np.zeros(document.n + 1, np.int64)
     edges[gone] += 1
-    np.add.at(edges, gone + window, -1)
+    np.add.at(edges, gone + document.window, -1)
     return np.cumsum(edges)[:-1] > 0
 
 
@@ -253,11 +268,13 @@ def _judged(docs: DataFrame, window: int, digest: bool) -> DataFrame:
             counts, removed, kept = [], [], []
             columns = [_ids(batch["c1"]).view(np.uint64), batch["words"].to_pylist(),
                        *(_hash_lists(batch[c]) for c in ("originals", "own", "firsts"))]
-            for c1, data, originals_, own, firsts in zip(*columns):
-                words = unpack.decompress(data).split()
-                gone = removed_words(words, originals_ is not None and c1 in originals_, _NONE if own is None else own,
-                                     _NONE if firsts is None else firsts, window)
-                left = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+            texts = [unpack.decompress(data) for data in columns[1]]
+            split = [text.split() for text in texts]
+            rows = zip(texts, split, levels_of(split, window), columns[0], *columns[2:])
+            for text, words, document, c1, originals_, own, firsts in rows:
+                gone = removed_words(document, originals_ is not None and c1 in originals_, _NONE if own is None else own,
+                                     _NONE if firsts is None else firsts)
+                left = b" ".join([w for w, g in zip(words, gone.tolist()) if not g]) if gone.any() else text
                 counts.append(len(words))
                 removed.append(int(gone.sum()))
                 kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "surrogatepass"))
