@@ -6,12 +6,12 @@ from signalbed.llm.bpe import op8_bpe
 from signalbed.llm.decontaminate import OP10_SQL, op10_decontaminate
 from signalbed.llm.lang_id import op1_language_id
 from signalbed.llm.licenses import op6_license_scan
-from signalbed.llm.minhash import op7_minhash
+from signalbed.llm.minhash import OP7_SQL, op7_minhash
 from signalbed.llm.pii import op9_pii
 from signalbed.llm.quality import op3_quality
 from signalbed.llm.substrings import OP4_SQL, op4_substrings
 from signalbed.llm.toxicity import op5_toxicity
-from signalbed.llm.vectors import op2_embedding_dedup
+from signalbed.llm.vectors import OP2_SQL, op2_embedding_dedup
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -26,6 +26,8 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 CHECKS: dict[str, str] = {
+    "op2_embedding_dedup": OP2_SQL,
     "op4_substrings": OP4_SQL,
+    "op7_minhash": OP7_SQL,
     "op10_decontaminate": OP10_SQL,
 }
