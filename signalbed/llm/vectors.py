@@ -7,9 +7,13 @@ travel with the keys and rule out nearly all pairs; what is left is verified by
 the cosine of the vectors themselves in double precision. Pairs of all passes
 are joined into components.
 
-A window finds one link of a dense group, not all of them: the links of each
-vector are therefore counted over its whole component, block by block, so that
-a large group of near copies is counted exactly and no pair is written down.
+A window ends early where many vectors have nearly the same key. So the vectors
+whose keys begin alike are afterwards compared in full, block by block, except
+inside a component already found; only what joins components is written down.
+
+The links of each vector are counted over its whole component, block by block,
+so that a large group of near copies is counted exactly and no pair is written
+down.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -37,6 +41,8 @@ NEIGHBOURS = 24
 #: Bits of the sketch that two vectors at the threshold may differ in: 256 * angle / pi is 16 at 0.98, with a spread of 4.
 SKETCH_WORDS, MOST_BITS = 4, 44
 BLOCK = 128
+#: Keys begin alike in so many bits that about CROWD evenly spread vectors of a label share them, but in MOST_PREFIX at most.
+CROWD, MOST_PREFIX, CROWD_BLOCK = 128, 12, 512
 
 
 @functools.lru_cache(maxsize=8)
@@ -228,6 +234,69 @@ def links_inside(members: DataFrame, threshold: float) -> DataFrame:
     return parts.groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def joined(close: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of components that join what ``close`` links (rows in ``left``, columns in ``right``), fewer than there are components."""
+    rows, columns = np.nonzero(close)
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    names, places = np.unique(np.concatenate([left[rows], right[columns]]), return_inverse=True)
+    a, b = places[:len(rows)], places[len(rows):]
+    top = np.arange(len(names))
+    while True:
+        least = np.minimum(top[a], top[b])
+        before = top.copy()
+        np.minimum.at(top, a, least)
+        np.minimum.at(top, b, least)
+        top = top[top]
+        if (top == before).all():
+            lower = top < np.arange(len(names))
+            return names[top[lower]], names[lower]
+
+
+def crowded_links(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of components to join, from ``rows`` (``node component label width keys embedding``), one per vector.
+
+    All vectors of a label and width whose keys of one pass begin with the same
+    bits are compared, unless they are of one component. A component with more
+    than ``CROWD_BLOCK`` vectors there has blocks of its own, which never meet
+    each other. A label with no more than ``CROWD`` vectors is compared whole.
+    """
+    bits = F.greatest(F.lit(0), F.least(F.lit(MOST_PREFIX), F.ceil(F.log2(F.col("size") / CROWD)))).cast("int")
+    sizes = cut_lineage(rows.groupBy("label", "width").agg(F.count("*").alias("size")).select("label", "width", bits.alias("bits")))
+    place = ["label", "width", "pass", "start"]
+    dealt = rows.join(sizes, ["label", "width"]).select(
+        "label", "width", "node", "component", "embedding", "bits", F.posexplode("keys").alias("pass", "key")
+    ).where("bits > 0 OR pass = 0").withColumn("start", F.expr("IF(bits = 0, 0L, shiftright(key, 64 - bits))"))
+    counts = cut_lineage(dealt.groupBy(*place, "component").agg(F.count("*").alias("m")))
+    large = counts.where(F.col("m") > CROWD_BLOCK).select(*place, "component", F.lit(True).alias("own"))
+    own = F.col("m") > CROWD_BLOCK
+    parts = counts.groupBy(*place, own.alias("own"), F.when(own, F.col("component")).otherwise(0).alias("part")).agg(
+        F.ceil(F.sum("m") / CROWD_BLOCK).cast("int").alias("blocks"), F.count("*").alias("kinds"))
+    whole = Window.partitionBy(*place)
+    parts = cut_lineage(
+        parts.withColumn("first", (F.sum("blocks").over(whole.orderBy("own", "part")) - F.col("blocks")).cast("int"))
+        .withColumn("all", F.sum("blocks").over(whole).cast("int")).withColumn("kinds", F.sum("kinds").over(whole)).where("kinds > 1")
+    )
+    placed = dealt.join(large, [*place, "component"], "left").withColumn("own", F.coalesce("own", F.lit(False))).withColumn(
+        "part", F.when(F.col("own"), F.col("component")).otherwise(0)
+    ).join(parts, [*place, "own", "part"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.expr("filter(sequence(0, all - 1), x -> NOT own OR x < first OR x >= first + blocks)")
+    met = placed.withColumn("other", F.explode(others)).select(
+        *place, "component", "embedding", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+        sides = [rows[rows["block"] == k] for k in (i, j)]
+        a = b = np.zeros(0, np.int64)
+        if all(len(s) for s in sides):
+            left, right = (s["component"].to_numpy(np.int64) for s in sides)
+            u, v = (unit(np.array(s["embedding"].tolist(), float)) for s in sides)
+            a, b = joined((u @ v.T >= threshold) & (left[:, None] != right[None, :]), left, right)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return met.groupBy(*place, "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+
+
 def near_vectors(
     vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, neighbours: int = NEIGHBOURS
 ) -> DataFrame:
@@ -259,6 +328,15 @@ def near_vectors(
     pairs = window_pairs(keys, neighbours, partitions)
     links = cut_lineage(cosines(pairs, texts).where(F.col("cosine") >= threshold))
     found = components(links)
+    start = cut_lineage(
+        nodes.join(found, "node", "left").join(texts, "node")
+        .select("node", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("linked"), "label", "width", "keys", "embedding")
+    )
+    joins = components(cut_lineage(crowded_links(start, threshold)))
+    found = cut_lineage(
+        start.select("node", "component", "linked").join(joins.selectExpr("node AS component", "component AS next"), "component", "left")
+        .where("linked OR next IS NOT NULL").select("node", F.coalesce("next", "component").alias("component"))
+    )
     members = found.join(nodes.select("node", "n"), "node").join(texts, "node")
     direct = links_inside(members, threshold)
     answer = cut_lineage(

@@ -417,5 +417,22 @@ def test_vectors_by_brute_force(spark):
     assert got == want
 
 
+def test_dense_group_of_vectors(spark):
+    """Most pairs fall just short of the threshold, many vectors have few links: every row right, not most pairs found."""
+    rng = np.random.default_rng(5)
+    n, x = 2000, rng.normal(size=64)
+    x = x / np.linalg.norm(x) + rng.normal(size=(n, 64)) * 0.19 / 8
+    unit = vectors.unit(x)
+    close = unit @ unit.T >= 0.98
+    np.fill_diagonal(close, False)
+    top = np.arange(n)
+    while (lower := np.minimum(top, np.where(close, top, n).min(1))).tolist() != top.tolist():
+        top = lower
+    assert ((close.sum(1) > 0) & (close.sum(1) < 6)).sum() > 500
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(table.repartition(5)).collect()}
+    assert got == {i: (k, t, t == i) for i, (k, t) in enumerate(zip(close.sum(1).tolist(), top.tolist()))}
+
+
 def test_no_vectors(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
