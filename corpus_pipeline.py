@@ -2,7 +2,7 @@
 
 Toxic documents go, one document of each near-duplicate group stays, documents
 that hold benchmark windows go, personal data is replaced by its kind in
-brackets, and what is left is encoded. All stages but the last return the
+brackets, and what is left is encoded and decoded. All stages but the last return the
 columns they were given, whatever these are.
 """
 
@@ -48,8 +48,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and ``ids`` of every row."""
-    return bpe.encode(docs, decoded=False).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    """``doc_id``, ``n_tokens``, ``ids`` and the text ``decoded`` from the ids, of every row."""
+    return bpe.encode(docs).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

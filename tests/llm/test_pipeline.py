@@ -66,6 +66,13 @@ def test_ids_decode_to_the_masked_text(stages):
         assert row["n_tokens"] == len(row["ids"])
 
 
+def test_every_row_is_decoded(stages):
+    encoder = bpe.Encoder(bpe.load_vocabulary(bpe.default_vocabulary()), None)
+    texts = {r["doc_id"]: r["text"] for r in stages[4].collect()}
+    for row in stages[5].select("doc_id", "decoded").collect():
+        assert row["decoded"] == encoder.decode(encoder.encode(texts[row["doc_id"]])).decode()
+
+
 def test_run_equals_the_stages(spark, stages):
     got = corpus_pipeline.run(spark, FOLDER)
     key = F.sha2(F.concat_ws(",", "ids"), 256)
