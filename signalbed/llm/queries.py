@@ -7,8 +7,10 @@ from signalbed.llm.decontaminate import OP10_SQL, op10_decontaminate
 from signalbed.llm.lang_id import op1_language_id
 from signalbed.llm.licenses import op6_license_scan
 from signalbed.llm.minhash import OP7_SQL, op7_minhash
+from signalbed.llm.mixing import OP13_SQL, op13_mixing
 from signalbed.llm.pii import op9_pii
 from signalbed.llm.quality import op3_quality
+from signalbed.llm.search import OP12_SQL, op12_search
 from signalbed.llm.substrings import OP4_SQL, op4_substrings
 from signalbed.llm.toxicity import op5_toxicity
 from signalbed.llm.vectors import OP2_SQL, op2_embedding_dedup
@@ -24,10 +26,14 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
+    "op12_search": op12_search,
+    "op13_mixing": op13_mixing,
 }
 CHECKS: dict[str, str] = {
     "op2_embedding_dedup": OP2_SQL,
     "op4_substrings": OP4_SQL,
     "op7_minhash": OP7_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op12_search": OP12_SQL,
+    "op13_mixing": OP13_SQL,
 }

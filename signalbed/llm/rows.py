@@ -61,3 +61,20 @@ def per_document(
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 
     return docs.select(*columns).mapInArrow(run, schema)
+
+
+def per_partition(
+    docs: DataFrame, columns: list[str | Column], work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str,
+) -> DataFrame:
+    """Run ``work`` on the batches of each partition; it yields parts of the result, one list or array per column.
+
+    For work that gathers some rows before it answers; ``work`` itself has to
+    bound what it holds.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made in work(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
+
+    return docs.select(*columns).mapInArrow(run, schema)
