@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from signalbed.llm.bpe import op8_bpe
+from signalbed.llm.collocations import OP11_SQL, op11_collocations
 from signalbed.llm.decontaminate import OP10_SQL, op10_decontaminate
 from signalbed.llm.lang_id import op1_language_id
 from signalbed.llm.licenses import op6_license_scan
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
+    "op11_collocations": op11_collocations,
     "op12_search": op12_search,
     "op13_mixing": op13_mixing,
 }
@@ -34,6 +36,7 @@ CHECKS: dict[str, str] = {
     "op4_substrings": OP4_SQL,
     "op7_minhash": OP7_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op11_collocations": OP11_SQL,
     "op12_search": OP12_SQL,
     "op13_mixing": OP13_SQL,
 }
