@@ -34,8 +34,8 @@ LEAST, MOST_WORDS, BEST = 100, 5, 2_000
 COVERED_PERCENT = 100
 #: Bits of a filter (8 MB); one per group of lengths is broadcast, whatever the corpus.
 FILTER_BITS = 26
-#: Bytes of the documents taken at once (one longer document is taken alone), and fingerprints added up before they are sent.
-CHUNK_BYTES, FINGERPRINTS_AT_ONCE = 1 << 22, 4_000_000
+#: Bytes of the documents taken at once (one longer document is taken alone), fingerprints and phrases added up before they are sent.
+CHUNK_BYTES, FINGERPRINTS_AT_ONCE, PHRASES_AT_ONCE = 1 << 21, 2_000_000, 300_000
 #: Parts that a language's candidates are ranked in before the parts' best are ranked together.
 RANK_PARTS = 256
 NO_LANGUAGE = "und"
@@ -190,19 +190,31 @@ def phrases_of(chunk: Chunk, k: int, ids: np.ndarray, filters: dict[int, Filter]
 def count_phrases(most_words: int, filters, mask: np.uint64, chunk_bytes: int):
     """The work of a partition in the last pass: phrases with their numbers, and all words of a language as the phrase of none."""
 
+    def rows(lang: str, k: int, tally: dict[bytes, int]) -> dict:
+        return {"lang": [lang] * len(tally), "k": [k] * len(tally), "phrase": list(tally), "n": list(tally.values())}
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         known = filters()
+        tallies: dict[tuple[str, int], dict[bytes, int]] = {}
         for chunk in chunks_of(batches, chunk_bytes):
             words = chunk.text.translate(_TO_SPACE).split()
             numbers = {w: i for i, w in enumerate(dict.fromkeys(words))}
             ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-            langs = np.array(chunk.langs, object)
-            in_document = np.bincount(chunk.document, minlength=len(langs))
-            yield {"lang": langs, "k": np.zeros(len(langs), np.int32), "phrase": [b""] * len(langs), "n": in_document}
+            for lang, n in zip(chunk.langs, np.bincount(chunk.document, minlength=len(chunk.langs)).tolist()):
+                tally = tallies.setdefault((lang, 0), {})
+                tally[b""] = tally.get(b"", 0) + n
             for k in range(1, most_words + 1):
                 pointers, n = phrases_of(chunk, k, ids, known, mask)
-                yield {"lang": langs[chunk.document[pointers]], "k": np.full(len(n), k, np.int32),
-                       "phrase": [b" ".join(words[at:at + k]) for at in pointers.tolist()], "n": n}
+                of_lang = [tallies.setdefault((lang, k), {}) for lang in chunk.langs]
+                for document, at, times in zip(chunk.document[pointers].tolist(), pointers.tolist(), n.tolist()):
+                    phrase, tally = b" ".join(words[at:at + k]), of_lang[document]
+                    tally[phrase] = tally.get(phrase, 0) + times
+            if sum(map(len, tallies.values())) >= PHRASES_AT_ONCE:
+                for (lang, k), tally in tallies.items():
+                    yield rows(lang, k, tally)
+                tallies = {}
+        for (lang, k), tally in tallies.items():
+            yield rows(lang, k, tally)
 
     return work
 

@@ -20,14 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalbed.llm.rows import per_document
+from signalbed.session import cut_lineage
 
 #: Most labelled rows (about) that the fit looks at, chosen by a hash of the id.
 SAMPLE_ROWS = 8_000
-MIN_DOCS = 5
+#: A feature takes part where its likelihood ratio against the label has less than one chance in a thousand (chi squared,
+#: one degree of freedom). How many features those are, and how often they occur, is not bounded.
+TELLING = 10.83
 PENALTY = 0.5
 STEPS = 300
-#: Features that take part in the steps: those with the steepest slope where all weights are zero.
-MAX_FEATURES = 6_000
 STEMS = (4, 5, 6, 8)
 #: A text counts as toxic from this probability of a grade above 0.
 TOXIC_FROM = 0.4
@@ -69,27 +70,15 @@ def table_of(texts) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 def fit_ordinal(
     names: list[str], row_of: np.ndarray, column_of: np.ndarray, grades: np.ndarray, levels: int,
-    penalty: float = PENALTY, min_docs: int = MIN_DOCS, steps: int = STEPS, max_features: int = MAX_FEATURES,
+    penalty: float = PENALTY, steps: int = STEPS,
 ) -> Severity:
     """Weights and thresholds of ``levels`` grades by proximal gradient steps with momentum.
 
-    Features of fewer than ``min_docs`` rows are left out, and so are all but
-    the ``max_features`` with the steepest slope at zero. The thresholds are
-    kept in order by learning the logarithms of their gaps. Without rows, every
-    grade above 0 is held to be very unlikely.
+    The thresholds are kept in order by learning the logarithms of their gaps.
+    Without rows, every grade above 0 is held to be very unlikely.
     """
     if not len(grades):
         return Severity({}, tuple(8.0 + k for k in range(levels - 1)))
-    docs_with = np.bincount(column_of, minlength=len(names))
-    pull = (grades > 0) - (grades > 0).mean()
-    slopes = np.abs(np.bincount(column_of, weights=pull[row_of], minlength=len(names)))
-    slopes[docs_with < min_docs] = 0
-    chosen = np.sort(np.argsort(-slopes, kind="stable")[:max_features])
-    chosen = chosen[slopes[chosen] > 0]
-    renamed = np.full(len(names), -1)
-    renamed[chosen] = np.arange(len(chosen))
-    stays = renamed[column_of] >= 0
-    row_of, column_of, names = row_of[stays], renamed[column_of[stays]], [names[i] for i in chosen]
     n, above = len(grades), [(grades > k).astype(float) for k in range(levels - 1)]
     rates = [(a.sum() + 0.5) / (n + 1) for a in above]
     first = -math.log(rates[0] / (1 - rates[0]))
@@ -138,18 +127,33 @@ def graded(names: list[str], row_of: np.ndarray, column_of: np.ndarray, toxic: n
     n_on, n_off = max(int(toxic.sum()), 1), max(int((1 - toxic).sum()), 1)
     on = np.bincount(column_of, weights=toxic[row_of], minlength=len(names))
     off = np.bincount(column_of, minlength=len(names)) - on
-    strong = (on >= MIN_DOCS) & (on / n_on > 8 * (off + 1) / (n_off + 1))
+    strong = on / n_on > 8 * (off + 1) / (n_off + 1)
     hits = np.bincount(row_of, weights=strong[column_of], minlength=len(toxic))
     middle = float(np.median(hits[toxic == 1])) if toxic.any() else 0.0
     return np.where(toxic == 0, 0, np.where(hits > middle, 2, 1)).astype(int)
 
 
+def _telling(counts: DataFrame, n_on: int, n_off: int) -> Column:
+    """Whether ``seen_on`` of ``n_on`` toxic and ``seen_off`` of ``n_off`` other texts differ by more than chance."""
+    seen = F.col("seen_on") + F.col("seen_off")
+
+    def part(found: Column, rows: int, of: Column) -> Column:
+        expected = of * F.lit(float(rows)) / F.lit(float(max(n_on + n_off, 1)))
+        return F.when(found > 0, found * F.log(found / expected)).otherwise(0.0)
+
+    unseen = F.lit(n_on + n_off) - seen
+    ratio = (part(F.col("seen_on"), n_on, seen) + part(F.col("seen_off"), n_off, seen)
+             + part(F.lit(n_on) - F.col("seen_on"), n_on, unseen) + part(F.lit(n_off) - F.col("seen_off"), n_off, unseen))
+    return 2 * ratio > TELLING
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **settings) -> Severity:
     """From ``docs`` (``doc_id text``) and ``labels`` (``doc_id toxic``); rows without a label are left out.
 
     About ``sample_rows`` labelled rows, by a hash of the id, are joined to
-    their texts (their ids are what a broadcast holds); the driver gets the
-    distinct words of those texts.
+    their texts (their ids are what a broadcast holds); rows that repeat id,
+    label and words count once. Their features are counted by a grouping, and
+    the driver gets (row, feature) as numbers for the telling features alone.
     """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int"))
     n = max(known.count(), 1)
@@ -160,14 +164,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **se
     def start():
         def work(batch: pa.RecordBatch) -> dict:
             return {"doc_id": batch["doc_id"], "toxic": batch["toxic"],
-                    "words": [" ".join(sorted(words_of(t))) for t in batch["text"].to_pylist()]}
+                    "features": [sorted(features_of(words_of(t))) for t in batch["text"].to_pylist()]}
 
         return work
 
-    rows = per_document(texts, ["doc_id", "text", "toxic"], start, "doc_id bigint, toxic int, words string").distinct().toPandas()
-    rows = rows.sort_values(["doc_id", "toxic", "words"])
-    toxic = rows["toxic"].to_numpy(dtype=int)
-    table = table_of(set(w.split()) for w in rows["words"])
+    found = per_document(texts, ["doc_id", "text", "toxic"], start, "doc_id bigint, toxic int, features array<string>")
+    rows = cut_lineage(found.withColumn("words", F.xxhash64("features")).dropDuplicates(["doc_id", "toxic", "words"]))
+    graded_rows = rows.select("doc_id", "toxic", "words").orderBy("doc_id", "toxic", "words").toPandas()
+    toxic = graded_rows["toxic"].to_numpy(dtype=int)
+    entries = rows.select("doc_id", "toxic", "words", F.explode("features").alias("feature"))
+    on = F.sum("toxic")
+    counts = entries.groupBy("feature").agg(on.alias("seen_on"), (F.count("*") - on).alias("seen_off"))
+    chosen = cut_lineage(counts.where(_telling(counts, int(toxic.sum()), int((1 - toxic).sum()))).select("feature"))
+    names = [r["feature"] for r in chosen.orderBy("feature").collect()]
+    number = pd.Series(np.arange(len(names), dtype=np.int32), index=pd.Index(names, dtype=object))
+    row_number = {key: i for i, key in enumerate(zip(graded_rows["doc_id"], graded_rows["toxic"], graded_rows["words"]))}
+    held = entries.join(chosen, "feature").groupBy("doc_id", "toxic", "words").agg(F.sort_array(F.collect_list("feature")).alias("features"))
+    row_of, column_of = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for row in held.collect():
+        column_of.append(number[row["features"]].to_numpy())
+        row_of.append(np.full(len(row["features"]), row_number[row["doc_id"], row["toxic"], row["words"]], np.int32))
+    table = names, np.concatenate(row_of), np.concatenate(column_of)
     return fit_ordinal(*table, graded(*table, toxic), 3, **settings)
 
 
