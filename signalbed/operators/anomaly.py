@@ -104,6 +104,43 @@ def learn_baselines(hours: DataFrame, start, end, threshold: float = DEFAULT_THR
 _LEARNED = ("baseline_value", "standard_deviation", "sample_count", "window_start_time", "window_end_time")
 
 
+def learn_changed_baselines(
+    changes: DataFrame, entries: DataFrame, series: DataFrame, catalog: DataFrame, end, threshold: float = DEFAULT_THRESHOLD
+) -> DataFrame:
+    """Baselines of the changes that name a window, each from its own ``window_hours`` up to ``end``.
+
+    All windows end together and last whole hours, so they share their hours:
+    these are counted once, back from the end, over the longest window (which
+    bounds the scans), for the services that are asked for. A change then meets
+    the hours of its own window.
+    """
+    key = [*SERVICE, "metric_name"]
+    asked = changes.where("window_hours > 0").groupBy(*key).agg(F.max("window_hours").cast("int").alias("window_hours"))
+    longest = asked.agg(F.max("window_hours")).first()[0] or 0
+    start = _utc(end) - dt.timedelta(hours=longest)
+    back = (F.lit(longest - 1) - F.col("hour")).alias("back")
+    services = asked.select(*SERVICE).distinct()
+    logs = hourly(entries.select(*SERVICE, "timestamp", "level").join(services, list(SERVICE), "left_semi"), start, end)
+    logs = logs.groupBy(*SERVICE, "hour").agg(
+        F.count(F.lit(1)).cast("double").alias("volume"),
+        (F.count_if(F.col("level").isin("ERROR", "FATAL")) * 100.0 / F.count(F.lit(1))).alias("rate"))
+    pairs = F.array(F.struct(F.lit(LOG_VOLUME).alias("metric_name"), F.col("volume").alias("value")),
+                    F.struct(F.lit(ERROR_RATE).alias("metric_name"), F.col("rate").alias("value")))
+    logs = logs.select(*SERVICE, back, F.explode(pairs).alias("p")).select(*SERVICE, "p.metric_name", "back", "p.value")
+    wanted = catalog.join(asked.select(*SERVICE, F.col("metric_name").alias("name")), [*SERVICE, "name"], "left_semi")
+    points = hourly(_named_points(series, wanted), start, end).groupBy(*key, "hour").agg(F.avg("value").alias("value"))
+    found = logs.unionByName(points.select(*key, back, "value"))
+    known = wanted.select(*SERVICE, F.col("name").alias("metric_name")).unionByName(
+        asked.where(F.col("metric_name").isin(LOG_VOLUME, ERROR_RATE)).select(*key)).distinct()
+    grid = asked.join(known, key, "left_semi").withColumn("back", F.explode(F.sequence(F.lit(0), F.col("window_hours") - 1)))
+    hours = grid.join(found, [*key, "back"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    learned = baseline_statistics(hours).join(asked, key)
+    return learned.withColumns({
+        "window_start_time": instant(_utc(end)) - F.make_dt_interval(hours=F.col("window_hours")), "window_end_time": instant(_utc(end)),
+        "deviation_threshold": F.lit(float(threshold)), "is_active": F.lit(True),
+    }).drop("window_hours")
+
+
 def recalculate_baselines(existing: DataFrame, learned: DataFrame) -> DataFrame:
     """Known baselines with fresh numbers; the old ones stay where nothing was learned."""
     key = [*SERVICE, "metric_name"]
@@ -127,7 +164,10 @@ def upsert_baselines(existing: DataFrame, learned: DataFrame) -> DataFrame:
 
 
 def update_baselines(existing: DataFrame, changes: DataFrame, learned: DataFrame | None = None) -> DataFrame:
-    """Apply threshold and active changes; take fresh numbers where a change asks for a window."""
+    """Apply threshold and active changes; take fresh numbers where a change asks for a window.
+
+    :func:`learn_changed_baselines` learns each from the window its change names.
+    """
     key = [*SERVICE, "metric_name"]
     asked = changes.select(*key, F.col("deviation_threshold").alias("_threshold"), F.col("is_active").alias("_active"),
                            F.col("window_hours").alias("_window"))

@@ -1,8 +1,9 @@
 """Traps: pattern, frequency and absence rules over log entries.
 
 Rules are data: a table with one row per trap (:data:`TRAP_TABLE`), or a list
-of dicts with the same names. Entries meet the rules of their own team by a
-join, so a plan is the same for ten rules and for ten thousand.
+of dicts with the same names. Pattern rules are filed in an index by a piece of
+text that their matches must hold, so the tests that an entry costs grow with
+its matches, not with the rules; counting rules are joined by what they count.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalbed.functions.levels import LEVELS, level_compare, parse_level
-from signalbed.functions.ordered import running_total
+from signalbed.functions.ordered import previous, running_total
 from signalbed.functions.times import SECOND, instant, micros
 from signalbed.operators.parse import reject_reasons
+from signalbed.session import cut_lineage
 
 # The fields a condition may look at, and their other spelling.
 TRAP_FIELDS = (
@@ -94,15 +96,17 @@ def _active(spark: SparkSession, traps: DataFrame | Iterable[Mapping], kind: str
     return trap_table(spark, traps).where(F.col("is_active") & (F.col("trap_type") == kind)).drop("is_active", "trap_type")
 
 
+def compiles(pattern: Column) -> Column:
+    """Whether a pattern compiles in the engine that runs it, decided in the task that holds it; null compiles."""
+    tried = F.try_reflect(F.lit("org.apache.commons.lang3.RegExUtils"), F.lit("removeAll"), F.lit(""), pattern)
+    return pattern.isNull() | tried.isNotNull()
+
+
 def _prepared(rules: DataFrame) -> DataFrame:
     """Conditions in the form that :func:`_holds` reads: known field names, lower-case keywords, levels as a list.
 
-    A regex that does not compile becomes null and never matches. The distinct
-    patterns are checked on the driver: they are configuration, one per rule.
+    A regex that does not compile becomes null and never matches.
     """
-    spark = rules.sparkSession
-    patterns = rules.select(F.explode("conditions").alias("c")).where("c.condition_type = 'REGEX' AND c.pattern IS NOT NULL")
-    bad = [r[0] for r in patterns.select("c.pattern").distinct().toLocalIterator() if not usable_pattern(spark, r[0])]
 
     def prepared(c: Column) -> Column:
         snake = F.lower(F.regexp_replace(c["field"], "([A-Z])", "_$1"))
@@ -114,7 +118,7 @@ def _prepared(rules: DataFrame) -> DataFrame:
             kind.isin("REGEX", "KEYWORD").alias("tests"),
             F.when(snake.isin(*TRAP_FIELDS), snake).alias("field"),
             F.when(kind == "KEYWORD", F.lower(pattern)).alias("keyword"),
-            F.when((kind == "REGEX") & ~F.array_contains(F.array(*[F.lit(b) for b in bad]).cast("array<string>"), pattern), pattern).alias("regex"),
+            F.when((kind == "REGEX") & compiles(pattern), pattern).alias("regex"),
             F.when(F.trim(c["service_name"]) != "", c["service_name"]).alias("service"),
             F.when(F.length(c["log_level"]) > 0, at_least).alias("levels"),
         )
@@ -122,6 +126,55 @@ def _prepared(rules: DataFrame) -> DataFrame:
     return rules.select("trap_id", "team_id", F.transform("conditions", prepared).alias("conditions"))
 
 
+#: Characters of a gram, the key of the rule index.
+GRAM = 3
+#: Most rules whose index is broadcast.
+BROADCAST_RULES = 50_000
+
+
+def _grams(text: Column) -> Column:
+    """All grams of a text, overlapping, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def required_literal(regex: Column) -> Column:
+    """The longest run of plain ASCII that every match of the pattern holds, in lower case; null where none is certain.
+
+    Only patterns without groups, alternatives and escapes that stand for a
+    number or a name are looked into; ``(?i)`` may come first.
+    """
+    body = F.regexp_replace(regex, r"^\(\?i\)", "")
+    plain = ~F.rlike(body, F.lit(r"[|()]|\\[A-Za-z0-9&&[^dDwWsSbBtnr]]"))
+    broken = F.regexp_replace(body, r"\\.", "\u0000")
+    broken = F.regexp_replace(broken, r"\[\^?[^\[\]]*\]", "\u0000")
+    plain &= ~F.rlike(broken, F.lit(r"[\[\]]"))
+    broken = F.regexp_replace(broken, r"(?s).\{[^}]*\}|.[?*]", "\u0000")
+    runs = F.split(broken, r"[^\x20-\x7e]+|[.^$+{}?*\\]+")
+    longest = F.array_max(F.transform(runs, lambda run: F.struct(F.length(run).alias("size"), F.lower(run).alias("run"))))
+    return F.when(plain & (longest["size"] >= GRAM), longest["run"])
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """(team_id, _field, _gram, _needle, trap_id, conditions): one row per prepared rule.
+
+    A text that fulfils a condition must hold the condition's needle, its
+    keyword or the literal of its pattern, and so each gram of it. A rule is
+    filed under the gram that the fewest rules of its team have, of the longest
+    needle where several are as rare. Rules without a needle are filed under
+    the empty gram. A trap that is listed twice is one.
+    """
+    needles = rules.select("team_id", "trap_id", "conditions", F.explode_outer("conditions").alias("c")).select(
+        "team_id", "trap_id", "conditions", F.coalesce("c.field", F.lit("")).alias("_field"),
+        F.when(F.col("c.field").isNotNull(), F.coalesce("c.keyword", required_literal(F.col("c.regex")))).alias("_needle"))
+    filed = needles.withColumn("_gram", F.explode_outer(_grams(F.col("_needle"))))
+    filed = filed.withColumn("_rules", F.count("*").over(Window.partitionBy("team_id", "_field", "_gram")))
+    rarity = F.when(F.col("_gram").isNotNull(), F.struct("_rules", -F.length("_needle"), "_field", "_gram", "_needle"))
+    seeds = filed.groupBy("team_id", "trap_id", F.xxhash64("conditions").alias("_rule")).agg(
+        F.first("conditions").alias("conditions"), F.min_by(F.struct("_field", "_gram", "_needle"), rarity).alias("_seed"))
+    return seeds.select(
+        "team_id", *[F.coalesce(f"_seed.{name}", F.lit("")).alias(name) for name in ("_field", "_gram", "_needle")], "trap_id", "conditions")
+
+
 def _holds(c: Column) -> Column:
     """Whether a prepared condition holds for the entry around it."""
     text = F.coalesce(*[F.when(c["field"] == name, F.col(name)) for name in TRAP_FIELDS])
@@ -142,14 +195,21 @@ def _with_fields(entries: DataFrame) -> DataFrame:
 def pattern_hits(entries: DataFrame, traps: DataFrame | Sequence[Mapping]) -> DataFrame:
     """One row per entry and active pattern trap of its team that fires; no traps give no rows.
 
-    The traps of a team are one row of the rules' side of the join, and every
-    rule is tested in place, so entries are neither multiplied nor grouped.
+    Entries meet the rules over :func:`rule_index`: each entry asks once for
+    every gram of the fields that rules look at, and only rules filed under one
+    of them are tested, first by their needle, then by all their conditions.
     """
-    rules = _prepared(_active(entries.sparkSession, traps, "PATTERN"))
-    per_team = rules.groupBy("team_id").agg(F.collect_list(F.struct("trap_id", "conditions")).alias("_traps"))
-    fired = F.transform(F.filter("_traps", lambda t: F.forall(t["conditions"], _holds)), lambda t: t["trap_id"])
-    rows = _with_fields(entries).join(per_team, "team_id").withColumn("_hits", fired)
-    return rows.select(*entries.columns, F.explode("_hits").alias("trap_id"))
+    index = cut_lineage(rule_index(_prepared(_active(entries.sparkSession, traps, "PATTERN"))))
+    held = index.agg(F.array_sort(F.collect_set("_field")).alias("fields"), F.count("*").alias("rules")).first()
+    # As far as it is known to be small the index is broadcast; beyond that both sides are shuffled, never the entries sent out.
+    index = F.broadcast(index) if held["rules"] <= BROADCAST_RULES else index.hint("shuffle_merge")
+    rows = _with_fields(entries)
+    texts = [F.struct(F.lit(name).alias("_field"), (F.lower(name) if name else F.lit("")).alias("_text")) for name in held["fields"]]
+    rows = rows.withColumn("_of", F.explode(F.array(*texts) if texts else F.expr("CAST(array() AS array<struct<_field: string, _text: string>>)")))
+    rows = rows.select("*", "_of.*").withColumn(
+        "_gram", F.explode(F.when(F.col("_field") == "", F.array(F.lit(""))).otherwise(_grams(F.col("_text")))))
+    near = rows.join(index, ["team_id", "_field", "_gram"]).where(F.contains("_text", "_needle"))
+    return near.where(F.forall("conditions", _holds)).select(*entries.columns, "trap_id")
 
 
 def counted_rows(condition: Condition) -> Column:
@@ -247,6 +307,41 @@ def absences(entries: DataFrame, traps: DataFrame | Sequence[Mapping], as_of) ->
     return rules.select(*key).join(found, key, "left").select(*key, seen.alias("seen"), (seen == 0).alias("absent"))
 
 
+def absence_gaps(entries: DataFrame, traps: DataFrame | Sequence[Mapping], start, end) -> DataFrame:
+    """(team_id, trap_id, condition, absent_from, absent_until, still_absent): when absence conditions held in [start, end].
+
+    A condition holds at every time whose window up to that time has no counted
+    entry: from one microsecond after the window of the last entry has passed
+    until the next entry. A gap that has begun before ``start`` begins there;
+    one that goes on at ``end`` is still absent and has no end. Conditions that
+    count the same entries share one series of moments, scanned once whatever
+    their windows; the scan starts the longest window before ``start``.
+    """
+    rules = _counting(_active(entries.sparkSession, traps, "ABSENCE"), "ABSENCE").where("window_seconds IS NOT NULL")
+    rules = rules.withColumn("width", F.col("window_seconds") * F.lit(SECOND))
+    longest = rules.agg(F.max("window_seconds")).first()[0] or 0  # a literal, so that the scan is cut to it
+    first, last = instant(start), instant(end)
+    near = entries.where((F.col("timestamp") <= last) & (F.col("timestamp") >= first - F.make_dt_interval(secs=F.lit(longest))))
+    moments = near.select("team_id", "service_name", "level", micros(F.col("timestamp")).alias("at")).distinct()
+    whole, own = F.col("service").isNull(), F.col("service").isNotNull()
+    what = ["team_id", "service", "own_level"]
+    watched = rules.select(*what).distinct()
+    by_team = moments.join(watched.where(whole), "team_id").select(*what, "at")
+    by_service = moments.withColumnsRenamed({"service_name": "service", "level": "own_level"}).join(watched.where(own), what).select(*what, "at")
+    # A moment before all that was read, and one after the end, bound every series, one without entries too.
+    edges = watched.withColumn("at", F.explode(F.array(micros(first) - F.lit(longest * SECOND + 1), micros(last) + 1)))
+    key = F.to_json(F.struct(*what), {"ignoreNullFields": "false"}).alias("key")
+    points = by_team.unionByName(by_service).unionByName(edges).select(key, "at").distinct()
+    steps = previous(points, ["key"], "at", []).where("before IS NOT NULL").select("key", F.col("before.at").alias("seen"), F.col("at").alias("next"))
+    gaps = steps.join(rules.select(key, "team_id", "trap_id", "condition", "width"), "key")
+    begins = F.greatest(F.col("seen") + F.col("width") + 1, micros(first))
+    gaps = gaps.withColumn("begins", begins).where(F.col("begins") < F.col("next"))
+    open_ = F.col("next") > micros(last)
+    return gaps.select(
+        "team_id", "trap_id", "condition", F.timestamp_micros("begins").alias("absent_from"),
+        F.when(~open_, F.timestamp_micros("next")).alias("absent_until"), open_.alias("still_absent"))
+
+
 def trap_statistics(hits: DataFrame) -> DataFrame:
     return hits.groupBy("trap_id").agg(
         F.count(F.lit(1)).alias("trigger_count"), F.max("timestamp").alias("last_triggered_at")

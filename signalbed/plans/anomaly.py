@@ -136,24 +136,66 @@ def upserted_baselines(spark, folder):
         "team_id", "service_name", "metric_name", "baseline_value", "sample_count", "deviation_threshold", "is_active")
 
 
-@query("e19_updated_baselines", _known_sql("""
-    SELECT k.team_id, k.service_name, k.metric_name,
-      CASE WHEN k.team_id = 2 AND k.metric_name = 'error_rate' THEN round(b.baseline_value, 6) ELSE k.baseline_value END AS baseline_value,
+# Learned afresh by their own windows: three days of error rates, ten of the clicks' means, twenty hours (too few) of volume.
+OWN_WINDOWS = """
+    SELECT service_name, metric_name, team_id, CASE metric_name WHEN 'error_rate' THEN 72 WHEN 'click' THEN 240 END AS hours
+    FROM (SELECT DISTINCT team_id, service_name FROM log_entries), (VALUES ('error_rate'), ('click')) m(metric_name) WHERE team_id = 2"""
+OWN_HOURS = f"""
+    SELECT w.team_id, w.service_name, w.metric_name, TIMESTAMP '{END}' - to_hours(CAST(h.range + 1 AS INT)) AS lo,
+      TIMESTAMP '{END}' - to_hours(CAST(h.range AS INT)) AS hi
+    FROM own_windows w, range(240) h WHERE h.range < w.hours"""
+OWN_VALUES = """
+    SELECT o.team_id, o.service_name, o.metric_name, o.lo,
+      CASE WHEN count(l.id) = 0 THEN 0.0 ELSE count(l.id) FILTER (l.level IN ('ERROR', 'FATAL')) * 100.0::DOUBLE / count(l.id) END AS value
+    FROM own_hours o LEFT JOIN log_entries l ON l.team_id = o.team_id AND l.service_name = o.service_name AND l.timestamp BETWEEN o.lo AND o.hi
+    WHERE o.metric_name = 'error_rate' GROUP BY ALL
+    UNION ALL SELECT o.team_id, o.service_name, o.metric_name, o.lo, coalesce(avg(p.value), 0.0)
+    FROM own_hours o JOIN metrics m ON m.team_id = o.team_id AND m.service_name = o.service_name AND m.name = o.metric_name
+    LEFT JOIN points p ON p.metric_id = m.metric_id AND p.timestamp BETWEEN o.lo AND o.hi
+    WHERE o.metric_name = 'click' GROUP BY ALL"""
+OWN = """
+    SELECT team_id, service_name, metric_name, round(avg(value), 6) AS baseline_value, count(*) AS sample_count, min(lo) AS window_start_time
+    FROM own_values GROUP BY ALL"""
+
+
+def _own_sql(body: str) -> str:
+    return using("log_entries points metrics", body, **ALL, known_hours=KNOWN_HOURS, known=KNOWN, gone=GONE,
+                 own_windows=OWN_WINDOWS, own_hours=OWN_HOURS, own_values=OWN_VALUES, own=OWN)
+
+
+def _changes(spark, folder):
+    """A new threshold for some; others switched off and learned afresh, each from a window of its own length."""
+    services = t.log_entries(spark, folder).select("team_id", "service_name").distinct()
+    kinds = spark.createDataFrame([(1, "log_volume", 1.5, None, None), (2, "error_rate", None, False, 72), (2, "click", None, None, 240),
+                                   (2, "log_volume", None, None, 20)],
+                                  "team_id bigint, metric_name string, deviation_threshold double, is_active boolean, window_hours int")
+    return services.join(kinds, "team_id")
+
+
+def _learned_by_window(spark, folder):
+    return a.learn_changed_baselines(
+        _changes(spark, folder), t.log_entries(spark, folder), t.metric_series(spark, folder), t.metrics(spark, folder), END)
+
+
+@query("e19_baselines_by_window", _own_sql("SELECT * FROM own"))
+def baselines_by_window(spark, folder):
+    """What the changes learn: two window lengths, and none where the window holds too few hours."""
+    rows = _rounded(_learned_by_window(spark, folder), "baseline_value")
+    return rows.select("team_id", "service_name", "metric_name", "baseline_value", "sample_count", "window_start_time")
+
+
+@query("e19_updated_baselines", _own_sql("""
+    SELECT k.team_id, k.service_name, k.metric_name, coalesce(o.baseline_value, k.baseline_value) AS baseline_value,
+      coalesce(o.sample_count, k.sample_count) AS sample_count,
       CAST(CASE WHEN k.team_id = 1 AND k.metric_name = 'log_volume' THEN 1.5 ELSE 3.0 END AS DOUBLE) AS deviation_threshold,
       NOT (k.team_id = 2 AND k.metric_name = 'error_rate') AS is_active
-    FROM known k JOIN baselines b ON k.team_id = b.team_id AND k.service_name = b.service_name AND k.metric_name = b.metric_name
-    UNION ALL SELECT team_id, service_name, metric_name, baseline_value, CAST(3.0 AS DOUBLE), true FROM gone"""))
+    FROM known k LEFT JOIN own o ON k.team_id = o.team_id AND k.service_name = o.service_name AND k.metric_name = o.metric_name
+    UNION ALL SELECT team_id, service_name, metric_name, baseline_value, sample_count, CAST(3.0 AS DOUBLE), true FROM gone"""))
 def updated_baselines(spark, folder):
-    """A new threshold for some, others switched off and learned afresh because their change names a window."""
-    services = t.log_entries(spark, folder).select("team_id", "service_name").distinct()
-    changes = services.where("team_id > 0").selectExpr(
-        "team_id", "service_name", "IF(team_id = 1, 'log_volume', 'error_rate') AS metric_name",
-        "CAST(IF(team_id = 1, 1.5, NULL) AS DOUBLE) AS deviation_threshold", "IF(team_id = 2, false, NULL) AS is_active",
-        "IF(team_id = 2, 168, NULL) AS window_hours")
-    learned = a.learn_baselines(_series(spark, folder), START, END)
-    rows = a.update_baselines(_known(spark, folder), changes, learned)
+    """Known baselines after the changes."""
+    rows = a.update_baselines(_known(spark, folder), _changes(spark, folder), _learned_by_window(spark, folder))
     return _rounded(rows, "baseline_value").select(
-        "team_id", "service_name", "metric_name", "baseline_value", "deviation_threshold", "is_active")
+        "team_id", "service_name", "metric_name", "baseline_value", "sample_count", "deviation_threshold", "is_active")
 
 
 @query("e20_current_values", _sql("SELECT team_id, service_name, metric_name, round(current_value, 6) AS current_value FROM current_values"))

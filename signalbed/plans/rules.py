@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from signalbed.operators import alerts, traps
 from signalbed.plans.registry import query, using
 from signalbed.sources import tables as t
-from signalbed.streaming import jobs
+from signalbed.streaming import jobs, replay
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -164,6 +164,43 @@ def absences(spark, folder):
     return traps.absences(t.log_entries(spark, folder), t.trap_rules(), "2024-01-30 23:45:00")
 
 
+GAP_START, GAP_END = "2024-01-05 00:00:00", "2024-01-30 12:00:00"
+
+
+def _absence_rules(spark, folder):
+    """The quiet rules, and one per customer's nation: a service and level each, or all of the team, in windows of their own."""
+    nations = t.table(spark, folder, "nation").selectExpr(
+        "concat('gap-', n_nationkey) AS trap_id", "CAST(n_nationkey % 3 AS BIGINT) AS team_id", "'ABSENCE' AS trap_type", "true AS is_active",
+        """array(named_struct('condition_type', 'ABSENCE', 'field', 'level', 'pattern', CAST(NULL AS STRING),
+            'log_level', IF(n_nationkey % 5 = 4, NULL, array('ERROR', 'info', 'FATAL', 'DEBUG')[CAST(n_nationkey % 5 AS INT)]),
+            'service_name', concat('svc-', n_nationkey % 7), 'threshold', CAST(NULL AS BIGINT), 'window_seconds', CAST(3600 * n_nationkey + 60 AS BIGINT))) AS conditions""")
+    return traps.trap_table(spark, t.trap_rules()).unionByName(nations.select("trap_id", "team_id", "trap_type", "is_active", "conditions"))
+
+
+GAP_RULES = """
+    SELECT n_nationkey % 3 AS team_id, concat('gap-', n_nationkey) AS trap_id, CASE WHEN n_nationkey % 5 < 4 THEN concat('svc-', n_nationkey % 7) END AS service,
+      CASE n_nationkey % 5 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'INFO' WHEN 2 THEN 'FATAL' WHEN 3 THEN 'DEBUG' END AS own_level, 3600 * n_nationkey + 60 AS width
+    FROM nation
+    UNION ALL SELECT t.team_id, concat('quiet-', t.team_id), NULL, NULL, 1800 FROM (VALUES (0), (1), (2)) t(team_id)"""
+GAP_POINTS = f"""
+    SELECT r.trap_id, l.timestamp AS moment FROM gap_rules r JOIN log_entries l ON l.team_id = r.team_id
+      AND (r.service IS NULL OR (l.service_name = r.service AND l.level = r.own_level)) AND l.timestamp <= TIMESTAMP '{GAP_END}'
+    UNION SELECT trap_id, TIMESTAMP '2000-01-01' FROM gap_rules UNION SELECT trap_id, TIMESTAMP '{GAP_END}' + INTERVAL 1 MICROSECOND FROM gap_rules"""
+GAPS = f"""
+    SELECT team_id, trap_id, absent_from, CASE WHEN moment <= TIMESTAMP '{GAP_END}' THEN moment END AS absent_until, moment > TIMESTAMP '{GAP_END}' AS still_absent
+    FROM (SELECT r.team_id, r.trap_id, p.moment, greatest(lag(p.moment) OVER (PARTITION BY p.trap_id ORDER BY p.moment) + to_seconds(r.width) + INTERVAL 1 MICROSECOND,
+        TIMESTAMP '{GAP_START}') AS absent_from, lag(p.moment) OVER (PARTITION BY p.trap_id ORDER BY p.moment) AS seen
+      FROM gap_points p JOIN gap_rules r ON p.trap_id = r.trap_id)
+    WHERE seen IS NOT NULL AND absent_from < moment"""
+
+
+@query("f02_gaps", using("log_entries", GAPS, gap_rules=GAP_RULES, gap_points=GAP_POINTS))
+def gaps(spark, folder):
+    """All spans of the month in which an absence rule held, rules with and without entries alike."""
+    rows = traps.absence_gaps(t.log_entries(spark, folder), _absence_rules(spark, folder), GAP_START, GAP_END)
+    return rows.select("team_id", "trap_id", "absent_from", "absent_until", "still_absent")
+
+
 def _hits(spark, folder):
     return traps.pattern_hits(t.log_entries(spark, folder), t.trap_rules())
 
@@ -227,6 +264,40 @@ def frequency_windows(spark, folder):
     return rows.select("team_id", "start", "end", "n")
 
 
+# What a stream has closed: all up to the watermark, which lies ten minutes and a millisecond before the newest row.
+CLOSED = "epoch_us({}) // 1000 + 1 < (SELECT max(epoch_us(timestamp)) // 1000 - 600000 FROM {})"
+
+
+@query("i03_frequency_stream", using("log_entries", f"""
+    SELECT id, concat('burst-', team_id) AS trap_id, timestamp FROM (
+      SELECT *, count(*) OVER (PARTITION BY team_id ORDER BY epoch_us(timestamp) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n
+      FROM log_entries) WHERE n >= 6 AND {CLOSED.format('timestamp', 'log_entries')}"""))
+def frequency_stream(spark, folder):
+    """The stream over all events: each entry at which the frequency trap fires."""
+    return replay.run_to_end(replay.frequency_stream(t.log_entries(spark, folder, stream=True), t.trap_rules()))
+
+
+@query("i04_absence_stream", using("log_entries", f"""
+    SELECT team_id, trap_id, absent_from, NULL::TIMESTAMP AS absent_until FROM gaps WHERE {CLOSED.format('absent_from', 'log_entries')}
+    UNION ALL SELECT team_id, trap_id, absent_from, absent_until FROM gaps WHERE {CLOSED.format('absent_until', 'log_entries')}""",
+    gap_rules=GAP_RULES, gap_points=GAP_POINTS.replace(GAP_END, "2024-02-29 00:00:00"),
+    gaps=GAPS.replace(GAP_END, "2024-02-29 00:00:00").replace(GAP_START, "2024-01-01 00:00:00")))
+def absence_stream(spark, folder):
+    """The stream over all events: each gap as it is noticed, and as it ends."""
+    rows = replay.absence_rule_stream(t.log_entries(spark, folder, stream=True), _absence_rules(spark, folder), "2024-01-01 00:00:00")
+    return replay.run_to_end(rows).select("team_id", "trap_id", "absent_from", "absent_until")
+
+
+@query("i05_throttle_stream", using("log_entries pattern_hits rules fires", f"""
+    SELECT rule_id, entry_id, fired_at FROM walk WHERE {CLOSED.format('fired_at', '(SELECT fired_at AS timestamp FROM fires WHERE throttle > 0)')}
+    UNION ALL SELECT rule_id, entry_id, fired_at FROM fires WHERE throttle = 0""", once=ONCE, nexts=NEXT, walk=STEPS))
+def throttle_stream(spark, folder):
+    """The stream over all events: pattern traps, fan-out to the rules, throttling."""
+    hits = jobs.pattern_stream(t.log_entries(spark, folder, stream=True), t.trap_rules())
+    rows = replay.throttle_stream(alerts.fan_out(hits, t.alert_rules(spark)))
+    return replay.run_to_end(rows).select("rule_id", "entry_id", "fired_at")
+
+
 @query("i08_trap_statistics", using("log_entries pattern_hits", """
     SELECT trap_id, count(*) AS trigger_count, max(timestamp) AS last_triggered_at FROM pattern_hits GROUP BY trap_id"""))
 def trap_statistics(spark, folder):

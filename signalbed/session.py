@@ -26,18 +26,24 @@ def build_session(app: str = "signalbed", cpus: int | None = None) -> SparkSessi
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``, which all executors share.
 
-    The files survive the loss of executors. A folder of our own is made only
-    on a local master, where the driver and the tasks share one disk.
+    A folder of our own is made only on a local master, where the driver and
+    the tasks share one disk.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="signalbed-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder; the files survive the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

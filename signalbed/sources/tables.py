@@ -12,14 +12,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    """The events with ``ts`` as an instant; the files hold it without a zone."""
+def events(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+    """The events with ``ts`` as an instant; the files hold it without a zone. As a stream, every file is read once."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = table(spark, folder, "events")
+    if stream:
+        rows = spark.readStream.schema(rows.schema).parquet(f"{folder}/events.parque[t]")  # a pattern may name one file or a folder
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def log_entries(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark, folder).selectExpr(
+def log_entries(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+    return events(spark, folder, stream).selectExpr(
         "event_id AS id",
         "user_id % 3 AS team_id",
         "concat('svc-', user_id % 5) AS service_name",

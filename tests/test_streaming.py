@@ -1,5 +1,7 @@
 """The stream jobs over a file source, against the batch results."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from signalbed.operators import alerts, ingest, traps
 from signalbed.plans import parsing
 from signalbed.sources import tables as t
-from signalbed.streaming import jobs
+from signalbed.streaming import jobs, replay
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -62,15 +64,23 @@ def test_frequency_windows(spark, tmp_path, stream):
     condition = {"window_seconds": 86400, "threshold": 12}
     got = {tuple(r) for r in run(jobs.frequency_windows(stream(rows, "timestamp"), condition), tmp_path, name="windows").collect()}
     want = {tuple(r) for r in jobs.frequency_windows(rows, condition).collect()}
-    assert got and got <= want
+    # Closed are the windows that end before the watermark, ten minutes before the newest counted row.
+    watermark = rows.agg(F.max("timestamp")).first()[0] - dt.timedelta(minutes=10)
+    assert got == {w for w in want if w[2] <= watermark} and got
 
 
 def test_sessions(spark, tmp_path, stream):
     rows = t.trace_spans(spark, FOLDER)
     got = run(jobs.trace_sessions(stream(rows, "start_time"), "6 hours"), tmp_path, name="sessions").collect()
     want = {(r.correlation_id, r.span_count) for r in rows.groupBy("correlation_id").agg(F.count(F.lit(1)).alias("span_count")).collect()}
+    watermark = rows.agg(F.max("start_time")).first()[0] - dt.timedelta(minutes=10)
+    ends = {r.correlation_id: r.end for r in rows.groupBy("correlation_id").agg(F.max("start_time").alias("end")).collect()}
+    closed = {w for w in want if ends[w[0]] + dt.timedelta(hours=6) <= watermark}
+    whole = {(c, n) for c, n in closed if sum(1 for r in got if r.correlation_id == c) == 1}
     sizes = {(r.correlation_id, r.span_count) for r in got}
-    assert len(sizes & want) > 100
+    assert whole <= sizes and len(whole) > 100
+    totals = {c: sum(r.span_count for r in got if r.correlation_id == c) for c, _ in closed}
+    assert all(totals[c] == n for c, n in closed)
 
 
 def test_absence_stream(spark, tmp_path, stream):
@@ -95,3 +105,79 @@ def test_alert_writer_equals_batch(spark, tmp_path, stream):
     want = alerts.to_history(alerts.throttle(alerts.fan_out(traps.pattern_hits(rows, t.trap_rules()), rules)))
     assert sorted(r.id for r in stored.collect()) == sorted(r.id for r in want.collect())
     assert spark.read.parquet(f"{out}/outbox").select("alert_id").distinct().count() == stored.count()
+
+
+@pytest.fixture
+def shuffled(spark, tmp_path):
+    """Rows in a disorder of up to six hours, in several files, one per batch; they are never later than the watermark of a day."""
+
+    def make(rows, order, parts=6):
+        folder = f"{tmp_path}/shuffled-{order}"
+        moved = rows.withColumn("_arrival", F.unix_micros(order) + F.pmod(F.xxhash64(F.col("id")), F.lit(6 * 3_600_000_000)))
+        staged = moved.withColumn("_part", F.ntile(parts).over(Window.orderBy("_arrival"))).drop("_arrival")
+        for n in range(1, parts + 1):
+            staged.where(F.col("_part") == n).drop("_part").repartition(3).write.mode("overwrite").parquet(f"{folder}/n={n}")
+        files = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).option("latestFirst", "false")
+        return files.parquet(f"{folder}/n=*")
+
+    return make
+
+
+def _closed(rows, time, newest):
+    """Rows the watermark has passed, a day and a millisecond before the newest."""
+    return [r for r in rows if (r[time] - newest).total_seconds() < -86_400.001]
+
+
+FREQUENT = [
+    {"trap_id": "busy", "team_id": 1, "trap_type": "FREQUENCY", "is_active": True, "conditions": [
+        {"condition_type": "FREQUENCY_THRESHOLD", "threshold": 14, "window_seconds": 86400},
+        {"condition_type": "FREQUENCY_THRESHOLD", "threshold": 2, "window_seconds": 43200, "service_name": "svc-1", "log_level": "INFO"}]},
+    {"trap_id": "one", "team_id": 2, "trap_type": "FREQUENCY", "is_active": True, "conditions": [
+        {"condition_type": "FREQUENCY_THRESHOLD", "threshold": 1, "window_seconds": 7200, "service_name": "svc-2", "log_level": "ERROR"}]},
+    {"trap_id": "any", "team_id": 0, "trap_type": "FREQUENCY", "is_active": True, "conditions": []},
+    {"trap_id": "never", "team_id": 0, "trap_type": "FREQUENCY", "is_active": True, "conditions": [
+        {"condition_type": "FREQUENCY_THRESHOLD", "threshold": None, "window_seconds": 7200}]},
+    {"trap_id": "off", "team_id": 0, "trap_type": "FREQUENCY", "is_active": False, "conditions": [
+        {"condition_type": "FREQUENCY_THRESHOLD", "threshold": 1, "window_seconds": 7200}]},
+]
+
+
+def test_frequency_stream_equals_batch(spark, tmp_path, shuffled):
+    rows = t.log_entries(spark, FOLDER)
+    newest = rows.agg(F.max("timestamp")).first()[0]
+    got = run(replay.frequency_stream(shuffled(rows, "timestamp"), FREQUENT, "1 day"), tmp_path, name="frequent").collect()
+    want = traps.frequency_hits(rows, FREQUENT).select("id", "trap_id", "timestamp").collect()
+    always = [tuple(r) for r in want if r.trap_id == "any"]
+    want = sorted([tuple(r) for r in _closed([r for r in want if r.trap_id != "any"], "timestamp", newest)] + always)
+    assert {"busy", "one", "any"} == {trap for _, trap, _ in want}
+    assert sorted(map(tuple, got)) == want
+
+
+def test_throttle_stream_equals_batch(spark, tmp_path, shuffled):
+    rows = t.log_entries(spark, FOLDER)
+    rules = t.alert_rules(spark)
+    fires = alerts.fan_out(traps.pattern_hits(rows, t.trap_rules()), rules)
+    newest = fires.where("throttle_minutes > 0").agg(F.max("fired_at")).first()[0]
+    hits = jobs.pattern_stream(shuffled(rows, "timestamp"), t.trap_rules())
+    got = run(replay.throttle_stream(alerts.fan_out(hits, rules), "1 day"), tmp_path, name="throttled").collect()
+    kept = alerts.throttle(fires).collect()
+    want = [r for r in kept if r.throttle_minutes <= 0] + _closed([r for r in kept if r.throttle_minutes > 0], "fired_at", newest)
+    columns = fires.columns
+    assert len(want) < fires.count()
+    assert sorted(tuple(r[c] for c in columns) for r in got) == sorted(tuple(r[c] for c in columns) for r in want)
+
+
+def test_absence_stream_equals_gaps(spark, tmp_path, shuffled):
+    rows = t.log_entries(spark, FOLDER).where("NOT (service_name = 'svc-2' AND timestamp > '2024-01-10')")
+    rules = [{"trap_id": f"gap-{n}", "team_id": team, "trap_type": "ABSENCE", "is_active": True, "conditions": [
+        {"condition_type": "ABSENCE", "window_seconds": width, "service_name": service, "log_level": level}]}
+        for n, (team, width, service, level) in enumerate(
+            [(0, 7200, None, None), (1, 86400, "svc-1", "INFO"), (2, 3 * 86400, "svc-2", "DEBUG"), (1, 3600, "nobody", "INFO"), (7, 60, None, None)])]
+    start = "2023-12-31 12:00:00"
+    newest = rows.agg(F.max("timestamp")).first()[0]
+    got = run(replay.absence_rule_stream(shuffled(rows, "timestamp"), rules, start, "1 day"), tmp_path, name="gaps").collect()
+    gaps = traps.absence_gaps(rows, rules, start, "2025-01-01").collect()
+    told = [(r.trap_id, r.absent_from, None) for r in _closed(gaps, "absent_from", newest)]
+    ended = [(r.trap_id, r.absent_from, r.absent_until) for r in _closed([r for r in gaps if r.absent_until], "absent_until", newest)]
+    assert {"gap-3", "gap-4"} <= {trap for trap, _, _ in told}
+    assert sorted(((r.trap_id, r.absent_from, r.absent_until) for r in got), key=str) == sorted(told + ended, key=str)
