@@ -35,6 +35,15 @@ CELL_DIGITS, CELL_BITS = 3, 12
 ROWS_AT_ONCE = 65_536
 
 
+#: Most sources whose sizes and targets are broadcast; more are joined by a shuffle that adaptive execution may split.
+BROADCAST_SOURCES = 10_000
+
+
+def _per_source(table: DataFrame) -> DataFrame:
+    """A written table with a row per source, broadcast where it is known to be small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
+
+
 def size_of(text: str | Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+``; 0 of a null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
@@ -157,13 +166,13 @@ def _with_sources(docs: DataFrame, weights: Sequence[int], percent: int, passes:
 
 
 def _lines(rows: DataFrame, shares: DataFrame) -> DataFrame:
-    numbers = shares.select(F.col("source").alias("_source"), "n")
+    numbers = _per_source(shares.select(F.col("source").alias("_source"), "n"))
     return cut_lineage(laid_out(rows.join(numbers, F.col("source").eqNullSafe(F.col("_source"))).select("n", "doc_id", "size")))
 
 
 def _pieces(lines: DataFrame, shares: DataFrame, passes: int, block_words: int) -> DataFrame:
     parts, slots = slots_of(shares, block_words)
-    lines = lines.join(parts, "n").join(shares.select("n", "source_size"), "n")
+    lines = lines.join(_per_source(parts), "n").join(_per_source(shares.select("n", "source_size")), "n")
     # A copy of the line for each pass, as far as the target goes.
     copies = lines.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn(
         "_from", F.col("start") + F.col("_pass") * F.col("source_size")).withColumn("_to", F.least(F.col("_from") + F.col("size"), "words"))
@@ -208,10 +217,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = MIX_PE
     lines = _lines(rows, shares)
     taken = _pieces(lines, shares, passes, block_words).groupBy("n", "start").agg(F.sum(F.col("end_word") - F.col("first_word")).alias("taken"))
     with_words = lines.join(taken, ["n", "start"], "left")
-    numbers = shares.select(F.col("source").alias("_source"), "n")
+    numbers = _per_source(shares.select(F.col("source").alias("_source"), "n"))
     none = rows.where("size = 0").join(numbers, F.col("source").eqNullSafe(F.col("_source"))).select(
         "n", "doc_id", "size", F.lit(0).cast("bigint").alias("taken"))
-    return (with_words.select("n", "doc_id", "size", "taken").unionByName(none).join(shares, "n")
+    return (with_words.select("n", "doc_id", "size", "taken").unionByName(none).join(_per_source(shares.select("n", "source_size", "target")), "n")
             .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")))
 
 

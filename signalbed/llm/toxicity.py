@@ -24,9 +24,9 @@ from signalbed.session import cut_lineage
 
 #: Most labelled rows (about) that the fit looks at, chosen by a hash of the id.
 SAMPLE_ROWS = 8_000
-#: A feature takes part where its likelihood ratio against the label has less than one chance in a thousand (chi squared,
+#: A feature takes part where its likelihood ratio against the label has less than one chance in a hundred (chi squared,
 #: one degree of freedom). How many features those are, and how often they occur, is not bounded.
-TELLING = 10.83
+TELLING = 6.63
 PENALTY = 0.5
 STEPS = 300
 STEMS = (4, 5, 6, 8)

@@ -69,6 +69,17 @@ def test_toxicity(docs, labels):
     assert sum(model.chances(f"{strong} {strong} x")) > sum(model.chances("x"))
 
 
+def test_toxicity_of_rows_not_learned(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit(docs, labels.where("doc_id % 4 <> 0"))
+    known = labels.where("doc_id % 4 = 0 AND toxic IN (0, 1)").select("doc_id", F.col("toxic").alias("label"))
+    rows = toxicity.severity(docs.where("doc_id % 4 = 0"), model).join(known, "doc_id").collect()
+    found = {label: [r["toxic"] for r in rows if r["label"] == label] for label in (0, 1)}
+    assert np.mean(found[1]) > 0.85 and np.mean(found[0]) < 0.01
+    assert np.mean([r["severity"] for r in rows if r["label"]]) > 1 > 0.05 > np.mean([r["severity"] for r in rows if not r["label"]])
+
+
 def test_ordinal_regression_recovers_order():
     rng = random.Random(2)
     sets, grades = [], []

@@ -239,4 +239,7 @@ def test_repeated_rows_are_spread(spark, monkeypatch):
     monkeypatch.setattr(mixing, "ROWS_AT_ONCE", 10)
     docs = spark.createDataFrame([(None, "a b c", "s")] * 95 + [(1, "x " * 50, "t")], "doc_id bigint, text string, source string")
     got = mixing.mix(docs, block_words=8).collect()
-    assert len(got) == 96 and sum(r["taken"] for r in got) == round(got[0]["target"]) + round(next(r["target"] for r in got if r["doc_id"] == 1))
+    targets = {r["size"]: r["target"] for r in got}
+    assert len(got) == 96 and targets[50] == 100
+    assert sum(r["taken"] for r in got if r["size"] == 3) == math.floor(targets[3] + 0.5)
+    assert {r["taken"] for r in got if r["size"] == 50} == {100}
