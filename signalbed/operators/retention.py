@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalbed.functions.levels import LEVELS, level_ordinal
 from signalbed.functions.times import instant, utc_day
+from signalbed.session import cut_lineage
+from signalbed.sources.folders import children, remove
 
 MIN_DAYS, MAX_DAYS = 1, 365
 
@@ -134,6 +136,70 @@ def storage_usage(entries: DataFrame, series: DataFrame, spans: DataFrame, polic
     )
 
 
+def archive_routes(entries: DataFrame, policies: DataFrame, as_of, source: str = "service_name") -> DataFrame:
+    """The entries that ARCHIVE policies remove, once for each ``archive_destination`` they go to.
+
+    Cutoffs are joined by team, level and source. A policy of one source only
+    adds what a general policy with the same destination leaves.
+    """
+    archives = policies.where("is_active AND upper(action) = 'ARCHIVE' AND archive_destination IS NOT NULL")
+    levels = F.slice(F.array(*[F.lit(name) for name in LEVELS]), 1, F.coalesce(level_ordinal(F.upper("log_level")), F.lit(len(LEVELS) - 1)) + 1)
+    cutoffs = archives.select(
+        "team_id", "source_name", "archive_destination", F.explode(levels).alias("level"), _cutoff(as_of, F.col("retention_days")).alias("cutoff"))
+    cutoffs = cutoffs.groupBy("team_id", "level", "source_name", "archive_destination").agg(F.max("cutoff").alias("cutoff"))
+    general = cutoffs.where("source_name IS NULL").select("team_id", "level", "archive_destination", F.col("cutoff").alias("_all"))
+    special = cutoffs.where("source_name IS NOT NULL").withColumnRenamed("source_name", source).join(
+        general, ["team_id", "level", "archive_destination"], "left")
+    # Entries meet all their routes in one join: a general route is one of every source.
+    by_source = special.select("team_id", "level", source, F.struct("archive_destination", "cutoff", "_all").alias("route"))
+    by_source = by_source.groupBy("team_id", "level", source).agg(F.collect_list("route").alias("_own"))
+    every = general.select("team_id", "level", F.struct("archive_destination", F.col("_all").alias("cutoff"), F.lit(None).cast("timestamp").alias("_all")).alias("route"))
+    every = every.groupBy("team_id", "level").agg(F.collect_list("route").alias("_general"))
+    rows = entries.join(every, ["team_id", "level"], "left").join(by_source, ["team_id", "level", source], "left")
+    none = F.array().cast(every.schema["_general"].dataType)
+    routes = F.explode(F.concat(F.coalesce("_general", none), F.coalesce("_own", none)))
+    rows = rows.withColumn("_route", routes).where(
+        (F.col("timestamp") < F.col("_route.cutoff")) & (F.col("_route._all").isNull() | (F.col("timestamp") >= F.col("_route._all"))))
+    return rows.select(*entries.columns, "_route.archive_destination")
+
+
+def _replace_parts(rows: DataFrame, folder: str, *by: str) -> None:
+    """Write the partitions that ``rows`` have and leave all others as they are."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(folder)
+
+
+def apply_policies(
+    spark: SparkSession, folder: str, policies: DataFrame, as_of, archive_folder: str, source: str = "service_name"
+) -> dict[str, Sequence[str]]:
+    """Archive and remove what the policies say from the days below ``folder`` (see :mod:`signalbed.sources.sinks`).
+
+    Only days that can hold expired entries are read, and only days that do are
+    written. The archive is ``archive_destination=.../day=.../run=...``, all
+    destinations in one pass. It is written before anything is removed, and a
+    run that is repeated replaces its own parts by the same rows, so it may be
+    started again after any failure.
+    """
+    shortest = policies.where("is_active").agg(F.min("retention_days")).first()[0]
+    if shortest is None or not children(spark, folder):
+        return {"changed": [], "emptied": []}
+    bound = _cutoff(as_of, F.lit(int(shortest)))
+    stored = spark.read.parquet(folder).where(F.col("day") <= utc_day(bound))
+    expired = F.count_if("expired")
+    by_day = with_expiry(stored, policies, as_of, source).groupBy("day").agg(expired.alias("expired"))
+    hit = [row["day"] for row in by_day.where("expired > 0").collect()]  # one row per day
+    if not hit:
+        return {"changed": [], "emptied": []}
+    rows = spark.read.parquet(folder).where(F.col("day").isin(hit))
+    routed = archive_routes(rows, policies, as_of, source).withColumn("run", F.unix_micros(instant(as_of)))
+    _replace_parts(routed, archive_folder, "archive_destination", "day", "run")
+    kept = cut_lineage(kept_logs(rows, policies, as_of, source))
+    _replace_parts(kept, folder, "day")
+    left = {row[0] for row in kept.select("day").distinct().collect()}
+    for day in set(hit) - left:
+        remove(spark, f"{folder}/day={day}")
+    return {"changed": sorted(map(str, hit)), "emptied": sorted(map(str, set(hit) - left))}
+
+
 def archive(rows: DataFrame, folder: str, by: str = "timestamp") -> None:
     """Append rows below ``folder``, one directory per day."""
     rows.withColumn("day", utc_day(F.col(by))).write.mode("append").partitionBy("day").parquet(folder)

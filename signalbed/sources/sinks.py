@@ -34,3 +34,8 @@ def append_query_history(spark: SparkSession, folder: str, *, query_id: str, que
         F.lit(created_by).alias("created_by"), instant(created_at).alias("created_at"),
     )
     row.write.mode("append").parquet(folder)
+
+
+def append_query_runs(runs: DataFrame, folder: str) -> None:
+    """Append many finished queries at once, by the day they ran: a file per task and day, not one per query."""
+    append_by_day(runs.repartition("query_id"), folder, by="created_at", sort=("created_at",))

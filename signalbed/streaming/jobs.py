@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -13,6 +13,7 @@ from signalbed.operators.alerts import fan_out, outbox, throttle, to_history
 from signalbed.operators.ingest import ingest_logs, parse_topic_lines, topic_records
 from signalbed.operators.traces import TRACE
 from signalbed.operators.traps import counted_rows, pattern_hits
+from signalbed.sources.folders import children, remove
 
 
 def ingest(records: DataFrame) -> DataFrame:
@@ -100,24 +101,38 @@ def absence_stream(
 def alert_writer(rules: DataFrame, traps: DataFrame, channels: DataFrame, folder: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: hits to throttled alerts and their outbox.
 
-    The state is a table with the last alert of every rule. Each batch reads
-    the one of the batch before and writes its own under its number, so a
-    batch that runs twice writes the same again. Alerts go to
-    ``folder/alerts``, messages to ``folder/outbox``, the state to ``folder/last``.
+    The state is a table with the last alert of every rule. A batch starts from
+    the newest state, whatever stream has written it, so a stream that is begun
+    anew fires nothing twice; a batch that runs again starts from the state
+    before its own and writes the same. Two states are kept. Alerts go to
+    ``folder/alerts`` and messages to ``folder/outbox``, by stream and batch;
+    states go to ``folder/last``.
     """
 
-    def last_alerts(spark, batch: int) -> DataFrame:
-        empty = spark.createDataFrame([], "rule_id string, created_at timestamp")
-        return empty if batch == 0 else spark.read.schema(empty.schema).parquet(f"{folder}/last/batch={batch - 1}")
-
     def write(hits: DataFrame, batch: int) -> None:
         spark = hits.sparkSession
-        before = last_alerts(spark, batch)
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        empty = spark.createDataFrame([], "rule_id string, created_at timestamp")
+        states = _states(spark, f"{folder}/last")
+        mine = [n for n, name in states if name.endswith(f".{stream}.{batch}")]
+        number = mine[-1] if mine else (states[-1][0] + 1 if states else 0)
+        earlier = [name for n, name in states if n < number]
+        before = spark.read.schema(empty.schema).parquet(f"{folder}/last/{earlier[-1]}") if earlier else empty
+        part = f"stream={stream}/batch={batch}"
         alerts = to_history(throttle(fan_out(hits, rules), before))
-        alerts.write.mode("overwrite").parquet(f"{folder}/alerts/batch={batch}")
-        stored = spark.read.schema(alerts.schema).parquet(f"{folder}/alerts/batch={batch}")
+        alerts.write.mode("overwrite").parquet(f"{folder}/alerts/{part}")
+        stored = spark.read.schema(alerts.schema).parquet(f"{folder}/alerts/{part}")
+        outbox(stored, channels, traps).write.mode("overwrite").parquet(f"{folder}/outbox/{part}")
         newest = before.unionByName(stored.select("rule_id", "created_at")).groupBy("rule_id").agg(F.max("created_at").alias("created_at"))
-        newest.write.mode("overwrite").parquet(f"{folder}/last/batch={batch}")
-        outbox(stored, channels, traps).write.mode("overwrite").parquet(f"{folder}/outbox/batch={batch}")
+        # The state comes last: without it the batch counts as not run.
+        newest.write.mode("overwrite").parquet(f"{folder}/last/{number:012d}.{stream}.{batch}")
+        for _, name in _states(spark, f"{folder}/last")[:-2]:
+            remove(spark, f"{folder}/last/{name}")
 
     return write
+
+
+def _states(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(number, name) of the finished states, oldest first."""
+    found = [name for name in children(spark, folder) if children(spark, f"{folder}/{name}").count("_SUCCESS")]
+    return sorted((int(name.split(".")[0]), name) for name in found)
