@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbed.functions.times import HOUR, instant, micros
+from signalbed.functions.times import HOUR, SECOND, instant, micros
+from signalbed.sources.folders import children
 
 LOG_VOLUME, ERROR_RATE = "log_volume", "error_rate"
 DEFAULT_WINDOW_HOURS = 168
@@ -59,8 +60,67 @@ def hourly_log_series(entries: DataFrame, start, end, services: DataFrame | None
     )
     keys = services if services is not None else entries.select(*SERVICE)
     full = with_empty_hours(counts, keys.select(*SERVICE).distinct(), start, end)
+    return _log_values(full)
+
+
+def log_states(entries: DataFrame) -> DataFrame:
+    """(team, service, minute, total, errors, edge_total, edge_errors): counts of each minute that has entries.
+
+    States of the same minute add up, so they may come from any cut of the
+    entries. The ``edge_`` counts are of the minute's first microsecond alone:
+    an hour includes both its ends.
+    """
+    failed = F.col("level").isin("ERROR", "FATAL")
+    edge = F.unix_micros("timestamp") % (60 * SECOND) == 0
+    return entries.groupBy(*SERVICE, F.expr(f"unix_micros(timestamp) div {60 * SECOND}").alias("minute")).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(failed).alias("errors"),
+        F.count_if(edge).alias("edge_total"), F.count_if(edge & failed).alias("edge_errors"))
+
+
+def roll_up(spark: SparkSession, folder: str, entries: DataFrame, upto) -> DataFrame:
+    """Bring the states below ``folder`` up to ``upto`` (exclusive) and return them all.
+
+    Only entries of the days from the last finished one on are read: those days
+    are counted anew and replaced as a whole, so a roll-up that failed or ran
+    twice is made good by the next. Entries later than a finished day are left
+    out unless their day is given to :func:`log_states` again.
+    """
+    end = instant(_utc(upto))
+    rows = entries.where(F.col("timestamp") < end)
+    if children(spark, folder):
+        newest = spark.read.parquet(folder).agg(F.max("day")).first()[0]
+        rows = rows.where(F.col("timestamp") >= instant(_utc(dt.datetime.combine(newest, dt.time()))))
+    states = log_states(rows).withColumn("day", F.to_date(F.timestamp_seconds(F.col("minute") * 60)))
+    states.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def rolled_log_series(states: DataFrame, start, end) -> DataFrame:
+    """:func:`hourly_log_series` from :func:`log_states`; ``start`` must be a whole minute.
+
+    The services are those of all states, a small table next to the entries.
+    """
+    n, first = _hours(start, end), _utc(start)
+    if first.second or first.microsecond:
+        raise ValueError("the window must start at a whole minute")
+    zero = int(first.timestamp()) // 60
+    near = states.where((F.col("minute") >= zero) & (F.col("minute") <= zero + 60 * n)).withColumn("_since", F.col("minute") - zero)
+    if "day" in states.columns:  # the days are the folders: others are not read
+        near = near.where((F.col("day") >= first.date()) & (F.col("day") <= (first + dt.timedelta(hours=n)).date()))
+    hour = F.expr("CAST(_since div 60 AS INT)")
+    # The first moment of an hour is in the hour before it too.
+    parts = F.array(F.struct(hour.alias("hour"), "total", "errors"), F.struct(
+        (hour - 1).alias("hour"), F.when(F.col("_since") % 60 == 0, F.col("edge_total")).otherwise(0).alias("total"),
+        F.when(F.col("_since") % 60 == 0, F.col("edge_errors")).otherwise(0).alias("errors")))
+    counts = near.select(*SERVICE, F.explode(parts).alias("p")).where(F.col("p.hour").between(0, n - 1)).groupBy(*SERVICE, "p.hour").agg(
+        F.sum("p.total").alias("total"), F.sum("p.errors").alias("errors"))
+    return _log_values(with_empty_hours(counts, states.select(*SERVICE).distinct(), start, end))
+
+
+def _log_values(full: DataFrame) -> DataFrame:
+    """Log volume and error rate of hours with ``total`` and ``errors``; empty hours are zero."""
     volume = F.coalesce("total", F.lit(0)).cast("double")
-    rate = F.coalesce(F.col("errors") * 100.0 / F.col("total"), F.lit(0.0))
+    rate = F.when(F.col("total") > 0, F.col("errors") * 100.0 / F.col("total")).otherwise(0.0)
     pairs = F.array(
         F.struct(F.lit(LOG_VOLUME).alias("metric_name"), volume.alias("value")),
         F.struct(F.lit(ERROR_RATE).alias("metric_name"), rate.alias("value")),

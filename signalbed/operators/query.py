@@ -167,6 +167,22 @@ def newest_page(rows: DataFrame, page: int = 0, size: int = DEFAULT_PAGE_SIZE, *
     return ordered.limit(size)
 
 
+def page_after(rows: DataFrame, last=None, size: int = DEFAULT_PAGE_SIZE, *, by: str = "timestamp", tie: str = "id") -> DataFrame:
+    """The page that follows the row ``last``, newest first; the first page without one.
+
+    ``last`` is the last row of the page before, or any mapping with its ``by``
+    and ``tie``. It is a bound of the scan (``by`` at most that time is pushed
+    to the files), and no row before it is sorted or counted, so a page costs the
+    same wherever it lies. Rows that came in since do not shift it.
+    """
+    if size < 1:
+        raise ValueError("size must be at least 1")
+    if last is not None:
+        time = instant(last[by]) if isinstance(last[by], str) else F.lit(last[by])  # a collected time is in the driver's own zone
+        rows = rows.where((F.col(by) <= time) & ((F.col(by) < time) | (F.col(tie) < F.lit(last[tie]))))
+    return rows.orderBy(F.col(by).desc(), F.col(tie).desc()).limit(size)
+
+
 def page_info(rows: DataFrame, page: int = 0, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
     """Total rows and pages, and whether this page is the last."""
     total = F.col("total_elements")

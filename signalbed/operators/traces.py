@@ -62,6 +62,26 @@ def _newest(spans: DataFrame, mine: Column, page: int, size: int) -> DataFrame:
     return trace_summaries(spans.join(chosen, TRACE, "left_semi"), mine).orderBy(*order)
 
 
+def traces_after(spans: DataFrame, team_id, last=None, size: int = 20, service_name: str | None = None) -> DataFrame:
+    """The page of a team's traces that follows the trace ``last`` (with ``recent_start`` and ``correlation_id``).
+
+    Newest first, of one service if named. Traces that started later are cut
+    off by their newest start before anything is sorted; only the traces of the
+    page are summed up.
+    """
+    own = F.col("team_id") == F.lit(team_id)
+    if service_name is not None:
+        own = own & (F.col("service_name") == service_name)
+    order = [F.col("recent_start").desc(), F.col(TRACE)]
+    rows = spans.where(own).groupBy(TRACE).agg(F.max("start_time").alias("recent_start"))
+    if last is not None:
+        newest = F.lit(last["recent_start"])
+        rows = rows.where((F.col("recent_start") < newest) | ((F.col("recent_start") == newest) & (F.col(TRACE) > last[TRACE])))
+    chosen = rows.orderBy(*order).limit(size).select(TRACE)
+    mine = spans if service_name is not None else spans.where(own)
+    return trace_summaries(mine.join(chosen, TRACE, "left_semi"), own).orderBy(*order)
+
+
 def recent_traces(spans: DataFrame, team_id, page: int = 0, size: int = 20) -> DataFrame:
     return _newest(spans.where(F.col("team_id") == F.lit(team_id)), F.lit(True), page, size)
 

@@ -1,9 +1,12 @@
 """Hourly series, baselines, checks."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from signalbed.operators import anomaly as a
 from signalbed.plans.registry import query, using
+from signalbed.session import shared_folder
 from signalbed.sources import tables as t
 
 START, END, HALF = "2024-01-23 23:30:00", "2024-01-30 23:30:00", "2024-01-30 23:30:00"
@@ -69,6 +72,16 @@ def hourly_error_rate(spark, folder):
     return _rounded(rows.select("team_id", "service_name", "hour", "value"), "value")
 
 
+@query("e15_e16_rolled_up", _sql("""
+    SELECT team_id, service_name, metric_name, hour, round(value, 6) AS value FROM series WHERE metric_name IN ('log_volume', 'error_rate')"""))
+def rolled_up(spark, folder):
+    """Hourly values from states that were rolled up in three steps, the second one twice."""
+    entries, place = t.log_entries(spark, folder), f"{shared_folder(spark)}/states-{uuid.uuid4()}"
+    for upto in ("2024-01-11 12:00:00", "2024-01-26 07:30:00", "2024-01-26 07:30:00", "2024-02-01"):
+        states = a.roll_up(spark, place, entries, upto)
+    return _rounded(a.rolled_log_series(states, START, END), "value")
+
+
 @query("e17_c12_hourly_metric", _sql("SELECT team_id, service_name, metric_name, hour, round(value, 6) AS value FROM metric_hours"))
 def hourly_metric(spark, folder):
     rows = a.hourly_metric_series(t.metric_series(spark, folder), t.metrics(spark, folder), START, END)

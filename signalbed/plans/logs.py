@@ -194,6 +194,36 @@ def newest_page(spark, folder):
     return q.newest_page(rows, page=2, size=20).select(*BRIEF)
 
 
+def _third_page(rows, size=20, **order):
+    """Three pages, each from the last row of the one before: the caller keeps one row, not a number."""
+    last = None
+    for _ in range(2):
+        found = q.page_after(rows, last, size, **order).collect()
+        if len(found) < size:
+            return rows.limit(0)
+        last = found[-1]
+    return q.page_after(rows, last, size, **order)
+
+
+@query("g01_page_after", using("log_entries", f"""
+    SELECT {BRIEF_SQL} FROM log_entries WHERE team_id = 1 AND level IN ('WARN', 'ERROR', 'FATAL')
+    ORDER BY timestamp DESC, id DESC LIMIT 20 OFFSET 40"""))
+def page_after(spark, folder):
+    return _third_page(q.filter_conditions(t.log_entries(spark, folder), _conditions(("level", ">=", "WARN")), team_id=1).select(*BRIEF))
+
+
+@query("g07_alert_page_after", using("alert_history", """
+    SELECT id, rule_id, created_at FROM alert_history WHERE team_id = 2 ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 40"""))
+def alert_page_after(spark, folder):
+    return _third_page(history_rows(t.alert_history(spark, folder), team_id=2).select("id", "rule_id", "created_at"), by="created_at")
+
+
+@query("g08_query_page_after", using("query_history", """
+    SELECT history_id, query_id, created_at FROM query_history ORDER BY created_at DESC, history_id DESC LIMIT 7 OFFSET 14"""))
+def query_page_after(spark, folder):
+    return _third_page(t.query_history(spark, folder).select("history_id", "query_id", "created_at"), 7, by="created_at", tie="history_id")
+
+
 @query("g01_page_info", using("log_entries", """
     SELECT 2 AS page, 20 AS size, count(*) AS total_elements, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages,
       60 >= count(*) AS is_last FROM log_entries WHERE team_id = 1 AND level IN ('WARN', 'ERROR', 'FATAL')"""))

@@ -59,6 +59,14 @@ def recent_traces(spark, folder):
     return tr.recent_traces(t.trace_spans(spark, folder), 1, page=1, size=20)
 
 
+@query("g02_traces_after", using("trace_spans", "SELECT * FROM summaries ORDER BY recent_start DESC, correlation_id LIMIT 20 OFFSET 20",
+                                 summaries=_summaries("team_id = 1")))
+def traces_after(spark, folder):
+    """The second page from the last trace of the first."""
+    spans = t.trace_spans(spark, folder)
+    return tr.traces_after(spans, 1, tr.traces_after(spans, 1).collect()[-1])
+
+
 OF_SERVICE = _summaries("true", "CASE WHEN team_id = 1 AND service_name = 'svc-2' THEN start_time END")
 WITH_ERRORS = _summaries("true", "CASE WHEN team_id = 1 AND status = 'ERROR' THEN start_time END")
 
@@ -76,6 +84,14 @@ def traces_by_service(spark, folder):
     return tr.traces_by_service(t.trace_spans(spark, folder), 1, "svc-2")
 
 
+@query("g03_service_traces_after", using("trace_spans", """
+    SELECT * FROM summaries WHERE recent_start IS NOT NULL ORDER BY recent_start DESC, correlation_id LIMIT 20 OFFSET 20""", summaries=OF_SERVICE))
+def service_traces_after(spark, folder):
+    spans = t.trace_spans(spark, folder)
+    first = tr.traces_after(spans, 1, service_name="svc-2").collect()[-1]
+    return tr.traces_after(spans, 1, first, service_name="svc-2")
+
+
 @query("c10_traces_with_errors", using("trace_spans", """
     SELECT * FROM summaries WHERE correlation_id IN (SELECT correlation_id FROM trace_spans WHERE team_id = 1 AND status = 'ERROR')""",
     summaries=WITH_ERRORS))
