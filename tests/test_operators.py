@@ -4,6 +4,8 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
+
 from signalbed.operators import alerts, anomaly, ingest, metrics, query, retention, traces, traps
 from signalbed.sources import sinks
 
@@ -227,3 +229,74 @@ def test_level_filter_reaches_the_scan(spark, tmp_path):
     rows = query.filter_conditions(stored, [{"field": "level", "operator": ">=", "value": "ERROR"}], team_id=0).select("id")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "In(level, [ERROR,FATAL])" in plan and "EqualTo(team_id,0)" in plan and "message" not in plan
+
+
+def test_required_literal(spark):
+    cases = {
+        "timeout": "timeout", "(?i)TimeOut now": "timeout now", "ab|timeout": None, "(timeout)": None, "time(out)?": None,
+        "conn.*refused": "refused", "abcd?ef": "abc", "abc{0,2}def": "def", r"code \d+ failed": " failed", r"a\.bcd": "bcd", r"\x41bcd": None,
+        r"\Qabc\E": None, "[abc]defg[^xyz]hi": "defg", "[a[bc]]defg": None, "ab": None, "": None, "übermut": "bermut", "abc+de": "abc", "(?s)abc": None,
+        r"\bword\b": "word", r"\p{L}abc": None, "^start$": "start", "x*abc": "abc",
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in cases.items()], "pattern string, want string")
+    got = {r.pattern: r.got for r in rows.select("pattern", traps.required_literal(F.col("pattern")).alias("got")).collect()}
+    assert got == cases
+
+
+def test_rule_index_finds_what_the_predicates_find(spark):
+    """Rules of every kind, filed or not, against each rule as a predicate of its own."""
+    messages = ["Timeout at DB-1", "connection refused by db", "TIMEOUT", "time out", "a", "", None, "x.y abcdef", "abef", "straße ÜBER 😀 ok", "code 12 failed"]
+    rows = entries(spark, [(n, team, f"svc-{n % 3}", ("INFO", "ERROR", "WARN")[n % 3], m, at(n)) for n, m in enumerate(messages) for team in (0, 1)])
+    rows = rows.withColumn("host_name", F.when(F.col("id") % 2 == 0, "db-1"))
+
+    def condition(kind, field, pattern, service=None, level=None):
+        return {"condition_type": kind, "field": field, "pattern": pattern, "service_name": service, "log_level": level}
+
+    lists = [
+        [condition("KEYWORD", "message", "TimeOut")], [condition("KEYWORD", "message", "o")], [condition("KEYWORD", "message", "")],
+        [condition("KEYWORD", "message", "db"), condition("REGEX", "message", "(?i)refused|timeout")], [condition("REGEX", "message", "abcd?ef")],
+        [condition("REGEX", "message", "([")], [condition("KEYWORD", "nothing", "timeout")], [condition("KEYWORD", "message", None)], [],
+        [condition("KEYWORD", "message", "ÜBER 😀", "svc-0", "INFO")], [condition("REGEX", "message", r"code \\d+ failed".replace("\\\\", "\\"))],
+        [condition("KEYWORD", "hostName", "db-1", level="WARN"), condition("REGEX", "message", "^[Tt]")], [condition("FREQUENCY_THRESHOLD", "level", None, "svc-1")],
+    ]
+    rules = [{"trap_id": f"{n}/{team}", "team_id": team, "trap_type": "PATTERN", "is_active": True, "conditions": c} for n, c in enumerate(lists) for team in (0, 1)]
+    got = sorted((r.id, r.trap_id) for r in traps.pattern_hits(rows, rules + rules[:2]).collect())
+    full = traps._with_fields(rows)
+    want = [(r.id, rule["trap_id"]) for rule in rules
+            for r in full.where((F.col("team_id") == rule["team_id"]) & traps.pattern_predicate(spark, rule["conditions"])).collect()]
+    assert got == sorted(want) and len(got) > 40
+    for most in (0, 10**6):  # a large index is not broadcast, and gives the same
+        traps.BROADCAST_RULES, before = most, traps.BROADCAST_RULES
+        assert sorted((r.id, r.trap_id) for r in traps.pattern_hits(rows, rules).collect()) == got
+        traps.BROADCAST_RULES = before
+    assert traps.pattern_hits(rows, []).collect() == []
+
+
+def _files(folder):
+    return {str(p.relative_to(folder)): (p.stat().st_mtime_ns, p.read_bytes()) for p in folder.rglob("*.parquet")}
+
+
+def test_policy_run_can_be_repeated(spark, tmp_path):
+    day = 86400
+    rows = entries(spark, [(n, 0, "s" if n % 2 else "x", "INFO", "m", at(n // 4 * day + n)) for n in range(40)])
+    policies = spark.createDataFrame(
+        [("p", 0, "s", None, 5, "ARCHIVE", "cold", True), ("q", 0, None, None, 7, "PURGE", None, True)],
+        "policy_id string, team_id long, source_name string, log_level string, retention_days int, action string, archive_destination string, is_active boolean")
+    store, cold = tmp_path / "store", tmp_path / "cold"
+    sinks.append_by_day(rows, str(store))
+    untouched = {k: v for k, v in _files(store).items() if k >= "day=2024-01-06"}
+    changed = retention.apply_policies(spark, str(store), policies, at(10 * day), str(cold))
+    assert len(changed["changed"]) == 5 and len(changed["emptied"]) == 3
+    after = _files(store), _files(cold)
+    assert {k: v for k, v in after[0].items() if k >= "day=2024-01-06"} == untouched and len(untouched) >= 5
+    assert retention.apply_policies(spark, str(store), policies, at(10 * day), str(cold)) == {"changed": [], "emptied": []}
+    assert (_files(store), _files(cold)) == after
+    limit = at(5 * day)
+    archived = sorted(r.id for r in spark.read.parquet(str(cold)).collect())
+    assert archived == sorted(r.id for r in rows.where((F.col("service_name") == "s") & (F.col("timestamp") < F.lit(limit))).collect())
+    # What a failed removal leaves behind is archived again by the same run, once.
+    sinks.append_by_day(rows.where("id IN (1, 3)"), str(store))
+    retention.apply_policies(spark, str(store), policies, at(10 * day), str(cold))
+    assert sorted(r.id for r in spark.read.parquet(str(cold)).collect()) == archived
+    later = retention.apply_policies(spark, str(store), policies, at(11 * day), str(cold))
+    assert later["changed"] and len(spark.read.parquet(str(cold)).collect()) > len(archived)

@@ -181,3 +181,29 @@ def test_absence_stream_equals_gaps(spark, tmp_path, shuffled):
     ended = [(r.trap_id, r.absent_from, r.absent_until) for r in _closed([r for r in gaps if r.absent_until], "absent_until", newest)]
     assert {"gap-3", "gap-4"} <= {trap for trap, _, _ in told}
     assert sorted(((r.trap_id, r.absent_from, r.absent_until) for r in got), key=str) == sorted(told + ended, key=str)
+
+
+def test_alert_writer_begun_anew_fires_nothing_twice(spark, tmp_path):
+    """The same entries through a second stream with its own checkpoint: every rule with a throttle time stays silent inside it."""
+    rows = t.log_entries(spark, FOLDER)
+    rules = t.alert_rules(spark).where("throttle_minutes > 0")
+    names = spark.createDataFrame([(x["trap_id"], x["name"]) for x in t.trap_rules()], "trap_id string, name string")
+    out = f"{tmp_path}/alerts"
+    write = jobs.alert_writer(rules, names, t.alert_channels(spark), out)
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    for n in range(2):
+        hits = jobs.pattern_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), t.trap_rules())
+        query = hits.writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/cp-{n}").trigger(availableNow=True).start()
+        query.awaitTermination(200)
+        assert query.exception() is None
+    stored = spark.read.option("basePath", f"{out}/alerts").parquet(f"{out}/alerts")
+    want = alerts.throttle(alerts.fan_out(traps.pattern_hits(rows, t.trap_rules()), rules))
+    assert stored.count() == want.count() > 0
+    states = spark.read.option("basePath", f"{out}/last").parquet(f"{out}/last/*").select(F.input_file_name().alias("f")).distinct().collect()
+    assert 0 < len({r.f.split("/")[-2] for r in states}) <= 2
+    # A batch that runs again starts from the state before its own and writes the same.
+    again = traps.pattern_hits(rows, t.trap_rules())
+    jobs.alert_writer(rules, names, t.alert_channels(spark), f"{tmp_path}/twice")(again, 0)
+    first = spark.read.parquet(f"{tmp_path}/twice/alerts").count()
+    jobs.alert_writer(rules, names, t.alert_channels(spark), f"{tmp_path}/twice")(again, 0)
+    assert spark.read.parquet(f"{tmp_path}/twice/alerts").count() == first == want.count()
