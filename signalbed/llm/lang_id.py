@@ -17,14 +17,14 @@ import math
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalbed.llm.rows import id_remainder, per_document, to_bytes
 
 DICTIONARY_BYTES = 65_536
 SAMPLE_ROWS = 400
-SAMPLE_CHARS = 512
+PIECE_CHARS = 512
 PIECE_BYTES = 4_096
 LEVEL = 5
 MARGIN = 0.02
@@ -46,28 +46,39 @@ def fit(
     """A dictionary for each non-null ``lang`` of ``docs`` (``doc_id text lang``).
 
     The rows are counted per language over all of ``docs``; about
-    ``sample_rows`` of each language, chosen by a hash of the id, give the
-    dictionary, each with its first ``SAMPLE_CHARS`` characters so that many
-    texts take part. The driver gets ``languages * sample_rows`` such pieces:
-    that is the bound of the sample. Languages are ordered by their rows.
+    ``sample_rows`` of each language, chosen by a hash of the row, are cut into
+    pieces of ``PIECE_CHARS`` from beginning to end. A dictionary takes pieces
+    of all these texts, in the order of a hash of text and place, until it has
+    ``dictionary_bytes``: that is what the driver gets per language, and the
+    bound of the sample. Rows that repeat a text give their pieces once.
+    Languages are ordered by their rows.
     """
     known = docs.where("lang IS NOT NULL")
     counts = known.groupBy("lang").count()
     few = counts.limit(MOST_LANGUAGES + 1).collect()
     if len(few) <= MOST_LANGUAGES:  # then a broadcast holds them; beyond, the join shuffles
         counts = F.broadcast(docs.sparkSession.createDataFrame(few, counts.schema))
-    place = (F.xxhash64("doc_id", F.lit("lang")) % 1_000_000 + 1_000_000) % 1_000_000
-    picked = (
-        known.join(counts, "lang")
-        .where(F.col("text").isNotNull() & (place < F.lit(sample_rows * 1_000_000.0) / F.col("count")))
-        .select("lang", "count", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("at"))
-    )
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("lang")), F.lit(1_000_000))
+    picked = known.join(counts, "lang").where(
+        F.col("text").isNotNull() & (place < F.lit(sample_rows * 1_000_000.0) / F.col("count")))
+
+    def start():
+        def work(batch: pa.RecordBatch) -> dict:
+            pieces = [[fold(t[i:i + PIECE_CHARS]) for i in range(0, len(t), PIECE_CHARS)] for t in batch["text"].to_pylist()]
+            return {"lang": batch["lang"], "count": batch["count"], "at": batch["at"], "pieces": pieces}
+
+        return work
+
+    columns = ["lang", "count", F.xxhash64("text").alias("at"), "text"]
+    cut = per_document(picked, columns, start, "lang string, count bigint, at bigint, pieces array<binary>")
+    cut = cut.select("lang", "count", "at", F.posexplode("pieces").alias("place", "piece")).dropDuplicates(["lang", "at", "place"])
+    cut = cut.where(F.length("piece") > 0).withColumn("turn", F.xxhash64("at", "place"))
+    before = Window.partitionBy("lang").orderBy("turn", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("before", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0))).where(F.col("before") < dictionary_bytes)
     texts: dict[tuple[int, str], list[tuple[int, bytes]]] = {}
-    for row in picked.collect():
-        texts.setdefault((-row["count"], row["lang"]), []).append((row["at"], fold(row["text"])))
-    return {
-        lang: b" ".join(t for _, t in sorted(set(rows)))[:dictionary_bytes] for (_, lang), rows in sorted(texts.items())
-    }
+    for row in cut.select("lang", "count", "turn", "piece").collect():
+        texts.setdefault((-row["count"], row["lang"]), []).append((row["turn"], bytes(row["piece"])))
+    return {lang: b" ".join(t for _, t in sorted(rows))[:dictionary_bytes] for (_, lang), rows in sorted(texts.items())}
 
 
 @functools.lru_cache(maxsize=4)
