@@ -3,21 +3,22 @@
 Every n-gram has a Rabin-Karp fingerprint: a polynomial over the bytes gives the
 words their hashes, a polynomial over the hashes gives the n-grams theirs; both
 are differences of prefix sums that numpy takes for a whole chunk of documents
-at once. Tasks add up fingerprints, the shuffle adds up what the tasks send, and
-what reaches the wanted frequency is a bit in a filter of fixed size. Longer
-n-grams are only sent where all the shorter ones in them have their bit.
-
-A bit can be set in error (a collision, or a filter that fills up), but never be
-missing. So the last pass is exact: where an n-gram has its bit, it points to
-the first of its fingerprint in the chunk, is compared with the words there, and
-the phrase is cut out of the text once per pointer. Those phrases are counted by
-their text, so two phrases of one fingerprint are two rows, and only frequent
-ones remain.
+at once. Tasks add up fingerprints and send each with a mark: 32 bits of a check
+from a second polynomial, and 32 bits that point to one occurrence. The shuffle
+adds up the numbers and keeps the smallest and largest mark. What reaches the
+wanted frequency is a bit in a filter of fixed size; longer n-grams are only
+sent where all the shorter ones in them have their bit.
+
+A bit can be set in error, but never be missing. In the last pass a frequent
+fingerprint's phrase is cut out of the text once, at its pointer. Where the
+checks of a fingerprint differ, different words have met: those phrases, and
+none else, are counted by their text in all documents.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,17 +33,18 @@ from signalbed.session import cut_lineage
 LEAST, MOST_WORDS, BEST = 100, 5, 2_000
 #: A phrase goes where a longer one around it has at least this percent of its occurrences.
 COVERED_PERCENT = 100
-#: Bits of a filter (8 MB); one per group of lengths is broadcast, whatever the corpus.
+#: Bits of a filter (8 MB); three per group of lengths are broadcast, whatever the corpus.
 FILTER_BITS = 26
-#: Bytes of the documents taken at once (one longer document is taken alone), fingerprints and phrases added up before they are sent.
-CHUNK_BYTES, FINGERPRINTS_AT_ONCE, PHRASES_AT_ONCE = 1 << 21, 2_000_000, 300_000
+#: Bytes of the documents taken at once (one longer document is taken alone), and fingerprints of a length added up before they are sent.
+CHUNK_BYTES, FINGERPRINTS_AT_ONCE = 1 << 21, 1_000_000
 #: Parts that a language's candidates are ranked in before the parts' best are ranked together.
 RANK_PARTS = 256
 NO_LANGUAGE = "und"
 
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Bases of the fingerprint and of the check, and what each byte counts in them.
+_BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+_BYTES = tuple(mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(odd)) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+_LOW = np.uint64(0xFFFFFFFF)
 _SPACES, _CUTS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = np.array([1 if b in _SPACES else 2 if b in _CUTS else 0 for b in range(256)], np.uint8)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -50,16 +52,18 @@ _TO_SPACE = bytes(32 if _KIND[b] else b for b in range(256))
 
 
 class Powers:
-    """Powers of the base and of its inverse, as many as the longest chunk so far needed."""
+    """Powers of both bases and of their inverses, as many as the longest chunk so far needed."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+        self.of_base = [(np.ones(1, np.uint64),) * 2] * 2
 
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, CHUNK_BYTES)
-            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(size - 1, b, np.uint64)), dtype=np.uint64) for b in (_BASE, _INVERSE))
-        return self.up[:n], self.down[:n]
+    def of(self, which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.of_base[which][0]) < n:
+            size, base = max(n, CHUNK_BYTES), _BASES[which]
+            self.of_base[which] = tuple(
+                np.cumprod(np.append(np.uint64(1), np.full(size - 1, b, np.uint64)), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+        up, down = self.of_base[which]
+        return up[:n], down[:n]
 
 
 def _prefix(values: np.ndarray) -> np.ndarray:
@@ -71,7 +75,7 @@ def _prefix(values: np.ndarray) -> np.ndarray:
 class Chunk:
     """The words of some documents, and fingerprints of all that follow each other inside a piece."""
 
-    def __init__(self, texts: list[bytes], langs: list[str], powers: Powers, seeds: dict[str, int]) -> None:
+    def __init__(self, texts: list[bytes], langs: list[str], marks: list[int], powers: Powers, seeds: dict[str, int]) -> None:
         self.text = b"\n".join(texts).translate(_LOWER)  # a line end is a cut, so no n-gram spans two documents
         raw = np.frombuffer(self.text, np.uint8)
         kind = _KIND[raw]
@@ -85,34 +89,52 @@ class Chunk:
         first = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
         self.document = np.searchsorted(first, starts, side="right") - 1
         self.seed = np.array([seeds.setdefault(name, xxhash.xxh3_64_intdigest(name)) for name in langs], np.uint64)
-        up, down = powers.of(max(len(raw), self.n) + 1)
-        at = _prefix(_BYTES[raw] * up[:len(raw)])
-        hashes = mix((at[ends] - at[starts]) * down[starts])
-        self.sums = _prefix(hashes * up[:self.n])
-        self.down = down
-
-    def fingerprints(self, k: int) -> np.ndarray:
+        self.mark = np.array(marks, np.int64).view(np.uint64)
+        self.sums, self.downs = [], []
+        for which in (0, 1):
+            up, down = powers.of(which, max(len(raw), self.n) + 1)
+            at = _prefix(_BYTES[which][raw] * up[:len(raw)])
+            hashes = mix((at[ends] - at[starts]) * down[starts])
+            self.sums.append(_prefix(hashes * up[:self.n]))
+            self.downs.append(down)
+
+    def fingerprints(self, k: int, which: int = 0) -> np.ndarray:
         """Of the k words from each word on, as if there were no pieces."""
         m = max(self.n - k + 1, 0)
-        value = (self.sums[k:k + m] - self.sums[:m]) * self.down[:m]
-        return mix(value + self.seed[self.document[:m]] + np.uint64(k * _BASE % (1 << 64)))
+        value = (self.sums[which][k:k + m] - self.sums[which][:m]) * self.downs[which][:m]
+        return mix(value + self.seed[self.document[:m]] + np.uint64(k * _BASES[which] % (1 << 64)))
 
     def whole(self, k: int) -> np.ndarray:
         """Where the k words from a word on stand in one piece."""
         m = max(self.n - k + 1, 0)
         return self.piece[k - 1:k - 1 + m] == self.piece[:m]
 
+    def pointers(self, places: np.ndarray, fingerprints: np.ndarray) -> np.ndarray:
+        """32 bits for the document of each place, other ones for each fingerprint."""
+        return mix(self.mark[self.document[places]] + fingerprints) & _LOW
+
 
 @dataclasses.dataclass(frozen=True)
 class Filter:
-    """The fingerprints that may be frequent, of n-grams of some lengths."""
+    """Keys that may be held; each has the bit of its first and of its second half."""
 
     bits: int
     table: np.ndarray
 
-    def holds(self, fingerprints: np.ndarray) -> np.ndarray:
-        place = fingerprints >> np.uint64(64 - self.bits)
-        return (self.table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for place in (keys >> np.uint64(64 - self.bits), (keys >> np.uint64(32 - self.bits)) & np.uint64((1 << self.bits) - 1)):
+            out &= (self.table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
+
+
+@dataclasses.dataclass(frozen=True)
+class Known:
+    """What the counting passes found: frequent fingerprints by length, the occurrences they point to, and those with several texts."""
+
+    frequent: dict[int, Filter]
+    pointed: dict[int, Filter]
+    mixed: dict[int, Filter]
 
 
 def frequent(chunk: Chunk, k: int, filters: dict[int, Filter], mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -132,99 +154,107 @@ def frequent(chunk: Chunk, k: int, filters: dict[int, Filter], mask: np.uint64)
 
 def chunks_of(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[Chunk]:
     powers, seeds = Powers(), {}
-    texts, langs, size = [], [], 0
+    texts, langs, marks, size = [], [], [], 0
     for batch in batches:
-        for text, lang in zip(batch["text"], batch["lang"]):
+        for text, lang, mark in zip(batch["text"], batch["lang"], batch["mark"]):
             raw = to_bytes(text.as_py())
             if texts and size + len(raw) > chunk_bytes:
-                yield Chunk(texts, langs, powers, seeds)
-                texts, langs, size = [], [], 0
+                yield Chunk(texts, langs, marks, powers, seeds)
+                texts, langs, marks, size = [], [], [], 0
             texts.append(raw)
             langs.append(lang.as_py())
+            marks.append(mark.as_py())
             size += len(raw) + 1
     if texts:
-        yield Chunk(texts, langs, powers, seeds)
+        yield Chunk(texts, langs, marks, powers, seeds)
 
 
-def count_fingerprints(lengths: tuple[int, ...], filters, mask: np.uint64, chunk_bytes: int):
-    """The work of a partition in a counting pass: (fingerprint, number), added up in parts."""
+def added(values: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, number, mark): a row per fingerprint, and one of number 0 for each other check that occurs with it."""
+    order = np.argsort(values, kind="stable")
+    values, marks = values[order], marks[order]
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    n = np.diff(np.append(first, len(values)))
+    other = np.flatnonzero((marks >> np.uint64(32)) != np.repeat(marks[first] >> np.uint64(32), n))
+    return (np.concatenate([values[first], values[other]]), np.concatenate([n, np.zeros(len(other), np.int64)]),
+            np.concatenate([marks[first], marks[other]]))
 
-    def added(parts: list[np.ndarray]) -> Iterator[dict]:
-        values, n = np.unique(np.concatenate(parts), return_counts=True)
+
+def count_fingerprints(k_range: tuple[int, ...], known, mask: np.uint64, chunk_bytes: int):
+    """The work of a partition in a counting pass: (k, fingerprint, number, mark), added up in parts."""
+
+    def sent(k: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[dict]:
+        values, n, marks = added(*(np.concatenate(p) for p in zip(*parts)))
         for at in range(0, len(values), 500_000):
-            yield {"fp": values[at:at + 500_000].view(np.int64), "n": n[at:at + 500_000]}
+            now = slice(at, at + 500_000)
+            yield {"k": np.full(len(values[now]), k, np.int32), "fp": values[now].view(np.int64), "n": n[now], "mark": marks[now].view(np.int64)}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        parts, held = [], 0
-        known = filters()
+        parts = {k: [] for k in k_range}
+        filters = known().frequent
         for chunk in chunks_of(batches, chunk_bytes):
-            for k in lengths:
-                parts.append(frequent(chunk, k, known, mask)[1])
-                held += len(parts[-1])
-            if held >= FINGERPRINTS_AT_ONCE:
-                yield from added(parts)
-                parts, held = [], 0
-        if held:
-            yield from added(parts)
+            for k in k_range:
+                places, values = frequent(chunk, k, filters, mask)
+                if len(places):
+                    checks = chunk.fingerprints(k, 1)[places] << np.uint64(32)
+                    parts[k].append((values, checks | chunk.pointers(places, values)))
+                if sum(len(v) for v, _ in parts[k]) >= FINGERPRINTS_AT_ONCE:
+                    yield from sent(k, parts[k])
+                    parts[k] = []
+        for k in k_range:
+            if parts[k]:
+                yield from sent(k, parts[k])
 
     return work
 
 
-def phrases_of(chunk: Chunk, k: int, ids: np.ndarray, filters: dict[int, Filter], mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """(pointers, numbers) of the n-grams of ``k`` words that may be frequent: equal ones have one pointer.
+def _distinct(chunk: Chunk, k: int, places: np.ndarray, ids: np.ndarray) -> dict[tuple[int, ...], list[int]]:
+    """Places of equal words of equal language, by those words."""
+    found: dict[tuple[int, ...], list[int]] = {}
+    for at in places.tolist():
+        found.setdefault((int(chunk.seed[chunk.document[at]]), *ids[at:at + k].tolist()), []).append(at)
+    return found
 
-    ``ids`` are equal where words are. N-grams that are not what their
-    fingerprint's pointer shows are their own pointers.
-    """
-    places, values = frequent(chunk, k, filters, mask)
-    _, first, which, n = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
-    pointer = places[first]
-    seeds = chunk.seed[chunk.document]
-    other = seeds[places] != seeds[pointer[which]]
-    for j in range(k):
-        other |= ids[places + j] != ids[pointer[which] + j]
-    n = n - np.bincount(which[other], minlength=len(n))
-    return np.concatenate([pointer, places[other]]), np.concatenate([n, np.ones(int(other.sum()), np.int64)])
 
+def cut_phrases(most_words: int, known, mask: np.uint64, chunk_bytes: int):
+    """The work of a partition in the last pass: (lang, k, fingerprint, phrase, number).
 
-def count_phrases(most_words: int, filters, mask: np.uint64, chunk_bytes: int):
-    """The work of a partition in the last pass: phrases with their numbers, and all words of a language as the phrase of none."""
-
-    def rows(lang: str, k: int, tally: dict[bytes, int]) -> dict:
-        return {"lang": [lang] * len(tally), "k": [k] * len(tally), "phrase": list(tally), "n": list(tally.values())}
+    The phrase of a fingerprint where it points to, without a number; phrases
+    of a fingerprint with several texts, with their number here and without
+    the fingerprint; and the words of a language as the phrase of none.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        known = filters()
-        tallies: dict[tuple[str, int], dict[bytes, int]] = {}
+        found = known()
         for chunk in chunks_of(batches, chunk_bytes):
             words = chunk.text.translate(_TO_SPACE).split()
             numbers = {w: i for i, w in enumerate(dict.fromkeys(words))}
             ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+            rows: list[tuple[str, int, int | None, bytes, int | None]] = []
+            totals: dict[str, int] = {}
             for lang, n in zip(chunk.langs, np.bincount(chunk.document, minlength=len(chunk.langs)).tolist()):
-                tally = tallies.setdefault((lang, 0), {})
-                tally[b""] = tally.get(b"", 0) + n
+                totals[lang] = totals.get(lang, 0) + n
+            rows += [(lang, 0, None, b"", n) for lang, n in totals.items()]
             for k in range(1, most_words + 1):
-                pointers, n = phrases_of(chunk, k, ids, known, mask)
-                of_lang = [tallies.setdefault((lang, k), {}) for lang in chunk.langs]
-                for document, at, times in zip(chunk.document[pointers].tolist(), pointers.tolist(), n.tolist()):
-                    phrase, tally = b" ".join(words[at:at + k]), of_lang[document]
-                    tally[phrase] = tally.get(phrase, 0) + times
-            if sum(map(len, tallies.values())) >= PHRASES_AT_ONCE:
-                for (lang, k), tally in tallies.items():
-                    yield rows(lang, k, tally)
-                tallies = {}
-        for (lang, k), tally in tallies.items():
-            yield rows(lang, k, tally)
+                places, values = frequent(chunk, k, found.frequent, mask)
+                several = found.mixed[k].holds(values)
+                for same in _distinct(chunk, k, places[several], ids).values():
+                    rows.append((chunk.langs[chunk.document[same[0]]], k, None, b" ".join(words[same[0]:same[0] + k]), len(same)))
+                pointers = chunk.pointers(places, values)
+                pointed = ~several & found.pointed[k].holds(values ^ (pointers | pointers << np.uint64(32)))
+                shown, first = np.unique(values[pointed], return_index=True)
+                for value, at in zip(shown.view(np.int64).tolist(), places[pointed][first].tolist()):
+                    rows.append((chunk.langs[chunk.document[at]], k, value, b" ".join(words[at:at + k]), None))
+            yield dict(zip(("lang", "k", "fp", "phrase", "n"), map(list, zip(*rows))))
 
     return work
 
 
-def _filter_of(counts: DataFrame, least: int, bits: int) -> Filter:
-    """The filter of the fingerprints that reach ``least``: built by a grouping, at most 2^bits bits come to the driver."""
-    place = F.expr(f"shiftrightunsigned(fp, {64 - bits})")
+def _filter_of(keys: DataFrame, bits: int) -> Filter:
+    """The filter of the column ``key``: built by a grouping, at most 2^bits bits come to the driver."""
     part = min(bits, 15)
-    found = (counts.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(place.alias("place"))
-             .groupBy(F.shiftright("place", part).alias("part"))
+    halves = F.explode(F.array(F.expr(f"shiftrightunsigned(key, {64 - bits})"), F.expr(f"shiftrightunsigned(key, {32 - bits}) & {(1 << bits) - 1}L")))
+    found = (keys.select(halves.alias("place")).groupBy(F.shiftright("place", part).alias("part"))
              .agg(F.expr(f"bitmap_construct_agg(place & {(1 << part) - 1})").alias("map")))
     table = np.zeros(max(1 << bits >> 3, 1), np.uint8)
     size = max(1 << part >> 3, 1)
@@ -242,23 +272,37 @@ def _groups(most_words: int) -> list[tuple[int, ...]]:
 def phrase_counts(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, filter_bits: int = FILTER_BITS,
                   fingerprint_bits: int = 64, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(lang, k, phrase, n): phrases of 1 to ``most_words`` words that occur at least ``least`` times in the texts of
-    a language, and for k = 0 the number of all its words. Exact for every size of filter and fingerprint."""
+    a language, and for k = 0 the number of all its words. Filters of any size give the same. Two texts would be counted as
+    one only where they agree in the fingerprint and in 32 bits of the check."""
     context = docs.sparkSession.sparkContext
-    docs = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"))
+    id_ = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("bigint")
+    docs = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.xxhash64(id_, "text").alias("mark"))
     mask = np.uint64(((1 << fingerprint_bits) - 1) << (64 - fingerprint_bits))
-    shared: dict[int, object] = {}
+    columns = ["text", "lang", "mark"]
+    filters: dict[str, dict[int, object]] = {"frequent": {}, "pointed": {}, "mixed": {}}
 
-    def reader() -> Callable[[], dict[int, Filter]]:
-        held = dict(shared)
-        return lambda: {k: b.value for k, b in held.items()}
+    def reader() -> Callable[[], Known]:
+        held = {name: dict(of) for name, of in filters.items()}
+        return lambda: Known(**{name: {k: b.value for k, b in of.items()} for name, of in held.items()})
 
+    tables = []
     for lengths in _groups(most_words):
-        counts = per_partition(docs, ["text", "lang"], count_fingerprints(lengths, reader(), mask, chunk_bytes), "fp bigint, n bigint")
-        made = context.broadcast(_filter_of(counts, least, filter_bits))
-        shared |= dict.fromkeys(lengths, made)
-    rows = per_partition(docs, ["text", "lang"], count_phrases(most_words, reader(), mask, chunk_bytes),
-                         "lang string, k int, phrase string, n bigint")
-    return cut_lineage(rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where((F.col("k") == 0) | (F.col("n") >= least)))
+        sent = per_partition(docs, columns, count_fingerprints(lengths, reader(), mask, chunk_bytes), "k int, fp bigint, n bigint, mark bigint")
+        counts = sent.groupBy("k", "fp").agg(F.sum("n").alias("n"), F.min("mark").alias("mark"), F.max("mark").alias("last")).where(F.col("n") >= least)
+        alike = F.shiftright("mark", 32) == F.shiftright("last", 32)
+        counts = cut_lineage(counts.select("k", "fp", "n", F.col("mark").bitwiseAND(0xFFFFFFFF).alias("pointer"), alike.alias("alike")))
+        tables.append(counts)
+        pointed = F.col("fp").bitwiseXOR(F.col("pointer").bitwiseOR(F.shiftleft("pointer", 32)))
+        for name, keys in (("frequent", counts.select(F.col("fp").alias("key"))), ("mixed", counts.where("NOT alike").select(F.col("fp").alias("key"))),
+                           ("pointed", counts.where("alike").select(pointed.alias("key")))):
+            filters[name] |= dict.fromkeys(lengths, context.broadcast(_filter_of(keys, filter_bits)))
+    rows = cut_lineage(per_partition(docs, columns, cut_phrases(most_words, reader(), mask, chunk_bytes),
+                                     "lang string, k int, fp bigint, phrase string, n bigint"))
+    known = functools.reduce(DataFrame.unionByName, tables).where("alike").select("k", "fp", F.col("n").alias("number"))
+    shown = rows.where("fp IS NOT NULL").select("lang", "k", "fp", "phrase").distinct().join(known, ["k", "fp"]).select(
+        "lang", "k", "phrase", F.col("number").alias("n"))
+    counted = rows.where("fp IS NULL").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where((F.col("k") == 0) | (F.col("n") >= least))
+    return cut_lineage(shown.unionByName(counted))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, best: int = BEST,
