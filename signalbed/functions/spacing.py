@@ -62,10 +62,18 @@ def keep_spaced(times: DataFrame, key: str, at: str, gap: str, chunk_rows: int =
 
 
 def _chunk_entries(rows: DataFrame, firsts: DataFrame, last_chunk: int) -> DataFrame:
-    """(key, chunk, entry): the first kept time of every chunk that keeps any."""
+    """(key, chunk, entry): the first kept time of every chunk that keeps any.
+
+    The first chunk of a key is entered at its first time, so it has one way
+    out; a key of one chunk needs none and takes no part.
+    """
+    rows = cut_lineage(rows.join(rows.where("chunk > 0").select("key").distinct(), "key", "left_semi"))
 
     def leave(pdf: pd.DataFrame) -> pd.DataFrame:
         times, gap = np.sort(pdf["at"].to_numpy()), int(pdf["gap"].iloc[0])
+        if pdf["chunk"].iloc[0] == 0:
+            last = _walk(times, gap, int(times[0]))[-1:]
+            return pd.DataFrame({"key": pdf["key"].iloc[0], "chunk": pdf["chunk"].iloc[0], "entry": times[:1], "asks": last + gap})
         # A walk comes in before the first time plus the gap, so at one of these.
         doors = int(np.searchsorted(times, times[0] + gap)) + 1
         left = _last_kept(times, gap)[:doors]
