@@ -14,6 +14,7 @@ import array
 import dataclasses
 import functools
 import hashlib
+import heapq
 import json
 import mmap
 import struct
@@ -35,6 +36,8 @@ from signalbed.session import cut_lineage
 LEXICON_WORDS = 60_000
 #: Words a Python worker remembers beside the lexicon.
 REMEMBERED = 500_000
+#: Characters of the longest word that is remembered, and letters from which a word is merged by a heap.
+REMEMBERED_CHARS, LONG_WORD = 64, 200
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 _MAGIC = b"LEX1"
 NEVER = 1 << 62
@@ -112,6 +115,8 @@ class Vocabulary:
         parts.append(ids[letters[-1] + self.ending])
         # Each neighbour pair's rank and result in one integer; NEVER sorts behind all of them.
         pairs = [ranks.get(a << 16 | b, NEVER) for a, b in zip(parts, parts[1:])]
+        if len(pairs) > LONG_WORD:
+            return self._merge_long(parts, pairs)
         while pairs:
             best = min(pairs)
             if best == NEVER:
@@ -125,6 +130,30 @@ class Vocabulary:
                 pairs[i] = ranks.get(made << 16 | parts[i + 1], NEVER)
         return parts
 
+    def _merge_long(self, parts: list[int | None], pairs: list[int]) -> list[int]:
+        """The same merges over a linked list, the next one from a heap: n log n for a word of n letters."""
+        n, ranks = len(parts), self.ranks
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        pairs = [*pairs, NEVER]
+        heap = [(pair, i) for i, pair in enumerate(pairs) if pair != NEVER]
+        heapq.heapify(heap)
+        while heap:
+            pair, i = heapq.heappop(heap)
+            if pairs[i] != pair:  # has changed since
+                continue
+            gone = after[i]
+            parts[i], parts[gone], pairs[gone] = pair & 0xFFFF, None, NEVER
+            after[i] = after[gone]
+            if after[i] < n:
+                before[after[i]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left < 0:
+                    continue
+                pairs[left] = ranks.get(parts[left] << 16 | parts[right], NEVER) if right < n else NEVER
+                if pairs[left] != NEVER:
+                    heapq.heappush(heap, (pairs[left], left))
+        return [part for part in parts if part is not None]
+
 
 _LETTERS = byte_letters()
 _BYTES = {letter: byte for byte, letter in _LETTERS.items()}
@@ -303,9 +332,10 @@ class Encoder:
 
     @staticmethod
     def _keep(known: dict, key: str | int, found: bytes) -> bytes:
-        if len(known) >= REMEMBERED:
-            known.clear()
-        known[key] = found
+        if isinstance(key, int) or len(key) <= REMEMBERED_CHARS:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[key] = found
         return found
 
     def encode(self, text: str | None) -> bytes:

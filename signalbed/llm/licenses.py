@@ -83,9 +83,10 @@ def scan(text: str | None, notices: tuple[tuple[str, str], ...] = NOTICES, phras
     base = []
     for phrase, label in phrases:
         key = b" " + phrase.encode() + b" "
-        at = line.find(key)
+        at, counted, word = line.find(key), 0, 0
         while at >= 0:
-            base.append((line.count(b" ", 0, at), label))
+            word, counted = word + line.count(b" ", counted, at), at
+            base.append((word, label))
             at = line.find(key, at + 1)
     machine, patterns = _machine(notices)
     plain = line.decode("utf-8", "replace")
@@ -103,10 +104,12 @@ def scan(text: str | None, notices: tuple[tuple[str, str], ...] = NOTICES, phras
     spans, score = [], 1.0 if base else 0.0
     for i, seen in sorted(windows.items()):
         pattern, _, notice, label = patterns[i]
+        counted = blanks = 0
         for first, last in _joined(seen):
             for m in pattern.finditer(plain, first, last):
                 edits = sum(m.fuzzy_counts)
-                a = plain.count(" ", 0, m.start()) - 1
+                blanks, counted = blanks + plain.count(" ", counted, m.start()), m.start()
+                a = blanks - 1
                 spans.append((label, a, a + m.group().count(" "), edits))
                 score = max(score, 1 - edits / len(notice))
     return len(words), base, sorted(set(spans)), score

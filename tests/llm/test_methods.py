@@ -447,3 +447,24 @@ def test_dense_group_of_vectors(spark):
 
 def test_no_vectors(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
+
+
+def test_long_words_by_the_library():
+    """Random letters, one letter, and letters that merge in rows: words of up to 200 000 letters."""
+    rng = random.Random(8)
+    path = bpe.default_vocabulary()
+    library, encoder = Tokenizer.from_file(path), bpe.Encoder(bpe.load_vocabulary(path), None)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (150, 201, 202, 5_000, 200_000)]
+    texts += ["a" * 30_001, "the" * 20_000, "ab" * 900 + "é" * 700, "x" * 400 + " " + "straße" * 300]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, [k for k in [*encoder.known, *encoder.chunks] if isinstance(k, str)]), default=0) <= bpe.REMEMBERED_CHARS
+
+
+def test_many_phrases_in_one_text():
+    words = ("mit license word " * 60_000).split()
+    n, base, spans, _ = licenses.scan(" ".join(words))
+    assert n == len(words) and [place for place, _ in base] == list(range(0, n, 3))
+    text = "filler " * 50 + "Permission is hereby granted, free of charge, " * 3
+    _, _, spans, _ = licenses.scan(text)
+    assert all(first >= 49 for _, first, _, _ in spans)
