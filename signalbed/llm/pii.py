@@ -11,10 +11,14 @@ themselves, marked by the patterns, and on written variants of them.
 
 from __future__ import annotations
 
+import array
+import bisect
 import dataclasses
 import hashlib
+import itertools
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +39,8 @@ SECRET = re.compile(r"(?i)\b(?:token|api[_-]?key|secret|password)\s*[=:]\s*[\"']
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 MAX_TOKENS = 16
+#: Tokens whose candidates are scored at once.
+BLOCK_TOKENS = 256
 #: Documents (about) whose zones the fit looks at, and zones it uses.
 SAMPLE_DOCS, SAMPLE_ZONES = 20_000, 2_500
 TRAIN_TOKENS = 60
@@ -208,6 +214,49 @@ def best_spans(z: Lattice, weights: np.ndarray) -> list[tuple[int, int, int]]:
     return out[::-1]
 
 
+def spans_of_zone(text: str, start: int, end: int, weights: np.ndarray, block: int = BLOCK_TOKENS) -> Iterator[tuple[int, int, int]]:
+    """(start, end, kind) of :func:`best_spans`, places in ``text``; the candidates are scored and dropped block by block.
+
+    A candidate has at most ``MAX_TOKENS`` tokens, so what a long zone keeps is
+    a score and a step back for each token.
+    """
+    begins, stops = array.array("q"), array.array("q")
+    for m in _TOKEN.finditer(text, start, end):
+        begins.append(m.start())
+        stops.append(m.end())
+    n = len(begins)
+    best, back, kinds = array.array("d", [0.0]) * (n + 1), array.array("q", [-1]) * (n + 1), bytearray(n + 1)
+    waiting: dict[int, list[tuple[int, float, int]]] = {}
+    for low in range(0, n, block):
+        high = min(low + block, n)
+        near = range(low, min(high + MAX_TOKENS, n))
+        blank = {j: text[begins[j]].isspace() for j in near}
+        hit = {j: _HIT.search(text, begins[j], stops[j]) is not None for j in near}
+        found, rows = [], []
+        for i in range(low, high):
+            holds = False
+            for j in range(i, min(i + MAX_TOKENS, n)) if not blank[i] else ():
+                holds = holds or hit[j]
+                if holds and not blank[j]:
+                    found.append((i, j + 1))
+                    rows.append(_features(text, begins[i], stops[j], j + 1 - i))
+        if rows:
+            scores = np.array(rows, dtype=float) @ weights
+            for (i, j), top, kind in zip(found, scores.max(1).tolist(), scores.argmax(1).tolist()):
+                waiting.setdefault(j, []).append((i, top, kind))
+        for j in range(low + 1, high + 1):
+            best[j] = best[j - 1]
+            for i, top, kind in waiting.pop(j, ()):
+                if best[i] + top > best[j]:
+                    best[j], back[j], kinds[j] = best[i] + top, i, kind
+    j = n
+    while j > 0:
+        i = back[j]
+        if i >= 0:
+            yield begins[i], stops[j - 1], kinds[j]
+        j = i if i >= 0 else j - 1
+
+
 def _log_sum(values: np.ndarray) -> float:
     top = values.max()
     return float(top + np.log(np.exp(values - top).sum()))
@@ -336,11 +385,13 @@ def all_spans(text: str | None, weights: np.ndarray) -> tuple[list[Span], list[S
     """(base spans, all spans) of a whole text; a span of the model stands only where no base span does."""
     base = base_spans(text)
     out = list(base)
+    # Base spans by their start, with the largest end up to each: whether one reaches into a span is one look-up.
+    edges = sorted((x, y) for _, x, y in base)
+    reach = list(itertools.accumulate((y for _, y in edges), max))
     for a, b in zones(text):
-        z = lattice(text, a, b)
-        for i, j, kind in best_spans(z, weights):
-            s, e = z.places[i][0], z.places[j - 1][1]
-            if all(e <= x or y <= s for _, x, y in base):
+        for s, e, kind in spans_of_zone(text, a, b, weights):
+            before = bisect.bisect_left(edges, (e,))
+            if not before or reach[before - 1] <= s:
                 out.append((KINDS[kind], s, e))
     order = lambda span: (KINDS.index(span[0]), span[1], span[2])
     return sorted(base, key=order), sorted(out, key=order)

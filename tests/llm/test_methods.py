@@ -468,3 +468,21 @@ def test_many_phrases_in_one_text():
     text = "filler " * 50 + "Permission is hereby granted, free of charge, " * 3
     _, _, spans, _ = licenses.scan(text)
     assert all(first >= 49 for _, first, _, _ in spans)
+
+
+def test_zone_in_blocks_equals_the_lattice():
+    rng = random.Random(12)
+    weights = np.random.default_rng(3).normal(size=(len(pii.FEATURES), len(pii.KINDS)))
+    weights[0] -= 1.5
+    for _ in range(40):
+        text = "".join(rng.choice(["12", "7.", "a@b.de", " ", "+1 ", "(", ")", "-", "x9", "key=", "2024"]) for _ in range(rng.randrange(1, 70)))
+        z = pii.lattice(text, 0, len(text))
+        want = [(z.places[i][0], z.places[j - 1][1], kind) for i, j, kind in pii.best_spans(z, weights)]
+        for block in (1, 5, 256):
+            assert sorted(pii.spans_of_zone(text, 0, len(text), weights, block)) == sorted(want)
+
+
+def test_long_zone_of_numbers():
+    weights = pii.fit_weights(pii.variants(random.Random(3)), epochs=1)
+    base, spans = pii.all_spans("12 345.6 " * 2_000 + "mail jane@example.org", weights)
+    assert ("email", 18_005, 18_021) in base and set(base) <= set(spans)
