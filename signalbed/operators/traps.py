@@ -199,12 +199,17 @@ def pattern_hits(entries: DataFrame, traps: DataFrame | Sequence[Mapping]) -> Da
     every gram of the fields that rules look at, and only rules filed under one
     of them are tested, first by their needle, then by all their conditions.
     """
-    index = cut_lineage(rule_index(_prepared(_active(entries.sparkSession, traps, "PATTERN"))))
-    held = index.agg(F.array_sort(F.collect_set("_field")).alias("fields"), F.count("*").alias("rules")).first()
+    spark = entries.sparkSession
+    index = rule_index(_prepared(_active(spark, traps, "PATTERN")))
     # As far as it is known to be small the index is broadcast; beyond that both sides are shuffled, never the entries sent out.
-    index = F.broadcast(index) if held["rules"] <= BROADCAST_RULES else index.hint("shuffle_merge")
+    few = index.limit(BROADCAST_RULES + 1).collect()
+    if len(few) <= BROADCAST_RULES:
+        index, fields = F.broadcast(spark.createDataFrame(few, index.schema)), {r["_field"] for r in few}
+    else:
+        index = cut_lineage(index)
+        index, fields = index.hint("shuffle_merge"), {r[0] for r in index.select("_field").distinct().collect()}
     rows = _with_fields(entries)
-    texts = [F.struct(F.lit(name).alias("_field"), (F.lower(name) if name else F.lit("")).alias("_text")) for name in held["fields"]]
+    texts = [F.struct(F.lit(name).alias("_field"), (F.lower(name) if name else F.lit("")).alias("_text")) for name in sorted(fields)]
     rows = rows.withColumn("_of", F.explode(F.array(*texts) if texts else F.expr("CAST(array() AS array<struct<_field: string, _text: string>>)")))
     rows = rows.select("*", "_of.*").withColumn(
         "_gram", F.explode(F.when(F.col("_field") == "", F.array(F.lit(""))).otherwise(_grams(F.col("_text")))))
