@@ -89,7 +89,7 @@ def trap_table(spark: SparkSession, traps: DataFrame | Iterable[Mapping]) -> Dat
          [tuple(c.get(name) for name in CONDITION_FIELDS) for c in t["conditions"]])
         for t in traps
     ]
-    return spark.createDataFrame(rows, TRAP_TABLE)
+    return spark.createDataFrame(rows, TRAP_TABLE).coalesce(1)  # a list is small: what is grouped of it needs no shuffle
 
 
 def _active(spark: SparkSession, traps: DataFrame | Iterable[Mapping], kind: str) -> DataFrame:
