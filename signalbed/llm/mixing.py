@@ -57,7 +57,7 @@ def running(df: DataFrame, keys: Sequence[str], cell: Column, order: Sequence[st
     cells = rows.groupBy(*keys, "_cell").agg(F.sum("_value").alias("_sum"))
     cells = cells.select(*keys, "_cell", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_past"))
     rows = rows.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    return rows.join(cells, [*keys, "_cell"]).withColumn(out, F.col("_inside") + F.col("_past")).drop("_cell", "_value", "_inside", "_past")
+    return rows.join(cells.hint("shuffle_merge"), [*keys, "_cell"]).withColumn(out, F.col("_inside") + F.col("_past")).drop("_cell", "_value", "_inside", "_past")
 
 
 def repeated(df: DataFrame, number: str, out: str) -> DataFrame:
@@ -186,7 +186,8 @@ def _pieces(lines: DataFrame, shares: DataFrame, passes: int, block_words: int)
         (F.greatest("_begin", "_from") - F.col("_from")).alias("first_word"),
         (F.least("_end", "_to") - F.col("_from")).alias("end_word"),
         F.greatest("_from", "_begin").alias("at"))
-    return pieces.join(slots, ["n", "rank"])
+    # Both sides grow with the words, though their plans look small: they are shuffled, never broadcast.
+    return pieces.join(slots.hint("shuffle_merge"), ["n", "rank"])
 
 
 def schedule(docs: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = MIX_PERCENT, passes: int = MOST_PASSES,
@@ -216,7 +217,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = MIX_PE
     rows, shares = _with_sources(docs, weights, percent, passes)
     lines = _lines(rows, shares)
     taken = _pieces(lines, shares, passes, block_words).groupBy("n", "start").agg(F.sum(F.col("end_word") - F.col("first_word")).alias("taken"))
-    with_words = lines.join(taken, ["n", "start"], "left")
+    with_words = lines.join(taken.hint("shuffle_merge"), ["n", "start"], "left")
     numbers = _per_source(shares.select(F.col("source").alias("_source"), "n"))
     none = rows.where("size = 0").join(numbers, F.col("source").eqNullSafe(F.col("_source"))).select(
         "n", "doc_id", "size", F.lit(0).cast("bigint").alias("taken"))
