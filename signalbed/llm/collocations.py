@@ -36,7 +36,7 @@ COVERED_PERCENT = 100
 #: Bits of a filter (8 MB); three per group of lengths are broadcast, whatever the corpus.
 FILTER_BITS = 26
 #: Bytes of the documents taken at once (one longer document is taken alone), and fingerprints of a length added up before they are sent.
-CHUNK_BYTES, FINGERPRINTS_AT_ONCE = 1 << 21, 1_000_000
+CHUNK_BYTES, FINGERPRINTS_AT_ONCE = 1 << 20, 1_000_000
 #: Parts that a language's candidates are ranked in before the parts' best are ranked together.
 RANK_PARTS = 256
 NO_LANGUAGE = "und"
@@ -119,10 +119,13 @@ class Filter:
     """Keys that may be held; each has the bit of its first and of its second half."""
 
     bits: int
-    table: np.ndarray
+    #: None where no key is held.
+    table: np.ndarray | None
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
+        out = np.full(len(keys), self.table is not None)
+        if self.table is None:
+            return out
         for place in (keys >> np.uint64(64 - self.bits), (keys >> np.uint64(32 - self.bits)) & np.uint64((1 << self.bits) - 1)):
             out &= (self.table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return out
@@ -256,9 +259,12 @@ def _filter_of(keys: DataFrame, bits: int) -> Filter:
     halves = F.explode(F.array(F.expr(f"shiftrightunsigned(key, {64 - bits})"), F.expr(f"shiftrightunsigned(key, {32 - bits}) & {(1 << bits) - 1}L")))
     found = (keys.select(halves.alias("place")).groupBy(F.shiftright("place", part).alias("part"))
              .agg(F.expr(f"bitmap_construct_agg(place & {(1 << part) - 1})").alias("map")))
+    rows = found.collect()
+    if not rows:
+        return Filter(bits, None)
     table = np.zeros(max(1 << bits >> 3, 1), np.uint8)
     size = max(1 << part >> 3, 1)
-    for row in found.collect():
+    for row in rows:
         table[row["part"] * size:(row["part"] + 1) * size] = np.frombuffer(row["map"], np.uint8)[:size]
     return Filter(bits, table)
 
