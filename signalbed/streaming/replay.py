@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -180,6 +181,35 @@ def _one_a_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"timestamp": [newest]})
 
 
+#: Rows of :func:`_ends` that a task holds before it passes them on.
+HELD_CELLS = 200_000
+
+
+def _ends(keys: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow``: (keys, first, last), the smallest and largest ``at`` of each key and cell that come together in a task."""
+
+    def reduced(tables: Sequence[pa.Table]) -> pa.Table:
+        cells = pa.concat_tables(tables).group_by([*keys, "cell"]).aggregate([("first", "min"), ("last", "max")])
+        cells = cells.select([*keys, "cell", "first_min", "last_max"])
+        return cells.rename_columns([*keys, "cell", "first", "last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(reduced([pa.Table.from_batches([batch])]))
+            size += held[-1].num_rows
+            if size >= HELD_CELLS:
+                held = [reduced(held)]
+                size = held[0].num_rows
+                if size >= HELD_CELLS // 2:
+                    yield from held[0].drop_columns(["cell"]).to_batches()
+                    held, size = [], 0
+        if held:
+            yield from reduced(held).drop_columns(["cell"]).to_batches()
+
+    return run
+
+
 def absence_rule_stream(entries: DataFrame, traps: DataFrame | Iterable[Mapping], since, late: str = "10 minutes") -> DataFrame:
     """(team_id, trap_id, condition, absent_from, absent_until): gaps of the absence conditions from ``since`` on.
 
@@ -187,15 +217,26 @@ def absence_rule_stream(entries: DataFrame, traps: DataFrame | Iterable[Mapping]
     ``absent_until`` when the watermark passes the end of a window without
     entries, and one more with it when an entry has ended the gap. Rules whose
     entries never come are woken by the other entries of the stream.
+
+    No gap lies inside a cell of time that is not wider than the rule's window,
+    so of each cell only the first and the last entry go to the rule. They are
+    found by teams and hours: what a rule holds grows with the time that is
+    told of, not with the entries.
     """
     rules = _counting(_active(entries.sparkSession, traps, "ABSENCE"), "ABSENCE").where("window_seconds IS NOT NULL")
     rules = rules.select("team_id", "trap_id", "condition", (F.col("window_seconds") * F.lit(SECOND)).alias("width"), "service", "own_level")
     key = ["team_id", "trap_id", "condition", "width"]
     own = F.col("service").isNull() | F.coalesce((F.col("service_name") == F.col("service")) & (F.col("level") == F.col("own_level")), F.lit(False))
-    seen = entries.select("team_id", "service_name", "level", "timestamp").withWatermark("timestamp", late).join(rules, "team_id").where(own)
-    wake = entries.select("timestamp").mapInPandas(_one_a_batch, "timestamp timestamp").withWatermark("timestamp", late)
-    rows = seen.select(*key, "timestamp", F.lit("seen").alias("item")).unionByName(
-        wake.crossJoin(rules).select(*key, "timestamp", F.lit("wake").alias("item")))
+    at = micros(F.col("timestamp"))
+    timed = entries.where("timestamp IS NOT NULL")
+    seen = timed.select("team_id", "service_name", "level", at.alias("at")).repartition("team_id", F.expr(f"at div {60 * MINUTE}"))
+    cells = seen.join(rules, "team_id").where(own).select(
+        *key, F.expr("at div greatest(width, 1)").alias("cell"), F.col("at").alias("first"), F.col("at").alias("last"))
+    ends = cells.mapInArrow(_ends(key), cells.drop("cell").schema)
+    ends = ends.select(*key, F.explode(F.array_distinct(F.array("first", "last"))).alias("at"))
+    wake = timed.select("timestamp").mapInPandas(_one_a_batch, "timestamp timestamp")
+    rows = ends.select(*key, F.timestamp_micros("at").alias("timestamp"), F.lit("seen").alias("item")).unionByName(
+        wake.crossJoin(rules).select(*key, "timestamp", F.lit("wake").alias("item"))).withWatermark("timestamp", late)
     start = entries.sparkSession.range(1).select(micros(instant(since))).first()[0]
 
     def gap(begins: int, until: int | None) -> str:

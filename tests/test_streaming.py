@@ -207,3 +207,23 @@ def test_alert_writer_begun_anew_fires_nothing_twice(spark, tmp_path):
     first = spark.read.parquet(f"{tmp_path}/twice/alerts").count()
     jobs.alert_writer(rules, names, t.alert_channels(spark), f"{tmp_path}/twice")(again, 0)
     assert spark.read.parquet(f"{tmp_path}/twice/alerts").count() == first == want.count()
+
+
+def _busy(spark, n, seconds):
+    """``n`` entries of one team, all at different times of so many seconds."""
+    start = int(dt.datetime(2024, 1, 5, tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
+    return spark.range(n).select(
+        "id", F.lit(0).cast("long").alias("team_id"), F.lit("svc-1").alias("service_name"), F.lit("ERROR").alias("level"),
+        F.timestamp_micros(F.lit(start) + F.col("id") * (seconds * 1_000_000 // n)).alias("timestamp"),
+        F.concat(F.lit("connection to the store was lost, timeout after try "), F.col("id")).alias("message"))
+
+
+def test_absence_rules_are_not_sent_all_entries(spark, monkeypatch):
+    sent, whole = [], replay.replay
+    monkeypatch.setattr(replay, "replay", lambda rows, *more: sent.append(rows) or whole(rows, *more))
+    rules = [{"trap_id": "quiet", "team_id": 0, "trap_type": "ABSENCE", "is_active": True, "conditions": [{"condition_type": "ABSENCE", "window_seconds": 600}]}]
+    replay.absence_rule_stream(_busy(spark, 20_000, 7200), rules, "2024-01-01")
+    # The first and the last of each of 12 cells; wakes are one a task.
+    points = [r.timestamp for r in sent[0].where("item = 'seen'").collect()]
+    edges = _busy(spark, 20_000, 7200).groupBy(F.expr("unix_micros(timestamp) div 600000000")).agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).collect()
+    assert sorted(points) == sorted(t for r in edges for t in (r.a, r.b)) and len(points) == 24
