@@ -13,9 +13,10 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalbed.functions import grams
 from signalbed.functions.levels import LEVELS, level_compare, parse_level
 from signalbed.functions.ordered import previous, running_total
 from signalbed.functions.times import SECOND, instant, micros
@@ -126,17 +127,10 @@ def _prepared(rules: DataFrame) -> DataFrame:
     return rules.select("trap_id", "team_id", F.transform("conditions", prepared).alias("conditions"))
 
 
-#: Characters of a gram, the key of the rule index.
-GRAM = 3
 #: Most rules whose index is broadcast.
 BROADCAST_RULES = 50_000
 
 
-def _grams(text: Column) -> Column:
-    """All grams of a text, overlapping, each once."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
-
-
 def required_literal(regex: Column) -> Column:
     """The longest run of plain ASCII that every match of the pattern holds, in lower case; null where none is certain.
 
@@ -151,7 +145,7 @@ def required_literal(regex: Column) -> Column:
     broken = F.regexp_replace(broken, r"(?s).\{[^}]*\}|.[?*]", "\u0000")
     runs = F.split(broken, r"[^\x20-\x7e]+|[.^$+{}?*\\]+")
     longest = F.array_max(F.transform(runs, lambda run: F.struct(F.length(run).alias("size"), F.lower(run).alias("run"))))
-    return F.when(plain & (longest["size"] >= GRAM), longest["run"])
+    return F.when(plain & (longest["size"] >= min(grams.SIZES)), longest["run"])
 
 
 def rule_index(rules: DataFrame) -> DataFrame:
@@ -160,19 +154,23 @@ def rule_index(rules: DataFrame) -> DataFrame:
     A text that fulfils a condition must hold the condition's needle, its
     keyword or the literal of its pattern, and so each gram of it. A rule is
     filed under the gram that the fewest rules of its team have, of the longest
-    needle where several are as rare. Rules without a needle are filed under
-    the empty gram. A trap that is listed twice is one.
+    needle where several are as rare. Grams grow with their needles, so that
+    many rules need not share few grams. Rules without a needle are filed under
+    the gram 0 of no field. A trap that is listed twice is one.
     """
     needles = rules.select("team_id", "trap_id", "conditions", F.explode_outer("conditions").alias("c")).select(
         "team_id", "trap_id", "conditions", F.coalesce("c.field", F.lit("")).alias("_field"),
         F.when(F.col("c.field").isNotNull(), F.coalesce("c.keyword", required_literal(F.col("c.regex")))).alias("_needle"))
-    filed = needles.withColumn("_gram", F.explode_outer(_grams(F.col("_needle"))))
-    filed = filed.withColumn("_rules", F.count("*").over(Window.partitionBy("team_id", "_field", "_gram")))
+    filed = needles.withColumn("_grams", grams.needle_grams("_needle")).withColumn("_gram", F.explode_outer("_grams")).drop("_grams")
+    # Counted apart from the rules: many may share a gram, and a count needs none of them whole.
+    key = ["team_id", "_field", "_gram"]
+    filed = filed.join(filed.groupBy(*key).agg(F.count("*").alias("_rules")), key, "left")
     rarity = F.when(F.col("_gram").isNotNull(), F.struct("_rules", -F.length("_needle"), "_field", "_gram", "_needle"))
     seeds = filed.groupBy("team_id", "trap_id", F.xxhash64("conditions").alias("_rule")).agg(
         F.first("conditions").alias("conditions"), F.min_by(F.struct("_field", "_gram", "_needle"), rarity).alias("_seed"))
     return seeds.select(
-        "team_id", *[F.coalesce(f"_seed.{name}", F.lit("")).alias(name) for name in ("_field", "_gram", "_needle")], "trap_id", "conditions")
+        "team_id", F.coalesce("_seed._field", F.lit("")).alias("_field"), F.coalesce("_seed._gram", F.lit(0)).alias("_gram"),
+        F.coalesce("_seed._needle", F.lit("")).alias("_needle"), "trap_id", "conditions")
 
 
 def _holds(c: Column) -> Column:
@@ -192,29 +190,37 @@ def _with_fields(entries: DataFrame) -> DataFrame:
     return entries.withColumns({name: F.lit(None).cast("string") for name in missing}) if missing else entries
 
 
+def _in_field(field: str, numbers: Column) -> Column:
+    return F.transform(numbers, lambda gram: F.struct(F.lit(field).alias("_field"), gram.alias("_gram")))
+
+
 def pattern_hits(entries: DataFrame, traps: DataFrame | Sequence[Mapping]) -> DataFrame:
     """One row per entry and active pattern trap of its team that fires; no traps give no rows.
 
     Entries meet the rules over :func:`rule_index`: each entry asks once for
-    every gram of the fields that rules look at, and only rules filed under one
-    of them are tested, first by their needle, then by all their conditions.
+    those grams of the fields that rules look at which a filter of all filed
+    grams knows, and only rules filed under one of them are tested, first by
+    their needle, then by all their conditions.
     """
     spark = entries.sparkSession
     index = rule_index(_prepared(_active(spark, traps, "PATTERN")))
     # As far as it is known to be small the index is broadcast; beyond that both sides are shuffled, never the entries sent out.
     few = index.limit(BROADCAST_RULES + 1).collect()
-    if len(few) <= BROADCAST_RULES:
-        index, fields = F.broadcast(spark.createDataFrame(few, index.schema)), {r["_field"] for r in few}
-    else:
-        index = cut_lineage(index)
-        index, fields = index.hint("shuffle_merge"), {r[0] for r in index.select("_field").distinct().collect()}
+    small = len(few) <= BROADCAST_RULES
+    index = spark.createDataFrame(few, index.schema).coalesce(1) if small else cut_lineage(index)
+    looked = index.groupBy("_field").agg(F.count(F.lit(1)).alias("n"), F.collect_set(grams.size_of(F.col("_needle"))).alias("sizes")).collect()
+    sizes = {r["_field"]: r["sizes"] for r in looked if r["_field"]}
     rows = _with_fields(entries)
-    texts = [F.struct(F.lit(name).alias("_field"), (F.lower(name) if name else F.lit("")).alias("_text")) for name in sorted(fields)]
-    rows = rows.withColumn("_of", F.explode(F.array(*texts) if texts else F.expr("CAST(array() AS array<struct<_field: string, _text: string>>)")))
-    rows = rows.select("*", "_of.*").withColumn(
-        "_gram", F.explode(F.when(F.col("_field") == "", F.array(F.lit(""))).otherwise(_grams(F.col("_text")))))
-    near = rows.join(index, ["team_id", "_field", "_gram"]).where(F.contains("_text", "_needle"))
-    return near.where(F.forall("conditions", _holds)).select(*entries.columns, "trap_id")
+    asked = [F.array(F.struct(F.lit("").alias("_field"), F.lit(0).cast("long").alias("_gram")))] if len(sizes) < len(looked) else []
+    if sizes:
+        wanted = grams.gram_filter(index.where("_field <> ''").select("_gram"), sum(r["n"] for r in looked))
+        rows = rows.withColumns({f"_asked_{name}": grams.asked_grams(F.lower(name), wanted, sizes[name]) for name in sizes})
+        asked += [_in_field(name, F.col(f"_asked_{name}")) for name in sizes]
+    none = F.expr("CAST(array() AS array<struct<_field: string, _gram: bigint>>)")
+    rows = rows.withColumn("_of", F.explode(F.concat(none, *asked))).select(*rows.columns, "_of.*")
+    near = rows.join(F.broadcast(index) if small else index.hint("shuffle_merge"), ["team_id", "_field", "_gram"])
+    text = F.coalesce(*[F.when(F.col("_field") == name, F.lower(name)) for name in sizes], F.lit(""))
+    return near.where(F.contains(text, "_needle")).where(F.forall("conditions", _holds)).select(*entries.columns, "trap_id")
 
 
 def counted_rows(condition: Condition) -> Column:

@@ -300,3 +300,16 @@ def test_policy_run_can_be_repeated(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(cold)).collect()) == archived
     later = retention.apply_policies(spark, str(store), policies, at(11 * day), str(cold))
     assert later["changed"] and len(spark.read.parquet(str(cold)).collect()) > len(archived)
+
+
+def test_many_rules_do_not_share_their_grams(spark):
+    rules = spark.range(3000).selectExpr(
+        "concat('t-', id) AS trap_id", "0L AS team_id", "'PATTERN' AS trap_type", "true AS is_active",
+        """array(named_struct('condition_type', 'KEYWORD', 'field', 'message', 'pattern', concat('USER ', id, ' '), 'log_level', CAST(NULL AS STRING),
+            'service_name', CAST(NULL AS STRING), 'threshold', CAST(NULL AS BIGINT), 'window_seconds', CAST(NULL AS BIGINT))) AS conditions""")
+    index = traps.rule_index(traps._prepared(rules))
+    assert index.count() == 3000
+    assert index.groupBy("_field", "_gram").count().agg(F.max("count")).first()[0] <= 2
+    rows = entries(spark, [(n, 0, "s", "INFO", f"click by User {n} event 1{n} ", at(n)) for n in (7, 42, 999, 2999, 3000)])
+    got = sorted((r.id, r.trap_id) for r in traps.pattern_hits(rows, rules).collect())
+    assert got == [(n, f"t-{n}") for n in (7, 42, 999, 2999)]
