@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 #: Bytes of a gram; each is twice the one before. A needle is known by grams of the longest that it holds.
 SIZES = (3, 6, 12)
 #: Bytes that are hashed at a time, whatever the length of the texts.
-SWEEP = 1 << 20
+SWEEP = 1 << 17
 #: Bits of a filter for each gram, and most words of 64 bits (32 MB).
 FILTER_BITS, MOST_WORDS = 24, 1 << 22
 
