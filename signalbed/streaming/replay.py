@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from functools import lru_cache, partial
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,52 +25,100 @@ from signalbed.functions.times import MINUTE, SECOND, instant, micros
 from signalbed.operators.traps import _active, _counting
 from signalbed.session import shared_folder
 
-#: The state of a key: what the rule remembers, and the rows the watermark has not passed.
-STATE = "memory string, at array<bigint>, item array<string>"
+#: The state of a key: what the rule remembers, and the rows the watermark has not passed, in blocks: their moments
+#: (64-bit numbers, one block behind the other), how many each block has, and their items.
+STATE = "memory string, at binary, sizes array<int>, items array<binary>"
+#: Most rows of a block: few enough to unpack one for a single item.
+BLOCK_ROWS = 1000
 _MOMENT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
-#: (key, memory, moment, items) -> (memory, outputs); outputs are texts.
-Step = Callable[[tuple, object, int, list[str]], tuple[object, list[str]]]
+#: (key, memory, moment, items) -> (memory, outputs); outputs are texts, the items are fetched by a call.
+Step = Callable[[tuple, object, int, Callable[[], list[str]]], tuple[object, list[str]]]
 #: (key, memory, watermark in microseconds) -> (memory, outputs, moment to ask again or None); no memory: forget the key.
 Idle = Callable[[tuple, object, int], tuple[object, list[str], int | None]]
 
 
-def replay(rows: DataFrame, keys: Sequence[str], step: Step, idle: Idle) -> DataFrame:
+#: Moments in order and their items, compressed: what waits is mostly text that is alike.
+Block = tuple[np.ndarray, bytes]
+
+
+def _packed(at: np.ndarray, items: Sequence[str]) -> list[Block]:
+    order = np.argsort(at, kind="stable")
+    parts = (order[n:n + BLOCK_ROWS] for n in range(0, len(order), BLOCK_ROWS))
+    return [(at[part], zlib.compress(json.dumps([items[i] for i in part]).encode(), 1)) for part in parts]
+
+
+def _unpacked(block: Block) -> list[str]:
+    return json.loads(zlib.decompress(block[1]))
+
+
+def _filled_up(blocks: Iterable[Block]) -> list[Block]:
+    """The same rows with small blocks put together."""
+    out: list[Block] = []
+    for block in blocks:
+        if out and len(out[-1][0]) + len(block[0]) <= BLOCK_ROWS:
+            last = out.pop()
+            block, = _packed(np.concatenate([last[0], block[0]]), _unpacked(last) + _unpacked(block))
+        out.append(block)
+    return out
+
+
+def replay(rows: DataFrame, keys: Sequence[str], step: Step, idle: Idle, open_blocks: int | None = None) -> DataFrame:
     """(keys, out) of ``rows`` (keys, ``timestamp`` with a watermark, ``item``) in the order of time inside a key.
 
-    ``step`` gets all items of one moment once the watermark is past it,
-    ``idle`` is asked after the steps and when the moment comes that it named.
+    ``step`` is told of a moment once the watermark is past it and may fetch all
+    its items, ``idle`` is asked after the steps and when the moment comes that
+    it named. Items wait in compressed blocks; a rule that fetches few of them
+    needs no more than some ``open_blocks`` at a time. Rows without a time never
+    come up.
     """
-    rows = rows.select(*keys, "timestamp", micros(F.col("timestamp")).alias("at"), "item")
+    rows = rows.where("timestamp IS NOT NULL").select(*keys, "timestamp", micros(F.col("timestamp")).alias("at"), "item")
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         key = tuple(value.item() if hasattr(value, "item") else value for value in key)  # plain values instead of numpy's
-        memory, pending = None, []
+        memory, blocks = None, []
         if state.exists:
-            remembered, at, item = state.get
-            memory, pending = json.loads(remembered), [(int(a), i) for a, i in zip(at, item)]
+            remembered, at, sizes, items = state.get
+            memory = json.loads(remembered)
+            cuts = np.cumsum(np.array(sizes, np.int64))[:-1]
+            blocks = list(zip(np.split(np.frombuffer(bytes(at), np.int64), cuts), map(bytes, items))) if len(sizes) else []
         if not state.hasTimedOut:
             for pdf in batches:
-                pending += zip(pdf["at"].tolist(), pdf["item"].tolist())
+                blocks += _packed(pdf["at"].to_numpy(np.int64), pdf["item"].tolist())
         passed = max(state.getCurrentWatermarkMs(), 0) * 1000
         out: list[str] = []
-        pending.sort()
-        done = 0
-        while done < len(pending) and pending[done][0] // 1000 * 1000 + 1000 < passed:
-            moment, items = pending[done][0], []
-            while done < len(pending) and pending[done][0] == moment:
-                items.append(pending[done][1])
-                done += 1
-            memory, made = step(key, memory, moment, items)
+        at = np.concatenate([np.zeros(0, np.int64), *(block[0] for block in blocks)])
+        begins = np.cumsum([0, *(len(block[0]) for block in blocks)])
+        due = at // 1000 * 1000 + 1000 < passed
+        places = np.flatnonzero(due)
+        places = places[np.argsort(at[places], kind="stable")]
+        moments, firsts = np.unique(at[places], return_index=True)
+        opened = lru_cache(open_blocks)(lambda n: _unpacked(blocks[n]))
+
+        def fetched(places: np.ndarray) -> list[str]:
+            of = np.searchsorted(begins, places, side="right") - 1
+            return sorted(opened(int(n))[place - begins[n]] for place, n in zip(places, of))
+
+        lasts = np.append(firsts[1:], len(places))
+        for moment, first, last in zip(moments, firsts, lasts):
+            memory, made = step(key, memory, int(moment), partial(fetched, places[first:last]))
             out += made
-        pending = pending[done:]
+        left = []
+        for n, block in enumerate(blocks):
+            stays = ~due[begins[n]:begins[n + 1]]
+            if stays.all():
+                left.append(block)
+            elif stays.any():
+                left += _packed(block[0][stays], [item for item, stay in zip(_unpacked(block), stays) if stay])
+        opened.cache_clear()
         memory, made, again = idle(key, memory, passed)
         out += made
-        if pending or memory is not None:
-            state.update((json.dumps(memory), [a for a, _ in pending], [i for _, i in pending]))
+        if left or memory is not None:
+            left = _filled_up(left)
+            state.update((json.dumps(memory), b"".join(b[0].tobytes() for b in left), [len(b[0]) for b in left], [b[1] for b in left]))
             # A timer goes off once the watermark is past it, so never before the moment.
-            waits = [moment // 1000 + 1 for moment in ([pending[0][0]] if pending else []) + ([again] if again is not None else [])]
+            waits = [moment // 1000 + 1 for moment in ([min(int(b[0][0]) for b in left)] if left else []) + ([again] if again is not None else [])]
             if waits:
                 state.setTimeoutTimestamp(max(min(waits), passed // 1000 + 1))
         elif state.exists:
@@ -115,10 +166,10 @@ def frequency_stream(entries: DataFrame, traps: DataFrame | Iterable[Mapping], l
         "trap_id", F.to_json("conditions").alias("conditions"), "cell", "timestamp",
         F.to_json(F.struct(F.when(own, F.col("item.id")).alias("id"), F.col("item.counted").alias("counted"))).alias("item"))
 
-    def step(key: tuple, memory, moment: int, items: list[str]):
+    def step(key: tuple, memory, moment: int, items: Callable[[], list[str]]):
         conditions = json.loads(key[1])
         past = memory or [[[], 0] for _ in conditions]  # per condition: [moment, number] in order, and their sum
-        found = [json.loads(i) for i in items]
+        found = [json.loads(i) for i in items()]
         for k, c in enumerate(conditions):
             moments, total = past[k]
             n = sum(f["counted"][k] for f in found)
@@ -148,17 +199,17 @@ def throttle_stream(fires: DataFrame, late: str = "10 minutes") -> DataFrame:
 
     A rule remembers its last alert; a fire is judged when the watermark has
     passed it, so one that comes late still stands between its neighbours.
-    Rules without a throttle time let everything through at once.
+    Only the texts of fires at the moments that are kept are unpacked. Rules without a throttle time let everything through at once.
     """
     whole = F.to_json(F.struct(*fires.columns), _MOMENT).alias("item")
     timed = fires.where("throttle_minutes > 0").withColumn("timestamp", F.col("fired_at")).withWatermark("timestamp", late)
     timed = timed.select("rule_id", F.col("throttle_minutes").cast("long").alias("minutes"), "timestamp", whole)
     numeric = fires.schema["entry_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
 
-    def step(key: tuple, last, moment: int, items: list[str]):
+    def step(key: tuple, last, moment: int, items: Callable[[], list[str]]):
         if last is not None and moment < last + key[1] * MINUTE:
             return last, []
-        first = min(items, key=lambda i: int(json.loads(i)["entry_id"]) if numeric else json.loads(i)["entry_id"])
+        first = min(items(), key=lambda i: int(json.loads(i)["entry_id"]) if numeric else json.loads(i)["entry_id"])
         return moment, [first]
 
     def idle(key: tuple, last, passed: int):
@@ -166,7 +217,7 @@ def throttle_stream(fires: DataFrame, late: str = "10 minutes") -> DataFrame:
         free = None if last is None else last + key[1] * MINUTE
         return (last, [], free) if free is not None and passed <= free else (None, [], None)
 
-    kept = replay(timed, ["rule_id", "minutes"], step, idle)
+    kept = replay(timed, ["rule_id", "minutes"], step, idle, open_blocks=64)
     kept = kept.select(F.from_json("out", fires.schema, _MOMENT).alias("fire")).select("fire.*")
     return kept.unionByName(fires.where("throttle_minutes <= 0"))
 
@@ -248,8 +299,8 @@ def absence_rule_stream(entries: DataFrame, traps: DataFrame | Iterable[Mapping]
         begins = max(last + key[3] + 1, start)
         return [last, said or begins < now], [gap(begins, None)] if begins < now and not said else [], begins
 
-    def step(key: tuple, memory, moment: int, items: list[str]):
-        if "seen" not in items:
+    def step(key: tuple, memory, moment: int, items: Callable[[], list[str]]):
+        if "seen" not in items():
             return memory, []
         memory, out, begins = told(key, memory, moment)
         if moment < start:

@@ -227,3 +227,20 @@ def test_absence_rules_are_not_sent_all_entries(spark, monkeypatch):
     points = [r.timestamp for r in sent[0].where("item = 'seen'").collect()]
     edges = _busy(spark, 20_000, 7200).groupBy(F.expr("unix_micros(timestamp) div 600000000")).agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).collect()
     assert sorted(points) == sorted(t for r in edges for t in (r.a, r.b)) and len(points) == 24
+
+
+def test_waiting_fires_are_packed(spark, tmp_path):
+    fires = _busy(spark, 20_000, 7200).select(
+        F.lit("mail").alias("rule_id"), F.col("id").alias("entry_id"), F.col("timestamp").alias("fired_at"), "message", F.lit(10).alias("throttle_minutes"))
+    fires.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = replay.throttle_stream(spark.readStream.schema(fires.schema).parquet(f"{tmp_path}/in"))
+    query = stream.writeStream.format("memory").queryName("packed").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert query.exception() is None
+    held = max(s["memoryUsedBytes"] for p in query.recentProgress for s in p["stateOperators"])
+    texts = fires.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
+    assert held < texts / 4
+    newest = fires.agg(F.max("fired_at")).first()[0]
+    kept = [r for r in fires.collect() if r.entry_id % (20_000 // 12 + 1) == 0]  # the first at least ten minutes after the one before
+    want = [tuple(r) for r in kept if (newest - r.fired_at).total_seconds() > 600.001]
+    assert sorted(map(tuple, spark.table("packed").collect())) == want and len(want) > 8
